@@ -5,9 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, embedding_dedup, exact_dedup, sharding, simhash
+from . import bpe, chat_format, embedding_dedup, exact_dedup, language_id, packing, sharding, simhash, substring_dedup, token_output
 from .common import read
 
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def tokenizer_path() -> str:
+    """The tokenizer file, as the installed package has it on the driver and on executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
@@ -35,11 +44,43 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.round_trip(docs, tokenizer_path()).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        bpe.ids_digest("ids").alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(docs.where(~language_id.held_out()))
+    return language_id.predict(docs.select("doc_id", "text", language_id.held_out().alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    span = F.transform("removed", lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["stop"].cast("string")))
+    return out.select("doc_id", "text", F.size("removed").cast("long").alias("n_removed"), F.array_join(span, ",").alias("removed"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_output.new_path(spark)
+    token_output.write(read(spark, sf_dir, "documents"), path, tokenizer_path())
+    return token_output.read_checks(spark, path).select("id", "start", F.col("ids.n").alias("n_tokens"), F.col("ids.crc32").alias("ids_crc32")).withColumnRenamed("id", "doc_id")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.label_copies(read(spark, sf_dir, "documents"))
 
@@ -84,6 +125,24 @@ def oracle_sql() -> dict[str, str]:
                 sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
                 cast(sum(length(x) + case when first then 9 + length(r) + 7 + 7 else 8 end) as bigint) as formatted_chars
             from e group by conv_id""",
+        "op6_substring_dedup": r"""
+            with u as (
+                select doc_id, text, unnest(regexp_extract_all(text, '[^.!?\n]*[.!?\n]+|[^.!?\n]+')) as unit,
+                    generate_subscripts(regexp_extract_all(text, '[^.!?\n]*[.!?\n]+|[^.!?\n]+'), 1) as k
+                from documents
+            ), p as (
+                select *, sum(length(unit)) over (partition by doc_id order by k) as stop,
+                    trim(regexp_replace(lower(unit), '\s+', ' ', 'g')) as norm
+                from u
+            ), r as (
+                select *, len(string_split(norm, ' ')) >= 5 and row_number() over (partition by norm order by doc_id, k) > 1 as again from p
+            ), g as (
+                select doc_id, string_agg(unit, '' order by k) filter (where not again) as kept, count(*) filter (where again) as n,
+                    string_agg(cast(stop - length(unit) as bigint) || '-' || cast(stop as bigint), ',' order by k) filter (where again) as spans
+                from r group by doc_id
+            )
+            select doc_id, case when g.doc_id is null then text else coalesce(kept, '') end as text, coalesce(n, 0) as n_removed, coalesce(spans, '') as removed
+            from documents left join g using (doc_id)""",
         "op10_exact_dedup": f"""
             with t as (select doc_id, sha256({FOLD}) as text_sha256 from documents)
             select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size, doc_id = max(doc_id) over g as kept, text_sha256
