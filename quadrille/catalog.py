@@ -2,10 +2,537 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions.geometry import axes, ball_inside_box, ball_intersects_box, distance, square_distance, x_distance
+from .functions.grid import grid_bounds, grid_cell, grid_ijk, surrounding_cells
+from .functions.text import format_coords, format_neighbors, format_points
+from .functions.tree import tree_address, tree_bounds
+from .operators import knn, overlap, partition, tree_build
+from .operators.partition import Grid, Tree
+from .plans.fixtures import SQL, as_queries, dup_ids3d, points3d, queries2d, skewed2d, training2d
+from .plans.joins import knn_join, range_join
+
+K, N2, N3, CAPACITY, DEPTH = 10, 16, 8, 50, 10
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def _register(sql: str | None = None, uses: tuple[str, ...] = ()):
+    def add(f):
+        name = f.__name__.strip("_")
+        _QUERIES[name] = f
+        if sql is not None:
+            ctes = ", ".join(f"{u} as ({SQL[u]})" for u in uses)
+            _SQL[name] = (f"with {ctes} " if uses else "") + sql
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _cols(dims: int) -> list:
+    return [F.col(a) for a in axes(dims)]
+
+
+def _rounded(neighbors: DataFrame) -> DataFrame:
+    return neighbors.select("qid", "tid", F.round("dist", 8).alias("dist"), F.col("rank").cast("long").alias("rank"))
+
+
+def _d(a: str, b: str, dims: int) -> str:
+    return "sqrt(" + " + ".join(f"({a}.{c}-{b}.{c})*({a}.{c}-{b}.{c})" for c in axes(dims)) + ")"
+
+
+# SQL parts, as text: cells, addresses, brute force.
+def _cell_sql(n: int, dims: int) -> str:
+    return " + ".join(f"cast(floor({a} / (1.0::double / {n})) as bigint) * {n**k}" for k, a in enumerate(axes(dims)))
+
+
+def _addr_sql(dims: int, depth: int, at: str = "") -> str:
+    bit = lambda a: f"((cast(floor({at}{a} * {1 << depth}) as bigint) >> ({depth} - l)) & 1)"
+    digit = f"{bit('x')} + 2 * (1 - {bit('y')})" + (f" + 4 * {bit('z')}" if dims == 3 else "")
+    return f"array_to_string(list_transform(range(1, {depth + 1}), lambda l: cast({digit} as varchar)), '')"
+
+
+def _brute(q: str, t: str, dims: int, k: int = K, where: str = "") -> str:
+    return f"""select qid, tid, round(dist, 8) as dist, rank from (
+        select *, row_number() over (partition by qid order by dist, tid) as rank from (
+            select q.qid, t.tid, min({_d('q', 't', dims)}) as dist from {q} q, {t} t {where} group by q.qid, t.tid)) where rank <= {k}"""
+
+
+def _bounds_sql(dims: int, addr: str = "addr") -> str:
+    upper = {"x": "1357", "y": "0145", "z": "4567"}
+    out = []
+    for a in axes(dims):
+        lo = f"coalesce(list_sum(list_transform(range(1, length({addr}) + 1), lambda i: case when contains('{upper[a]}', {addr}[i]) then pow(2.0, -i) else 0.0 end)), 0.0)"
+        out += [f"{lo} as {a}min", f"{lo} + pow(2.0, -length({addr})) as {a}max"]
+    return ", ".join(out)
+
+
+def _tree_sql(dims: int, source: str, method: str = "capacity", depth: int = DEPTH, capacity: int = CAPACITY) -> str:
+    """CTEs ending in leaves(addr, level)."""
+    digits = ", ".join(f"'{d}'" for d in range(1 << dims))
+    internal = {
+        "capacity": "select addr from over_full",
+        "siblings": f"select addr from over_full union select p || d from (select distinct substr(addr, 1, length(addr) - 1) as p from over_full where addr <> ''), (select unnest([{digits}]) as d)",
+        "avg_width": f"select addr from over_full union select addr from wide where pow(2.0, -length(addr)) > (select avg(w) from (select distinct pow(2.0, -length(addr)) as w from leaves1)) and length(addr) < {depth}",
+    }[method]
+    return f"""
+        prefixes as (select substr(a, 1, l) as addr, count(*) as n from (select {_addr_sql(dims, depth)} as a from {source}), (select unnest(range(0, {depth + 1})) as l) group by 1),
+        over_full as (select addr from prefixes where n > {capacity} and length(addr) < {depth}),
+        leaves1 as (select '' as addr where not exists (select 1 from over_full) union all
+            select addr || d as addr from over_full, (select unnest([{digits}]) as d) where addr || d not in (select addr from over_full)),
+        wide as (select '' as addr union all select addr || d from wide, (select unnest([{digits}]) as d) where length(addr) < 4),
+        internal as ({internal}),
+        leaves as (select addr, length(addr) as level from (select '' as addr where not exists (select 1 from internal) union all
+            select addr || d from internal, (select unnest([{digits}]) as d) where addr || d not in (select addr from internal)))"""
+
+
+def _with_tree(tail: str, dims: int = 2, source: str = "sampled", method: str = "capacity", uses: tuple[str, ...] = ("training2d",)) -> str:
+    ctes = ", ".join(f"{u} as ({SQL[u]})" for u in uses)
+    sampled = f"sampled as (select * from {uses[0]} where (tid * 7919) % 100 < 25)"
+    return f"with recursive {ctes}, {sampled}, {_tree_sql(dims, source, method)} {tail}"
+
+
+def _tree(spark: SparkSession, sf_dir: str, method: str = "capacity", dims: int = 2) -> Tree:
+    points = training2d(spark, sf_dir) if dims == 2 else points3d(spark, sf_dir)
+    sample = partition.sample_points(points, 25)
+    return Tree(tree_build.build_tree(sample, CAPACITY, method, dims, DEPTH).persist(), dims)
+
+
+# Cells, addresses and bounds
+
+
+@_register(f"select tid, {_cell_sql(N2, 2)} as cell from training2d", ("training2d",))
+def grid_cell_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training2d(spark, sf_dir).select("tid", grid_cell(*_cols(2), n=N2).alias("cell"))
+
+
+@_register(f"select tid, {_cell_sql(N3, 3)} as cell from points3d", ("points3d",))
+def grid_cell_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return points3d(spark, sf_dir).select("tid", grid_cell(*_cols(3), n=N3).alias("cell"))
+
+
+@_register(f"select tid, cell % {N3} as i, (cell // {N3}) % {N3} as j, (cell // {N3 * N3}) % {N3} as k from (select tid, {_cell_sql(N3, 3)} as cell from points3d)", ("points3d",))
+def _grid_ijk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ijk = grid_ijk(F.col("cell"), N3, 3)
+    return grid_cell_3d(spark, sf_dir).select("tid", *(v.alias(n) for v, n in zip(ijk, "ijk", strict=True)))
+
+
+@_register(f"select distinct cell, (cell % {N2}) / {N2}.0::double as xmin, (cell % {N2} + 1) / {N2}.0::double as xmax, (cell // {N2}) / {N2}.0::double as ymin, (cell // {N2} + 1) / {N2}.0::double as ymax from (select {_cell_sql(N2, 2)} as cell from training2d)", ("training2d",))
+def _grid_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = grid_cell_2d(spark, sf_dir).select("cell").distinct()
+    return cells.select("cell", *(v.alias(f"{a}{n}") for a, b in zip("xy", grid_bounds(F.col("cell"), N2, 2), strict=True) for v, n in zip(b, ("min", "max"), strict=True)))
+
+
+@_register(f"select tid, {_addr_sql(2, DEPTH)} as addr from training2d", ("training2d",))
+def tree_cell_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training2d(spark, sf_dir).select("tid", tree_address(*_cols(2), depth=DEPTH).alias("addr"))
+
+
+@_register(f"select tid, {_addr_sql(3, DEPTH)} as addr from points3d", ("points3d",))
+def tree_cell_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return points3d(spark, sf_dir).select("tid", tree_address(*_cols(3), depth=DEPTH).alias("addr"))
+
+
+@_register(f"select addr, {_bounds_sql(3)} from (select distinct substr({_addr_sql(3, DEPTH)}, 1, 4) as addr from points3d)", ("points3d",))
+def _tree_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tree_cell_3d(spark, sf_dir).select(F.substring("addr", 1, 4).alias("addr")).distinct()
+    return rows.select("addr", *(v.alias(f"{a}{n}") for a, b in zip("xyz", tree_bounds(F.col("addr"), 3), strict=True) for v, n in zip(b, ("min", "max"), strict=True)))
+
+
+def _leaf_of_sql(points: str, id_col: str) -> str:
+    return f"select {id_col}, addr as cell from (select {id_col}, {_addr_sql(2, DEPTH)} as a from {points}) p join leaves on substr(a, 1, level) = addr"
+
+
+@_register(_with_tree(_leaf_of_sql("training2d", "tid")))
+def assign_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partition.with_cell(training2d(spark, sf_dir), _tree(spark, sf_dir)).select("tid", "cell")
+
+
+# Distances
+
+
+@_register(f"select qid, tid, {_d('q', 't', 2)} as dist from queries2d q join training2d t on q.qid = t.tid", ("queries2d", "training2d"))
+def distance_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _same_id(spark, sf_dir).select("qid", "tid", distance(*_both(2)).alias("dist"))
+
+
+def _same_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = training2d(spark, sf_dir).select("tid", F.col("x").alias("tx"), F.col("y").alias("ty"))
+    return queries2d(spark, sf_dir).join(t, F.col("qid") == F.col("tid"))
+
+
+def _both(dims: int) -> tuple[list, list]:
+    return _cols(dims), [F.col(f"t{a}") for a in axes(dims)]
+
+
+@_register(f"select a.tid as qid, b.tid, {_d('a', 'b', 3)} as dist, {_d('a', 'b', 3)[5:-1]} as square from points3d a join points3d b on a.tid + 1 = b.tid", ("points3d",))
+def distance_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = points3d(spark, sf_dir)
+    t = p.select("tid", *(F.col(a).alias(f"t{a}") for a in "xyz"))
+    rows = as_queries(p).join(t, F.col("qid") + 1 == F.col("tid"))
+    return rows.select("qid", "tid", distance(*_both(3)).alias("dist"), square_distance(*_both(3)).alias("square"))
+
+
+@_register("select qid, tid, abs(q.x - t.x) as dx from queries2d q join training2d t on q.qid = t.tid", ("queries2d", "training2d"))
+def _x_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _same_id(spark, sf_dir).select("qid", "tid", x_distance(F.col("x"), F.col("tx")).alias("dx"))
+
+
+def _around_sql(n: int, dims: int, source: str) -> str:
+    near = " and ".join(f"abs(a.{c} - b.{c}) <= 1" for c in "ijk"[:dims])
+    split = ", ".join(f"(c // {n**k}) % {n} as {c}" for k, c in enumerate("ijk"[:dims]))
+    return f", own as (select c as cell, {split} from (select distinct {_cell_sql(n, dims)} as c from {source})), every as (select c as neighbour, {split} from (select unnest(range(0, {n**dims})) as c)) select a.cell, b.neighbour from own a join every b on {near} and a.cell <> b.neighbour"
+
+
+@_register(_around_sql(N2, 2, "training2d"), ("training2d",))
+def surrounding_cells_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrounding_cells(grid_cell_2d(spark, sf_dir).select("cell").distinct(), N2, 2)
+
+
+@_register(_around_sql(N3, 3, "points3d"), ("points3d",))
+def surrounding_cells_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrounding_cells(grid_cell_3d(spark, sf_dir).select("cell").distinct(), N3, 3)
+
+
+# Ball and box: each point with a ball, against the cell of the point with the next id
+
+
+def _against(points: DataFrame, n: int, dims: int) -> DataFrame:
+    cells = points.select((F.col("tid") - 1).alias("tid"), grid_cell(*_cols(dims), n=n).alias("cell"))
+    return points.withColumn("r", (F.col("tid") % 8).cast("double") / 32.0).join(cells, "tid")
+
+
+def _against_sql(source: str, n: int, dims: int, test: str) -> str:
+    bounds = ", ".join(f"((c.cell // {n**k}) % {n}) / {n}.0::double as {a}0, ((c.cell // {n**k}) % {n} + 1) / {n}.0::double as {a}1" for k, a in enumerate(axes(dims)))
+    return f"select tid, cell, {test} as hit from (select p.*, (p.tid % 8) / 32.0::double as r, c.cell, {bounds} from {source} p join (select tid - 1 as tid, {_cell_sql(n, dims)} as cell from {source}) c on p.tid = c.tid)"
+
+
+def _touch(dims: int) -> str:
+    return " + ".join(f"pow(greatest({a}0 - {a}, 0, {a} - {a}1), 2)" for a in axes(dims)) + " <= r * r"
+
+
+def _within(dims: int) -> str:
+    return "least(" + ", ".join(f"{a} - {a}0, {a}1 - {a}" for a in axes(dims)) + ") >= r"
+
+
+@_register(_against_sql("training2d", N2, 2, _touch(2)), ("training2d",))
+def circle_square(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _against(training2d(spark, sf_dir), N2, 2)
+    return rows.select("tid", "cell", ball_intersects_box(_cols(2), F.col("r"), grid_bounds(F.col("cell"), N2, 2)).alias("hit"))
+
+
+@_register(_against_sql("points3d", N3, 3, _touch(3)), ("points3d",))
+def sphere_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _against(points3d(spark, sf_dir), N3, 3)
+    return rows.select("tid", "cell", ball_intersects_box(_cols(3), F.col("r"), grid_bounds(F.col("cell"), N3, 3)).alias("hit"))
+
+
+@_register(_against_sql("training2d", 2, 2, _within(2)), ("training2d",))
+def circle_inside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _against(training2d(spark, sf_dir), 2, 2)
+    return rows.select("tid", "cell", ball_inside_box(_cols(2), F.col("r"), grid_bounds(F.col("cell"), 2, 2)).alias("hit"))
+
+
+@_register(_against_sql("points3d", 2, 3, _within(3)), ("points3d",))
+def sphere_inside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _against(points3d(spark, sf_dir), 2, 3)
+    return rows.select("tid", "cell", ball_inside_box(_cols(3), F.col("r"), grid_bounds(F.col("cell"), 2, 3)).alias("hit"))
+
+
+# Filters and counts
+
+_CELLED = f", q as (select *, {_cell_sql(N2, 2)} as cell from queries2d), t as (select *, {_cell_sql(N2, 2)} as cell from training2d) "
+
+
+def _celled(spark: SparkSession, sf_dir: str, n: int = N2) -> tuple[DataFrame, DataFrame]:
+    return partition.with_cell(queries2d(spark, sf_dir), Grid(n)), partition.with_cell(training2d(spark, sf_dir), Grid(n))
+
+
+@_register(_CELLED + "select tid, cell from t where cell in (select cell from q)", ("queries2d", "training2d"))
+def query_cells_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, t = _celled(spark, sf_dir)
+    return partition.training_in_query_cells(t, q).select("tid", "cell")
+
+
+@_register("select tid, x, y from training2d where (tid * 7919) % 100 < 25", ("training2d",))
+def hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partition.sample_points(training2d(spark, sf_dir), 25)
+
+
+@_register(f"select {_cell_sql(N2, 2)} as cell, count(*) as n from training2d group by 1", ("training2d",))
+def cell_counts_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partition.cell_counts(_celled(spark, sf_dir)[1])
+
+
+@_register(_with_tree(f"select cell, count(*) as n from ({_leaf_of_sql('training2d', 'tid')}) group by 1"))
+def cell_counts_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partition.cell_counts(partition.with_cell(training2d(spark, sf_dir), _tree(spark, sf_dir)))
+
+
+# Trees
+
+
+@_register(_with_tree(f"select addr, level, {_bounds_sql(2)} from leaves"))
+def tree_capacity_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _longs(_tree(spark, sf_dir).leaves, "level")
+
+
+def _longs(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("long") for c in names})
+
+
+@_register(_with_tree(f"select addr, level, {_bounds_sql(3)} from leaves", 3, uses=("points3d",)))
+def tree_capacity_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _longs(_tree(spark, sf_dir, dims=3).leaves, "level")
+
+
+@_register(_with_tree("select addr, level from leaves", method="siblings"))
+def tree_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _longs(_tree(spark, sf_dir, "siblings").leaves.select("addr", "level"), "level")
+
+
+@_register(_with_tree("select addr, level from leaves", method="avg_width"))
+def tree_avg_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _longs(_tree(spark, sf_dir, "avg_width").leaves.select("addr", "level"), "level")
+
+
+@_register(_with_tree("select count(*) as widths, avg(w) as mean_width from (select distinct pow(2.0, -level) as w from leaves)"))
+def tree_width_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree_build.tree_width_stats(_tree(spark, sf_dir).leaves)
+
+
+@_register(_with_tree("select count(*) as n_leaves, max(level) as depth from leaves"))
+def tree_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _longs(tree_build.tree_stats(_tree(spark, sf_dir).leaves), "depth")
+
+
+@_register(_with_tree("select string_agg(bit, '' order by addr) as bits from (select addr, '0' as bit from leaves union all select addr, '1' from internal)"))
+def tree_bitstring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree_build.tree_bitstring(_tree(spark, sf_dir).leaves)
+
+
+# Local lists, merging, as-of
+
+_LOCAL = _CELLED + f", pairs as (select q.cell, q.qid, t.tid, {_d('q', 't', 2)} as dist from q join t on q.cell = t.cell), local as (select * from (select *, row_number() over (partition by qid order by dist, tid) as rank from pairs) where rank <= {K}) "
+_BOTH = ("queries2d", "training2d")
+
+
+def _local(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    q, t = _celled(spark, sf_dir)
+    return knn.local_knn(q, t, K, **options)
+
+
+def _local_out(found: DataFrame) -> DataFrame:
+    return found.select("cell", "qid", "tid", F.round("dist", 8).alias("dist"), F.col("rank").cast("long").alias("rank"))
+
+
+_LOCAL_OUT = _LOCAL + "select cell, qid, tid, round(dist, 8) as dist, rank from local"
+
+
+@_register(_LOCAL_OUT, _BOTH)
+def local_knn_bf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _local_out(_local(spark, sf_dir))
+
+
+@_register(_LOCAL_OUT, _BOTH)
+def local_knn_ps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _local_out(_local(spark, sf_dir, method="ps"))
+
+
+@_register(_LOCAL_OUT, _BOTH)
+def local_knn_salted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _local_out(_local(spark, sf_dir, salts=4))
+
+
+@_register(_LOCAL + f"select qid, count(*) as found, case when count(*) >= {K} then round(max(dist), 8) end as radius from local group by qid", _BOTH)
+def local_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.local_radius(_local(spark, sf_dir), K).withColumn("radius", F.round("radius", 8))
+
+
+@_register(_LOCAL + ", far as (select *, row_number() over (partition by qid order by dist desc, tid) as r from pairs) "
+    f"select qid, tid, round(dist, 8) as dist, rank from (select *, row_number() over (partition by qid order by dist, tid) as rank from (select qid, tid, min(dist) as dist from (select qid, tid, dist from local union all select qid, tid, dist from far where r <= {K}) group by 1, 2)) where rank <= {K}", _BOTH)
+def merge_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(knn.merge_neighbors(_local(spark, sf_dir), _far(spark, sf_dir), k=K))
+
+
+def _far(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The farthest points of the own cell, as another list to merge."""
+    from pyspark.sql import Window
+
+    q, t = _celled(spark, sf_dir)
+    t = t.select("cell", "tid", F.col("x").alias("tx"), F.col("y").alias("ty"))
+    order = Window.partitionBy("qid").orderBy(F.desc("dist"), "tid")
+    return q.join(t, "cell").withColumn("dist", distance(*_both(2))).withColumn("r", F.row_number().over(order)).where(F.col("r") <= K).select("qid", "tid", "dist")
+
+
+@_register("""select qid, tid, round(dist, 8) as dist, rank from (
+    select *, row_number() over (partition by qid order by dist, tid) as rank from (
+        select q.qid, t.tid, """ + _d("q", "t", 2) + """ as dist from queries2d q, training2d t where t.tid % 3 <> 2)) where rank <= 10""", _BOTH)
+def merge_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, t = queries2d(spark, sf_dir), training2d(spark, sf_dir)
+    parts = [knn_join(q, t.where(F.col("tid") % 3 == r), K, Grid(N2)) for r in (0, 1)]
+    return _rounded(knn.merge_neighbors(*parts, parts[0], k=K))
+
+
+@_register(_CELLED + "select cell, qid, coalesce((select max(struct_pack(x := t.x, tid := t.tid)).tid from t where t.cell = q.cell and t.x <= q.x), -1) as tid from q", _BOTH)
+def _asof_x(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """-1 where there is none."""
+    return knn.asof_x(*_celled(spark, sf_dir), by="cell").withColumn("tid", F.coalesce("tid", F.lit(-1).cast("long")))
+
+
+@_register(_LOCAL + ", tc as (select cell, count(*) as nt from t group by 1), qc as (select cell, count(*) as nq from q group by 1) select (select count(*) from tc) as num_cells, (select count(*) from qc) as cells_proc, (select cast(sum(nt) as bigint) from tc join qc using (cell)) as total_tpoints, (select cast(sum(nt * nq) as bigint) from tc join qc using (cell)) as dpc_count, (select round(sum(dist), 6) from local) as sumdist", _BOTH)
+def _knn_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.knn_metrics(*_celled(spark, sf_dir), _local(spark, sf_dir)).withColumn("sumdist", F.round("sumdist", 6))
+
+
+# Overlaps and ranges
+
+_RADII = _LOCAL + f", full_r as (select qid, max(dist) as radius from local group by qid having count(*) >= {K}) "
+
+
+@_register(_RADII + f""", cells as (select distinct cell, (cell % {N2}) / {N2}.0::double as x0, (cell // {N2}) / {N2}.0::double as y0 from t)
+    select q.qid, c.cell from q join full_r using (qid), cells c where c.cell <> q.cell
+    and pow(greatest(x0 - q.x, 0, q.x - x0 - 1.0::double / {N2}), 2) + pow(greatest(y0 - q.y, 0, q.y - y0 - 1.0::double / {N2}), 2) <= pow(radius * (1 + 1e-9) + 1e-12, 2)""", _BOTH)
+def overlap_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the queries whose list is full."""
+    q, t = _celled(spark, sf_dir)
+    local = knn.local_knn(q, t, K)
+    full = knn.local_radius(local, K).where("radius is not null").select("qid")
+    return overlap.overlap_cells(q.join(full, "qid"), partition.cell_counts(t), local, K, Grid(N2)).select("qid", "cell")
+
+
+@_register(_RADII + f""", cells as (select cell, count(*) as n, (cell % {N2}) / {N2}.0::double as x0, (cell // {N2}) / {N2}.0::double as y0 from t group by cell)
+    select q.qid, count(*) as cells, cast(sum(n) as bigint) as points from q join full_r using (qid), cells c where c.cell <> q.cell
+    and pow(greatest(x0 - q.x, 0, q.x - x0 - 1.0::double / {N2}), 2) + pow(greatest(y0 - q.y, 0, q.y - y0 - 1.0::double / {N2}), 2) <= pow(radius * (1 + 1e-9) + 1e-12, 2) group by 1""", _BOTH)
+def overlap_point_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partition.overlap_point_counts(overlap_grid(spark, sf_dir), partition.cell_counts(_celled(spark, sf_dir)[1]))
+
+
+@_register(_with_tree(f"""
+    , q as (select qid, x, y, addr as cell from (select *, {_addr_sql(2, DEPTH)} as a from queries2d) join leaves on substr(a, 1, level) = addr),
+    t as (select tid, x, y, addr as cell from (select *, {_addr_sql(2, DEPTH)} as a from training2d) join leaves on substr(a, 1, level) = addr),
+    r as (select qid, max(dist) as radius from (select *, row_number() over (partition by qid order by dist, tid) as k from (select q.qid, t.tid, {_d('q', 't', 2)} as dist from q join t on q.cell = t.cell)) where k <= {K} group by 1 having count(*) >= {K}),
+    b as (select addr, {_bounds_sql(2)} from leaves where addr in (select cell from t))
+    select q.qid, b.addr as cell from q join r using (qid), b where b.addr <> q.cell
+    and pow(greatest(xmin - x, 0, x - xmax), 2) + pow(greatest(ymin - y, 0, y - ymax), 2) <= pow(radius * (1 + 1e-9) + 1e-12, 2)""", uses=("training2d", "queries2d")))
+def overlap_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the queries whose list is full."""
+    tree = _tree(spark, sf_dir)
+    q, t = partition.with_cell(queries2d(spark, sf_dir), tree), partition.with_cell(training2d(spark, sf_dir), tree)
+    local = knn.local_knn(q, t, K)
+    full = knn.local_radius(local, K).where("radius is not null").select("qid")
+    return overlap.overlap_cells(q.join(full, "qid"), partition.cell_counts(t), local, K, tree).select("qid", "cell")
+
+
+_R = "(qid % 16 + 1) / 128.0"
+
+
+@_register(_with_tree(f""", b as (select addr, {_bounds_sql(2)} from leaves) select qid, addr as cell from (select *, (qid % 16 + 1) / 128.0::double as r from queries2d), b
+    where pow(greatest(xmin - x, 0, x - xmax), 2) + pow(greatest(ymin - y, 0, y - ymax), 2) <= pow(r * (1 + 1e-9) + 1e-12, 2)""", uses=("training2d", "queries2d")))
+def range_query_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.range_query_cells(_balls(spark, sf_dir), _tree(spark, sf_dir))
+
+
+def _balls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queries2d(spark, sf_dir).withColumn("radius", (F.col("qid") % 16 + 1).cast("double") / 128.0)
+
+
+_RANGE = f"select qid, tid, round(dist, 8) as dist from (select qid, tid, {_d('q', 't', 2)} as dist, (qid % 16 + 1) / 128.0::double as r from queries2d q, training2d t) where dist <= r"
+
+
+@_register(_RANGE, _BOTH)
+def _range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return range_join(_balls(spark, sf_dir), training2d(spark, sf_dir), Grid(N2)).withColumn("dist", F.round("dist", 8))
+
+
+@_register(_RANGE, _BOTH)
+def range_join_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return range_join(_balls(spark, sf_dir), training2d(spark, sf_dir), _tree(spark, sf_dir)).withColumn("dist", F.round("dist", 8))
+
+
+# Whole joins
+
+
+@_register(_brute("queries2d", "training2d", 2), _BOTH)
+def broadcast_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(knn.broadcast_knn(queries2d(spark, sf_dir), training2d(spark, sf_dir), K))
+
+
+@_register(_brute("queries2d", "training2d", 2), _BOTH)
+def knn_join_grid_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(knn_join(queries2d(spark, sf_dir), training2d(spark, sf_dir), K, Grid(64)))
+
+
+@_register(_brute("queries2d", "training2d", 2), _BOTH)
+def knn_join_tree_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(knn_join(queries2d(spark, sf_dir), training2d(spark, sf_dir), K, _tree(spark, sf_dir)))
+
+
+@_register(_brute("queries2d", "training2d", 2), _BOTH)
+def knn_join_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(knn_join(queries2d(spark, sf_dir), training2d(spark, sf_dir), K, Grid(N2), method="ps"))
+
+
+_Q3 = ", q3 as (select tid as qid, x, y, z from points3d) "
+
+
+@_register(_Q3 + _brute("q3", "points3d", 3), ("points3d",))
+def knn_join_grid_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = points3d(spark, sf_dir)
+    return _rounded(knn_join(as_queries(p), p, K, Grid(N3, 3)))
+
+
+@_register(_Q3 + _brute("q3", "points3d", 3), ("points3d",))
+def knn_join_tree_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = points3d(spark, sf_dir)
+    return _rounded(knn_join(as_queries(p), p, K, _tree(spark, sf_dir, dims=3)))
+
+
+@_register(_Q3 + _brute("q3", "points3d", 3, where="where q.qid <> t.tid"), ("points3d",))
+def knn_self_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each point's neighbours, itself left out."""
+    p = points3d(spark, sf_dir)
+    return _rounded(knn_join(as_queries(p), p, K, Grid(N3, 3), exclude_self=True))
+
+
+@_register(_Q3 + _brute("q3", "dup_ids3d", 3), ("points3d", "dup_ids3d"))
+def knn_join_dup_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training ids repeat; each counts once."""
+    return _rounded(knn_join(as_queries(points3d(spark, sf_dir)), dup_ids3d(spark, sf_dir), K, Grid(N3, 3), unique_ids=False))
+
+
+@_register()
+def knn_skewed_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Skewed points against themselves over a tree; tests hold it against brute force."""
+    p = skewed2d(spark, sf_dir)
+    tree = Tree(tree_build.build_tree(partition.sample_points(p, 25), CAPACITY, "capacity", 2, 16).persist())
+    return _rounded(knn_join(as_queries(p), p, K, tree))
+
+
+# Text forms
+
+
+@_register("select tid, x, y from training2d", ("training2d",))
+def _sort_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partition.sort_points(training2d(spark, sf_dir), "x", "max")
+
+
+@_register("select tid, printf('%d\t%.8f\t%.8f\t%.8f', tid, x, y, z) as line, printf('%.8f\t%.8f\t%.8f', x, y, z) as coords from points3d", ("points3d",))
+def _format_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = points3d(spark, sf_dir)
+    return format_points(p, "tid", 3).join(p.select("tid", format_coords(*_cols(3)).alias("coords")), "tid")
+
+
+@_register(_LOCAL + "select qid, string_agg(printf('%d\t%.8f\t', tid, dist), '' order by dist, tid) as line from local where rank <= 5 group by qid", _BOTH)
+def _format_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_neighbors(_local(spark, sf_dir), 5)
