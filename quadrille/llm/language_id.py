@@ -94,6 +94,12 @@ def _table(counts: list, langs: list[str]) -> tuple[dict[str, int], np.ndarray]:
     return index, np.log((n + SMOOTH) / (n.sum(axis=0, keepdims=True) + SMOOTH * (len(index) + 1)))
 
 
+def _grams(size: int):
+    """All n-grams of one size of the padded word ``p``; the whole of a shorter one."""
+    places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length("p") - (size - 1)))
+    return F.transform(places, lambda at: F.substr("p", at, F.lit(size)))
+
+
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
     """Learns from rows with a label; labels come to the driver counted, words and n-grams up to the limits."""
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
@@ -105,7 +111,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max
     sample = rows.where(F.col("lang").isin(langs) & (F.pmod(F.xxhash64("text"), F.lit(1 << 31)) < below))
     words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("key")).groupBy("lang", "key").agg(F.count(F.lit(1)).alias("n")).persist()
     padded = F.concat(F.lit("^"), F.substr("key", F.lit(1), F.lit(64)), F.lit("$"))
-    gram = [F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length("p") - (k - 1))), lambda i, k=k: F.substr("p", i, F.lit(k))) for k in range(1, N_MAX + 1)]
+    gram = [_grams(k) for k in range(1, N_MAX + 1)]
     grams = words.select("lang", "n", padded.alias("p")).select("lang", "n", F.explode(F.concat(*gram)).alias("key")).groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
     def most(counted: DataFrame, limit: int) -> list:
