@@ -30,6 +30,7 @@ MAX_ROWS = 20_000
 MAX_WORDS = 40_000
 MAX_GRAMS = 40_000
 N_MAX = 4
+SIZES = tuple(range(N_MAX, 0, -1))
 BACKOFF = math.log(0.4)
 SMOOTH = 0.5
 UNKNOWN = "und"
@@ -45,31 +46,37 @@ class Model:
     grams: dict[str, int]
     gram_log: np.ndarray
 
-    def unseen(self, word: str) -> np.ndarray:
-        """Mean over places of the longest known n-gram's log frequencies."""
-        padded, total, n = f"^{word[:64]}$", np.zeros(len(self.langs)), 0
+    def backoff(self, word: str) -> list[int]:
+        """At each place of an unseen word the longest n-gram that is known, if any."""
+        padded, grams, found = f"^{word[:64]}$", self.grams.get, []
         for at in range(len(padded) - 1):
-            for size in range(min(N_MAX, len(padded) - at), 0, -1):
-                k = self.grams.get(padded[at : at + size])
+            for size in SIZES:
+                k = grams(padded[at : at + size])
                 if k is not None:
-                    total += self.gram_log[k] + BACKOFF * (N_MAX - size)
+                    found.append(k)
                     break
-            n += 1
-        return total / max(1, n)
+        return found
 
     def scores(self, text: str) -> tuple[np.ndarray, int]:
-        """Sum of log scores by language, and the number of words."""
+        """Sum of log scores by language, and the number of words; an unseen word scores the mean over its places."""
         counts: Counter = Counter()
         for at in range(0, len(text), PIECE):
             counts.update(WORD.findall(text[at : at + PIECE].lower()))
-        known = [(self.words[w], n) for w, n in counts.items() if w in self.words]
-        total = np.zeros(len(self.langs))
-        if known:
-            k, n = np.array(known).T
-            total += n @ self.word_log[k]
+        words, times, grams, share = [], [], [], []
+        index = self.words.get
         for w, n in counts.items():
-            if w not in self.words:
-                total += n * self.unseen(w)
+            k = index(w)
+            if k is not None:
+                words.append(k)
+                times.append(n)
+            elif found := self.backoff(w):
+                grams += found
+                share += [n / (min(len(w), 64) + 1)] * len(found)
+        total = np.zeros(len(self.langs))
+        if words:
+            total += np.array(times, dtype=np.float64) @ self.word_log[words]
+        if grams:
+            total += np.array(share) @ self.gram_log[grams]
         return total, sum(counts.values())
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -120,6 +127,8 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max
 
     found = Model(langs, *_table(most(words, max_words), langs), *_table(most(grams, max_grams), langs))
     words.unpersist()
+    for key, k in found.grams.items():
+        found.gram_log[k] += BACKOFF * (N_MAX - len(key))
     return found
 
 
