@@ -31,9 +31,9 @@ from .bpe import codec, encode_column, slices
 from .common import staging_root
 
 MAGIC = b"QTK1"
-BLOCK = 4096
+BLOCK = 2048
 LANES = 1024
-STRIPE_IDS = 1 << 22
+STRIPE_IDS = 1 << 21
 END_ID = 0
 TOPS = 64
 LIMIT = 120
