@@ -513,7 +513,7 @@ def knn_join_dup_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register()
 def knn_skewed_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Skewed points against themselves over a tree; tests hold it against brute force."""
+    """Skewed points against themselves over a tree. All pairs are too many for SQL; tests hold the same join against brute force on small sets."""
     p = skewed2d(spark, sf_dir)
     tree = Tree(tree_build.build_tree(partition.sample_points(p, 25), CAPACITY, "capacity", 2, 16).persist())
     return _rounded(knn_join(as_queries(p), p, K, tree))
