@@ -2,13 +2,16 @@
 
 A stripe holds whole documents in ascending order of id; its ids are cut into blocks of ``BLOCK``, and a block knows
 nothing of any other. For each next id three orders predict: order 2 and order 1 name the id that last followed the
-last two ids and the last one, with a confidence; order 0 is a distribution over all ids as three digits (50-some,
-32, 32) of adaptive counts, the first digit mixed with counts under the previous id's first digit. How often each
-confidence came true weighs the named ids against the distribution in one frequency table, which drives a carry-less
-48-bit range coder. Blocks are coded side by side as numpy lanes; a lane's bytes don't depend on the others.
+last two ids and the last one, with a confidence; order 0 is a distribution over all ids. How often each pair of
+confidences came true mixes the named ids and the distribution into one probability, which drives a 48-bit range coder
+with carries.
 
-Stripe, little-endian: ``QTK1``, blocks and ids a block (u32 each), ids (u64), then per block its bytes (u32) and the CRC-32 of its ids as u32,
-then the blocks' bytes. The table of stripes also has the documents' ids and lengths.
+A block is cut into lanes, stretches that are coded side by side as numpy arrays, each by a range coder of its own, while
+all learn and share one model: a step codes the next id of every lane, then the model learns them all. The lanes' words
+go into one stream in the order in which the reader asks for them.
+
+Stripe, little-endian: ``QTK2``, blocks and bound of the ids (u32 each), then per block its ids, lanes, bytes and the
+CRC-32 of its ids as u32 (u32 each), then the blocks' bytes. The table of stripes also has the documents' ids and lengths.
 
 Defined results: null and empty texts are the end id alone; null ids come first; rows with equal ids follow each other
 in order of the text's hash; an empty table gives an empty file; a block that fails its checksum raises an error.
@@ -30,240 +33,247 @@ from pyspark.sql import functions as F
 from .bpe import codec, encode_column, slices
 from .common import staging_root
 
-MAGIC = b"QTK1"
-BLOCK = 2048
-LANES = 1024
+MAGIC = b"QTK2"
+BLOCK = 1 << 21
+LANES = 8192
+LANE_IDS = 256
 STRIPE_IDS = 1 << 21
 END_ID = 0
-TOPS = 64
-LIMIT = 120
-SLOTS = 12
-CONFIDENCE = 8
-MASK = (1 << 48) - 1
-HIGH, FLOOR = 1 << 32, 1 << 24
+MOST = 1 << 16  # ids are below this
+SLOTS = 18
+SURE = 7
+MIX_BITS = 16
+ORDER0 = 1 << 20
+FRESH = 8
 WORD = 16
-MOST = TOPS << 10  # ids are below this
+LOW = (1 << 48) - 1
+FLOOR = 1 << 32
 
 
 class _Model:
-    """The predictions of all lanes for their next id; made anew for each block."""
+    """What a block's lanes have learnt together; made anew for each block.
 
-    def __init__(self, lanes: int):
-        self.lane = np.arange(lanes, dtype=np.int64)
-        self.top = np.zeros((lanes, TOPS), dtype=np.uint16)
-        self.top1 = np.zeros((lanes * TOPS, TOPS), dtype=np.uint8)
-        self.mid = np.zeros((lanes * TOPS, 32), dtype=np.uint8)
-        self.low = np.zeros((lanes * TOPS * 32, 32), dtype=np.uint8)
-        slots = lanes << SLOTS
-        self.told1, self.told2 = np.full(slots, -1, dtype=np.int32), np.full(slots, -1, dtype=np.int32)
-        self.sure1, self.sure2 = np.zeros(slots, dtype=np.uint8), np.zeros(slots, dtype=np.uint8)
-        self.hits = np.zeros((2, lanes * CONFIDENCE), dtype=np.int64)
-        self.tries = np.zeros((2, lanes * CONFIDENCE), dtype=np.int64)
-        self.last = np.zeros(lanes, dtype=np.int64)
-        self.before = np.zeros(lanes, dtype=np.int64)
-
-    def head(self) -> tuple[np.ndarray, ...]:
-        """Frequencies of the two named ids, and of each first digit, as a running sum."""
-        size = (1 << SLOTS) - 1
-        self.at1 = (self.lane << SLOTS) + ((self.last * 40503 >> 4) & size)
-        self.at2 = (self.lane << SLOTS) + ((self.last * 40503 + self.before * 30011 >> 3) & size)
-        self.id1, self.id2 = self.told1[self.at1], self.told2[self.at2]
-        self.row1 = self.lane * TOPS + (self.last >> 10)
-        counts = (self.top1[self.row1].astype(np.int32) << 2) + self.top + 1
-        sums = np.cumsum(counts, axis=1)
-        total = sums[:, -1].astype(np.int64)
-        self.c2 = self.lane * CONFIDENCE + self.sure2[self.at2]
-        self.c1 = self.lane * CONFIDENCE + self.sure1[self.at1]
-        weigh = lambda k, c: total * (2 * self.hits[k][c] + 1) // (2 * (self.tries[k][c] - self.hits[k][c]) + 3) + 1
-        f2 = np.where(self.id2 >= 0, np.minimum(weigh(0, self.c2), total << 5), 0)
-        f1 = np.where((self.id1 >= 0) & (self.id1 != self.id2), np.minimum(weigh(1, self.c1), total << 5), 0)
-        return f2, f1, counts, sums
-
-    def second(self, top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts of the second digit under a first one, as a running sum."""
-        counts = self.mid[self.lane * TOPS + top].astype(np.int32) + 1
-        return counts, np.cumsum(counts, axis=1)
-
-    def third(self, upper: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts of the third digit under the first two."""
-        counts = self.low[self.lane * (TOPS * 32) + upper].astype(np.int32) + 1
-        return counts, np.cumsum(counts, axis=1)
-
-    @staticmethod
-    def _count(table: np.ndarray, row: np.ndarray, digit: np.ndarray, by: int, limit: int) -> None:
-        flat, at = table.reshape(-1), row * table.shape[1] + digit
-        now = flat[at] + by
-        flat[at] = now
-        if now.max(initial=0) > limit - by:
-            full = row[now > limit - by]
-            table[full] >>= 1
-
-    def learn(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        has2, has1 = self.id2 >= 0, (self.id1 >= 0) & (self.id1 != self.id2) & ~hit2
-        for k, c, has, hit in ((0, self.c2, has2, hit2), (1, self.c1, has1, hit1)):
-            self.tries[k][c] += has
-            self.hits[k][c] += hit
-        for told, sure, at, named in ((self.told2, self.sure2, self.at2, self.id2), (self.told1, self.sure1, self.at1, self.id1)):
-            right = named == ids
-            level = sure[at]
-            sure[at] = np.where(right, np.minimum(level + 1, CONFIDENCE - 1), level >> 1)
-            told[at] = np.where(right | (level > 1), named, ids)
-        top = ids >> 10
-        miss = np.flatnonzero(~(hit2 | hit1))
-        self._count(self.top, self.lane[miss], top[miss], 8, 4000)
-        self._count(self.top1, self.row1[miss], top[miss], 8, LIMIT)
-        self._count(self.mid, (self.lane * TOPS + top)[miss], ((ids >> 5) & 31)[miss], 8, LIMIT)
-        self._count(self.low, (self.lane * (TOPS * 32) + (ids >> 5))[miss], (ids & 31)[miss], 8, LIMIT)
+    A named id and its confidence are one number, ``id << 3 | confidence``; -8 names none.
+    """
+
+    def __init__(self, width: int, lanes: int):
+        self.width, self.steps = width, 0
+        self.named1 = np.full(width, -8, dtype=np.int64)
+        self.named2 = np.full(1 << SLOTS, -8, dtype=np.int64)
+        self.mixed = np.tile(np.array([1, 1, 2], dtype=np.int64), (128, 1))
+        self.seen = np.zeros(width, dtype=np.int64)
+        self.last, self.before = np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
+        self.mix()
+        self.fresh0()
+
+    def mix(self) -> None:
+        """Frequencies, for each pair of confidences, of: order 2 is right, order 1 is right, neither."""
+        tries = self.mixed.sum(axis=1, keepdims=True)
+        share = 1 + self.mixed * ((1 << MIX_BITS) - 3) // tries
+        share[:, 2] = (1 << MIX_BITS) - share[:, 0] - share[:, 1]
+        self.freq = share.ravel()
+        self.start = (np.cumsum(share, axis=1) - share).ravel()
+        self.bound2, self.bound1 = share[:, 0].copy(), share[:, 0] + share[:, 1]
+
+    def fresh0(self) -> None:
+        """The distribution of order 0, from the ids that no other order named."""
+        self.freq0 = 1 + self.seen * (ORDER0 - self.width) // max(1, int(self.seen.sum()))
+        self.sum0 = np.cumsum(self.freq0)
+        self.start0, self.total0 = self.sum0 - self.freq0, int(self.sum0[-1])
+        self.slots = None
+
+    def by_slot(self) -> np.ndarray:
+        if self.slots is None:
+            self.slots = np.repeat(np.arange(self.width, dtype=np.uint16), self.freq0)
+        return self.slots
+
+    def look(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids that order 2 and order 1 name, and the pair of confidences, of all lanes."""
+        self.at2 = ((self.last * 40503) ^ (self.before * 30011 >> 2)) & ((1 << SLOTS) - 1)
+        self.told2, self.told1 = self.named2.take(self.at2), self.named1.take(self.last)
+        self.id2, self.id1 = self.told2 >> 3, self.told1 >> 3
+        self.pair = (self.told2 & SURE) << 3 | (self.told1 & SURE) | (self.id1 == self.id2) * 64
+        return self.id2, self.id1, self.pair
+
+    def learn(self, ids: np.ndarray, outcome: np.ndarray, rest: np.ndarray) -> None:
+        """outcome: 3 * pair + (0: order 2 was right, 1: order 1, 2: neither); rest: the ids of the last sort."""
+        self.mixed += np.bincount(outcome, minlength=384).reshape(128, 3)
+        self.seen += np.bincount(rest, minlength=self.width)
+        for table, at, told, named in ((self.named2, self.at2, self.told2, self.id2), (self.named1, self.last, self.told1, self.id1)):
+            sure = told & SURE
+            less = np.where(sure > 1, told - sure + (sure >> 1), ids << 3)
+            table[at] = np.where(named == ids, told + (sure < SURE), less)
         self.before, self.last = self.last, ids
+        self.steps += 1
+        self.mix()
+        if self.steps % FRESH == 0 or self.steps in (1, 2, 4):
+            self.fresh0()
 
 
 class _Writer:
-    def __init__(self, lanes: int, most: int):
-        self.low, self.range = np.zeros(lanes, dtype=np.int64), np.full(lanes, MASK, dtype=np.int64)
-        self.words, self.n = np.zeros((lanes, most), dtype="<u2"), np.zeros(lanes, dtype=np.int64)
+    """Range coders of all lanes; ``back`` chains each lane's words, along which carries go, and ends with -1 - lane."""
+
+    def __init__(self, lanes: int):
+        self.low, self.range = np.zeros(lanes, dtype=np.int64), np.full(lanes, LOW, dtype=np.int64)
+        self.words, self.back, self.n = np.zeros(lanes * 4, dtype=np.uint16), np.zeros(lanes * 4, dtype=np.int32), 0
+        self.newest = -1 - np.arange(lanes, dtype=np.int32)
 
     def _emit(self, at: np.ndarray) -> None:
-        if self.n.max(initial=0) >= self.words.shape[1]:
-            self.words = np.concatenate([self.words, np.zeros_like(self.words)], axis=1)
-        self.words[at, self.n[at]] = self.low[at] >> 32
-        self.n[at] += 1
-        self.low[at] = (self.low[at] << WORD) & MASK
-
-    def put(self, start: np.ndarray, freq: np.ndarray, total: np.ndarray) -> None:
-        unit = self.range // total
-        self.low += unit * start
-        self.range = unit * freq
-        while len(at := _ready(self.low, self.range)):
-            self._emit(at)
-            self.range[at] <<= WORD
-
-    def finish(self) -> list[bytes]:
-        every = np.arange(len(self.low))
+        end = self.n + len(at)
+        if end > len(self.words):
+            self.words = np.concatenate([self.words, np.zeros(end, dtype=np.uint16)])
+            self.back = np.concatenate([self.back, np.zeros(end, dtype=np.int32)])
+        low = self.low.take(at)
+        self.words[self.n : end] = low >> 32
+        self.back[self.n : end] = self.newest.take(at)
+        self.newest[at] = np.arange(self.n, end, dtype=np.int32)
+        self.low[at] = (low << WORD) & LOW
+        self.n = end
+
+    def put(self, start: np.ndarray, freq: np.ndarray, unit: np.ndarray, at: np.ndarray | None = None) -> None:
+        """Narrow the lanes ``at`` (None: all) to freq units from start."""
+        low, span = unit * start, unit * freq
+        if at is None:
+            self.low += low
+            self.range = span
+            over, small = np.flatnonzero(self.low > LOW), np.flatnonzero(span < FLOOR)
+        else:
+            low += self.low.take(at)
+            self.low[at], self.range[at] = low, span
+            over, small = at[low > LOW], at[span < FLOOR]
+        if len(over):
+            self.low[over] &= LOW
+            word = self.newest.take(over)
+            while len(word):
+                self.words[word] += np.uint16(1)
+                word = self.back.take(word[self.words.take(word) == 0])
+        while len(small):
+            self._emit(small)
+            span = self.range.take(small) << WORD
+            self.range[small] = span
+            small = small[span < FLOOR]
+
+    def finish(self) -> bytes:
+        """The words as the reader asks for them: three of each lane first, then at each step a lane's third next."""
+        lanes = len(self.low)
         for _ in range(3):
-            self._emit(every)
-        return [self.words[k, :n].tobytes() for k, n in enumerate(self.n.tolist())]
-
-
-def _ready(low: np.ndarray, span: np.ndarray) -> np.ndarray:
-    """Lanes that move on by a word: the first word is settled, or the range is too small and gets cut at a carry."""
-    open_ = (low ^ (low + span)) >= HIGH
-    at = np.flatnonzero(~open_ | (span < FLOOR))
-    if len(at):
-        small = at[open_[at]]
-        if len(small):
-            span[small] = -low[small] & (FLOOR - 1)
-    return at
+            self._emit(np.arange(lanes))
+        back = self.back[: self.n]
+        later, firsts = np.flatnonzero(back >= 0), np.flatnonzero(back < 0)
+        after, first = np.zeros(self.n, dtype=np.int32), np.empty(lanes, dtype=np.int32)
+        after[back[later]] = later
+        first[-1 - back[firsts]] = firsts
+        second = after[first]
+        order = np.concatenate([first, second, after[second], after[after[after[: self.n - 3 * lanes]]]])
+        return self.words[order].astype("<u2").tobytes()
 
 
 class _Reader:
-    def __init__(self, blocks: list[bytes]):
-        most = max(map(len, blocks)) // 2 + 4
-        self.words = np.zeros((len(blocks), most), dtype=np.int64)
-        for k, b in enumerate(blocks):
-            self.words[k, : len(b) // 2] = np.frombuffer(b, dtype="<u2")
-        self.low, self.range = np.zeros(len(blocks), dtype=np.int64), np.full(len(blocks), MASK, dtype=np.int64)
-        self.code = self.words[:, 0] << 32 | self.words[:, 1] << 16 | self.words[:, 2]
-        self.n = np.full(len(blocks), 3, dtype=np.int64)
-
-    def target(self, total: np.ndarray) -> np.ndarray:
-        self.unit = self.range // total
-        return np.minimum((self.code - self.low) // self.unit, total - 1)
-
-    def take(self, start: np.ndarray, freq: np.ndarray) -> None:
-        self.low += self.unit * start
-        self.range = self.unit * freq
-        while len(at := _ready(self.low, self.range)):
-            if self.n.max() >= self.words.shape[1]:
+    def __init__(self, data: bytes, lanes: int):
+        self.words = np.frombuffer(data, dtype="<u2").astype(np.int64)
+        if len(self.words) < 3 * lanes:
+            raise ValueError("block ends too early")
+        a, b, c = self.words[: 3 * lanes].reshape(3, lanes)
+        self.code, self.range, self.n = a << 32 | b << 16 | c, np.full(lanes, LOW, dtype=np.int64), 3 * lanes
+
+    def take(self, start: np.ndarray, freq: np.ndarray, unit: np.ndarray, at: np.ndarray | None = None) -> None:
+        """As ``_Writer.put``."""
+        low, span = unit * start, unit * freq
+        if at is None:
+            self.code -= low
+            self.range = span
+            small = np.flatnonzero(span < FLOOR)
+        else:
+            self.code[at], self.range[at] = self.code.take(at) - low, span
+            small = at[span < FLOOR]
+        while len(small):
+            end = self.n + len(small)
+            if end > len(self.words):
                 raise ValueError("block ends too early")
-            self.code[at] = (self.code[at] << WORD) & MASK | self.words[at, self.n[at]]
-            self.n[at] += 1
-            self.low[at] = (self.low[at] << WORD) & MASK
-            self.range[at] <<= WORD
-
-
-def _pick(values: np.ndarray, index: np.ndarray) -> np.ndarray:
-    return values[np.arange(len(index)), index].astype(np.int64)
-
-
-def encode_blocks(ids: np.ndarray) -> list[bytes]:
-    """ids: lanes x steps, below 65536; the coded bytes of each lane."""
-    lanes, steps = ids.shape
-    if ids.size and not 0 <= int(ids.min()) <= int(ids.max()) < MOST:
-        raise ValueError(f"ids must be below {MOST}")
-    model, out = _Model(lanes), _Writer(lanes, steps + 8)
-    one = np.ones(lanes, dtype=np.int64)
-    for now in np.ascontiguousarray(ids.T.astype(np.int64)):
-        f2, f1, counts, sums = model.head()
-        hit2 = model.id2 == now
-        hit1 = (model.id1 == now) & ~hit2
-        miss, top = ~(hit2 | hit1), now >> 10
-        freq = _pick(counts, top)
-        start = np.where(miss, f2 + f1 + _pick(sums, top) - freq, np.where(hit1, f2, 0))
-        out.put(start, np.where(miss, freq, np.where(hit1, f1, f2)), f2 + f1 + sums[:, -1])
-        for (counts, sums), digit in ((model.second(top), (now >> 5) & 31), (model.third(now >> 5), now & 31)):
-            freq = _pick(counts, digit)
-            out.put(np.where(miss, _pick(sums, digit) - freq, 0), np.where(miss, freq, one), np.where(miss, sums[:, -1], one))
-        model.learn(now, hit2, hit1)
-    return out.finish()
-
-
-def decode_blocks(blocks: list[bytes], steps: int) -> np.ndarray:
-    """The ids, lanes x steps, of blocks of equal length."""
-    lanes = len(blocks)
-    model, source = _Model(lanes), _Reader(blocks)
-    out, one = np.empty((steps, lanes), dtype=np.int64), np.ones(lanes, dtype=np.int64)
+            self.code[small] = self.code.take(small) << WORD | self.words[self.n : end]
+            span = self.range.take(small) << WORD
+            self.range[small] = span
+            small, self.n = small[span < FLOOR], end
+
+
+def _over(x: np.ndarray, y: np.ndarray | int) -> np.ndarray:
+    """floor(x / y); exact, as x and each multiple of y stay below 2^48."""
+    return (x / y).astype(np.int64)
+
+
+def encode_block(ids: np.ndarray, width: int) -> tuple[int, bytes]:
+    """The lanes and the coded bytes of one block of ids below width; the last lane is filled up with zeros."""
+    lanes = min(LANES, max(1, len(ids) // LANE_IDS))
+    padded = np.zeros(lanes * -(-len(ids) // lanes), dtype=np.int64)
+    padded[: len(ids)] = ids
+    model, out = _Model(width, lanes), _Writer(lanes)
+    for now in np.ascontiguousarray(padded.reshape(lanes, -1).T):
+        id2, id1, pair = model.look()
+        kind = np.where(id2 == now, 0, 2 - (id1 == now))
+        outcome = 3 * pair + kind
+        out.put(model.start.take(outcome), model.freq.take(outcome), out.range >> MIX_BITS)
+        at = np.flatnonzero(kind == 2)
+        rest = now.take(at)
+        out.put(model.start0.take(rest), model.freq0.take(rest), _over(out.range.take(at), model.total0), at)
+        model.learn(now, outcome, rest)
+    return lanes, out.finish()
+
+
+def decode_block(data: bytes, lanes: int, count: int, width: int) -> np.ndarray:
+    """The count ids of a block."""
+    steps = -(-count // lanes)
+    model, source = _Model(width, lanes), _Reader(data, lanes)
+    out = np.empty((steps, lanes), dtype=np.int32)
     for k in range(steps):
-        f2, f1, counts, sums = model.head()
-        v = source.target(f2 + f1 + sums[:, -1])
-        hit2, hit1 = v < f2, (v >= f2) & (v < f2 + f1)
-        miss = ~(hit2 | hit1)
-        top = np.where(miss, (sums > (v - f2 - f1).astype(np.int32)[:, None]).argmax(axis=1), 0)
-        freq = _pick(counts, top)
-        start = np.where(miss, f2 + f1 + _pick(sums, top) - freq, np.where(hit1, f2, 0))
-        source.take(start, np.where(miss, freq, np.where(hit1, f1, f2)))
-        now = top
-        for table in (model.second, model.third):
-            counts, sums = table(now)
-            v = source.target(np.where(miss, sums[:, -1], one))
-            digit = np.where(miss, (sums > v.astype(np.int32)[:, None]).argmax(axis=1), 0)
-            freq = _pick(counts, digit)
-            source.take(np.where(miss, _pick(sums, digit) - freq, 0), np.where(miss, freq, one))
-            now = now << 5 | digit
-        now = np.where(hit2, model.id2, np.where(hit1, model.id1, now)).astype(np.int64)
+        id2, id1, pair = model.look()
+        unit = source.range >> MIX_BITS
+        v = _over(source.code, unit)
+        kind = (v >= model.bound2.take(pair)).astype(np.int64) + (v >= model.bound1.take(pair))
+        outcome = 3 * pair + kind
+        source.take(model.start.take(outcome), model.freq.take(outcome), unit)
+        now = np.where(kind == 0, id2, id1)
+        at = np.flatnonzero(kind == 2)
+        unit = _over(source.range.take(at), model.total0)
+        v = _over(source.code.take(at), unit)
+        rest = model.by_slot().take(v, mode="clip").astype(np.int64)
+        source.take(model.start0.take(rest), model.freq0.take(rest), unit, at)
+        now[at] = rest
         out[k] = now
-        model.learn(now, hit2, hit1)
-    return out.T
+        model.learn(now, outcome, rest)
+    return out.T.reshape(-1)[:count]
 
 
 def write_stripe(ids: np.ndarray, block: int = BLOCK) -> bytes:
-    """One stripe of the file format; the last block is filled up with zeros, which the count of ids takes away."""
-    n = -(-len(ids) // block)
-    padded = np.zeros(n * block, dtype=np.int64)
-    padded[: len(ids)] = ids
-    rows = padded.reshape(n, block)
-    bodies = [b for k in range(0, n, LANES) for b in encode_blocks(rows[k : k + LANES])]
-    sums = [zlib.crc32(r.astype("<u4").tobytes()) for r in rows]
-    told = b"".join(struct.pack("<II", len(b), c) for b, c in zip(bodies, sums, strict=True))
-    return b"".join([MAGIC, struct.pack("<IIQ", n, block, len(ids)), told, *bodies])
+    """One stripe of the file format."""
+    if len(ids) and not 0 <= int(ids.min()) <= int(ids.max()) < MOST:
+        raise ValueError(f"ids must be from 0 to {MOST - 1}")
+    width = int(ids.max()) + 1 if len(ids) else 1
+    told, bodies = [], []
+    for k in range(0, len(ids), block):
+        own = ids[k : k + block]
+        lanes, body = encode_block(own, width)
+        told.append(struct.pack("<IIII", len(own), lanes, len(body), zlib.crc32(own.astype("<u4").tobytes())))
+        bodies.append(body)
+    return b"".join([MAGIC, struct.pack("<II", len(bodies), width), *told, *bodies])
 
 
 def read_stripe(data: bytes) -> np.ndarray:
     """The ids of a stripe; every block is checked."""
     if data[:4] != MAGIC:
         raise ValueError("not a stripe of token ids")
-    n, block, count = struct.unpack_from("<IIQ", data, 4)
-    at = 20 + 8 * n
-    told = [struct.unpack_from("<II", data, 20 + 8 * k) for k in range(n)]
-    bodies = []
-    for size, _ in told:
-        bodies.append(data[at : at + size])
-        at += size
-    out = [decode_blocks(bodies[k : k + LANES], block) for k in range(0, n, LANES)]
-    rows = np.concatenate(out) if out else np.empty((0, block), dtype=np.int64)
-    for k, (_, crc) in enumerate(told):
-        if zlib.crc32(rows[k].astype("<u4").tobytes()) != crc:
+    n, width = struct.unpack_from("<II", data, 4)
+    out, at = [], 12 + 16 * n
+    for k in range(n):
+        count, lanes, size, crc = struct.unpack_from("<IIII", data, 12 + 16 * k)
+        try:
+            ids = decode_block(data[at : at + size], lanes, count, width)
+        except (IndexError, ValueError, ZeroDivisionError) as e:
+            raise ValueError(f"block {k} fails its checksum: it can't be decoded") from e
+        if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
             raise ValueError(f"block {k} fails its checksum")
-    return rows.reshape(-1)[:count]
+        out.append(ids)
+        at += size
+    return np.concatenate(out) if out else np.empty(0, dtype=np.int32)
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, stripe_ids: int = STRIPE_IDS, block: int = BLOCK) -> None:
