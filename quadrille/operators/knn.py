@@ -7,9 +7,11 @@ smallest distance.
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,13 +121,49 @@ def sweep_one(row: np.ndarray, points: np.ndarray, x: np.ndarray, ids: np.ndarra
         reach *= 2
 
 
-def broadcast_knn(queries: DataFrame, training: DataFrame, k: int, dims: int = 2, exclude_self: bool = False, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """(qid, tid, dist, rank) against a whole training table of at most ``limit`` rows, which is checked; larger ones need ``knn_join``."""
-    if training.limit(limit + 1).count() > limit:
-        raise ValueError(f"training has more than {limit} rows; use knn_join")
+def broadcast_knn(queries: DataFrame, training: DataFrame, k: int, dims: int = 2, exclude_self: bool = False, limit: int = BROADCAST_ROWS, method: str = "ps") -> DataFrame:
+    """(qid, tid, dist, rank) against a whole training table of at most ``limit`` rows, which is checked; larger ones need ``knn_join``.
+
+    ``ps`` sends the points, sorted along x, to the tasks, which sweep them for each query: no shuffle. ``bf`` ranks all
+    pairs of a broadcast join.
+    """
+    if method not in METHODS or k < 1:
+        raise ValueError(f"method is one of {METHODS}, k at least 1")
+    names = list(axes(dims))
+    small = training.select("tid", *names).limit(limit + 1)
+    too_many = f"training has more than {limit} rows; use knn_join"
+    if method == "bf":
+        if small.count() > limit:
+            raise ValueError(too_many)
+        return whole_knn(queries, F.broadcast(training), k, dims, exclude_self)
+    held = small.toArrow()
+    if held.num_rows > limit:
+        raise ValueError(too_many)
+    held = held.sort_by([("x", "ascending"), ("tid", "ascending")])
+    columns = [held.column(a).to_numpy().astype(np.float64) for a in names]
+    sent = queries.sparkSession.sparkContext.broadcast((np.stack(columns, axis=1), columns[0], held.column("tid").to_numpy()))
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        points, x, ids = sent.value
+        for batch in batches:
+            rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns[1:]], axis=1)
+            qids = batch.column(0).to_pylist()
+            lists = [sweep_one(row, points, x, ids, k, qid if exclude_self else None) for qid, row in zip(qids, rows, strict=True)]
+            sizes = [len(name) for name, _ in lists]
+            at = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+            ranks = np.concatenate([np.arange(1, n + 1, dtype=np.int32) for n in sizes] or [np.empty(0, np.int32)])
+            tids, dist = (np.concatenate([pair[c] for pair in lists] or [np.empty(0)]) for c in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(tids.astype(np.int64)), pa.array(dist), pa.array(ranks)], names=["qid", "tid", "dist", "rank"])
+
+    wanted = queries.select("qid", *names)
+    return wanted.mapInArrow(sweep, f"qid {wanted.schema['qid'].dataType.simpleString()}, tid long, dist double, rank int")
+
+
+def whole_knn(queries: DataFrame, training: DataFrame, k: int, dims: int = 2, exclude_self: bool = False) -> DataFrame:
+    """(qid, tid, dist, rank) from all pairs, for training tables of few distinct ids; their rows may be any number."""
     renamed = training.select("tid", *(F.col(a).alias(r) for a, r in zip(axes(dims), _t(dims), strict=True)))
     dist = distance([F.col(a) for a in axes(dims)], [F.col(r) for r in _t(dims)])
-    pairs = queries.join(F.broadcast(renamed)).withColumn("dist", dist).select("qid", "tid", "dist")
+    pairs = queries.crossJoin(renamed).withColumn("dist", dist).select("qid", "tid", "dist")
     if exclude_self:
         pairs = pairs.where("qid <> tid")
     return top_k(pairs, k, ["qid"], unique=False)

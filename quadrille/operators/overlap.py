@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import axes, box_max_square, box_min_square
@@ -52,11 +52,24 @@ def cell_bounds(cell: Column, partitioning: Grid | Tree) -> list[tuple[Column, C
     return tree_bounds(cell, partitioning.dims)
 
 
+def with_bounds(rows: DataFrame, cell: str, partitioning: Grid | Tree) -> tuple[DataFrame, list[tuple[Column, Column]], list[str]]:
+    """rows with the bounds of their cell as columns, those columns in pairs, and their names.
+
+    A tree address is walked once for each row here, so rows should be the cells and not what is joined to them.
+    """
+    names = [f"_{a}{n}" for a in axes(partitioning.dims) for n in ("lo", "hi")]
+    both = [v for b in cell_bounds(F.col(cell), partitioning) for v in b]
+    return rows.withColumns(dict(zip(names, both, strict=True))), [(F.col(lo), F.col(hi)) for lo, hi in zip(names[::2], names[1::2], strict=True)], names
+
+
 def cells_in_reach(balls: DataFrame, cells: DataFrame, partitioning: Grid | Tree) -> DataFrame:
-    """balls(qid, x, y[, z], radius) x cells(cell): one row per ball and cell it touches, with the balls' columns."""
+    """balls(qid, x, y[, z], radius) x cells(cell): one row per ball and cell it touches, with the balls' columns.
+
+    ``near2`` and ``far2`` are the squared distances to the nearest and to the farthest point of the cell.
+    """
     names = axes(partitioning.dims)
     point = [F.col(a) for a in names]
-    cells = cells.select("cell").distinct()
+    cells, bounds, extra = with_bounds(cells.select("cell").distinct(), "cell", partitioning)
     if isinstance(partitioning, Grid):
         n, top = partitioning.n, _grid_levels(partitioning)
         wide = F.ceil(F.log2(F.greatest(F.col("radius") * 2 * n, F.lit(1.0))))
@@ -81,9 +94,9 @@ def cells_in_reach(balls: DataFrame, cells: DataFrame, partitioning: Grid | Tree
         at = at.withColumn("_block", F.substr(tree_address(*inside, depth=depth) if depth else F.lit(""), F.lit(1), F.col("_level"))).drop("_side", *(f"_{a}" for a in names))
         below = at.join(tree_blocks(cells), "_block").drop("_block", "_level")
         above = at.where("_level > 0").withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.col("_level") - 1), lambda k: F.substr("_block", F.lit(1), k)))).drop("_block", "_level")
-        met = below.unionByName(above.distinct().join(cells, "cell", "left_semi"))
-    bounds = cell_bounds(F.col("cell"), partitioning)
-    return met.where(box_min_square(point, bounds) <= padded(F.col("radius")) * padded(F.col("radius")))
+        met = below.unionByName(above.distinct().join(cells, "cell"))
+    met = met.withColumns({"near2": box_min_square(point, bounds), "far2": box_max_square(point, bounds)}).drop(*extra)
+    return met.where(F.col("near2") <= padded(F.col("radius")) * padded(F.col("radius")))
 
 
 def range_query_cells(balls: DataFrame, tree: Tree) -> DataFrame:
@@ -106,26 +119,26 @@ def block_bound(queries: DataFrame, counts: DataFrame, k: int, partitioning: Gri
         bounds = [(F.col(f"_{a}") * side, (F.col(f"_{a}") + 1) * side) for a in names]
     else:
         full = tree_blocks(counts).groupBy("_block").agg(F.sum("n").alias("n")).where(F.col("n") >= k).drop("n")
+        full, bounds, _ = with_bounds(full, "_block", partitioning)
         met = tree_blocks(queries.select("qid", *names, "cell")).join(full, "_block")
-        bounds = tree_bounds(F.col("_block"), partitioning.dims)
     return met.select("qid", F.sqrt(box_max_square(point, bounds)).alias("bound")).groupBy("qid").agg(F.min("bound").alias("bound"))
 
 
 def search_radius(queries: DataFrame, local: DataFrame, weights: DataFrame, k: int, partitioning: Grid | Tree, need: int | None = None) -> DataFrame:
-    """queries with ``radius``, a proven bound of the k-th distance: that of the local list if it is full, else ``block_bound``.
+    """queries with ``radius``, a proven bound of the k-th distance: that of the local list if it is full, else ``block_bound``; ``starved`` tells which.
 
     weights: (cell, n), at most the number of distinct training points; ``need`` of them must be in a block, k by default.
     Null where there are fewer at all.
     """
     full = local.groupBy("qid").agg(F.when(F.count(F.lit(1)) >= k, F.max("dist")).alias("radius"))
-    known = queries.join(full, "qid", "left")
-    starved = known.where("radius is null").drop("radius")
+    known = queries.join(full, "qid", "left").withColumn("starved", F.col("radius").isNull())
+    starved = known.where("starved").drop("radius")
     bound = block_bound(starved, weights, need or k, partitioning).withColumnRenamed("bound", "radius")
-    return known.where("radius is not null").unionByName(starved.join(bound, "qid", "left").select(*known.columns))
+    return known.where("not starved").unionByName(starved.join(bound, "qid", "left").select(*known.columns))
 
 
 def overlap_cells(queries: DataFrame, cells: DataFrame, local: DataFrame, k: int, partitioning: Grid | Tree, weights: DataFrame | None = None, need: int | None = None) -> DataFrame:
-    """queries' columns, radius and cell: non-empty cells other than its own that may hold one of a query's k nearest.
+    """queries' columns, radius, starved, cell, near2 and far2: non-empty cells other than its own that may hold one of a query's k nearest.
 
     queries have their cell; cells: (cell, n) of non-empty cells; local is what ``local_knn`` gave for them.
     """
@@ -134,3 +147,21 @@ def overlap_cells(queries: DataFrame, cells: DataFrame, local: DataFrame, k: int
     point, bounds = [F.col(a) for a in axes(partitioning.dims)], cell_bounds(F.col("_own"), partitioning)
     room = F.least(*(g for p, (lo, hi) in zip(point, bounds, strict=True) for g in (p - lo, hi - p)))
     return cells_in_reach(known.where(padded(F.col("radius")) > room), cells, partitioning).where("cell <> _own").drop("_own")
+
+
+def seed_cells(overlaps: DataFrame, weights: DataFrame, need: int) -> DataFrame:
+    """Of a starved query's overlapped cells those that come first by farthest corner and hold ``need`` points together.
+
+    Their points give a radius much below the bound that a whole block gives. overlaps: as ``overlap_cells`` has them;
+    weights: (cell, n), as in ``search_radius``.
+    """
+    order = Window.partitionBy("qid").orderBy("far2", "cell").rowsBetween(Window.unboundedPreceding, -1)
+    weighed = overlaps.where("starved").join(weights, "cell")
+    return weighed.withColumn("_before", F.coalesce(F.sum("n").over(order), F.lit(0))).where(F.col("_before") < need).drop("_before", "n")
+
+
+def tightened(overlaps: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """overlaps without the cells that lie beyond the k-th distance of the lists found(qid, ..., dist) so far, where these are full."""
+    full = found.groupBy("qid").agg(F.when(F.count(F.lit(1)) >= k, F.max("dist")).alias("_found"))
+    rows = overlaps.join(full, "qid", "left").withColumn("radius", F.least("radius", "_found")).drop("_found")
+    return rows.where(F.col("near2") <= padded(F.col("radius")) * padded(F.col("radius")))

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import axes, distance
-from ..operators.knn import broadcast_knn, local_knn, merge_neighbors, top_k
-from ..operators.overlap import cells_in_reach, overlap_cells, padded
+from ..operators.knn import local_knn, merge_neighbors, top_k, whole_knn
+from ..operators.overlap import cells_in_reach, overlap_cells, padded, seed_cells, tightened
 from ..operators.partition import Grid, Tree, cell_counts, with_cell
+from ..staging import staged
 
 
 def knn_join(queries: DataFrame, training: DataFrame, k: int, partitioning: Grid | Tree, method: str = "bf", unique_ids: bool = True, exclude_self: bool = False, salts: int = 1) -> DataFrame:
@@ -16,7 +17,8 @@ def knn_join(queries: DataFrame, training: DataFrame, k: int, partitioning: Grid
 
     Points must lie in [0, 1) (see ``split_domain`` and ``normalise_points``). unique_ids=False: tids may repeat, and each
     counts once; exclude_self: a point is not its own neighbour. Steps: local lists by cell, a proven radius for each
-    query, cells within it, lists from those, merge. Only queries whose ball leaves their cell go on after the first.
+    query, cells within it, lists from those, merge. Only queries whose ball leaves their cell go on after the first. A
+    query without a full local list takes one from the cells near it first, and its ball shrinks to that.
     """
     names = axes(partitioning.dims)
     q = with_cell(queries.select("qid", *names), partitioning)
@@ -26,13 +28,23 @@ def knn_join(queries: DataFrame, training: DataFrame, k: int, partitioning: Grid
     weights = cells if unique_ids else cell_counts(t.groupBy("tid").agg(F.min("cell").alias("cell")))
     need = k + exclude_self
     if (weights.agg(F.sum("n")).first()[0] or 0) < need:
-        return broadcast_knn(queries, training, k, partitioning.dims, exclude_self, limit=max(1, training.count()))
-    local = local_knn(q, t, k, partitioning.dims, method, unique_ids=unique_ids, exclude_self=exclude_self, salts=salts)
-    balls = overlap_cells(q, cells, local, k, partitioning, weights, need)
-    near = _in_balls(balls, t, partitioning.dims).select("cell", "qid", "tid", "dist")
-    if exclude_self:
-        near = near.where("qid <> tid")
-    return merge_neighbors(local, top_k(near, k, ["cell", "qid"], unique_ids), k=k)
+        return whole_knn(q, t, k, partitioning.dims, exclude_self)
+    # Both are read more than once, and the overlaps need all of the lists: stored, they are worked out once.
+    local = staged(local_knn(q, t, k, partitioning.dims, method, unique_ids=unique_ids, exclude_self=exclude_self, salts=salts).select("qid", "tid", "dist"), "local-lists")
+    overlaps = staged(overlap_cells(q, cells, local, k, partitioning, weights, need), "overlaps")
+
+    def nearest(balls: DataFrame) -> DataFrame:
+        near = _in_balls(balls, t, partitioning.dims).select("cell", "qid", "tid", "dist")
+        if exclude_self:
+            near = near.where("qid <> tid")
+        return top_k(near, k, ["cell", "qid"], unique_ids).select("qid", "tid", "dist")
+
+    if overlaps.where("starved").isEmpty():
+        return merge_neighbors(local, nearest(overlaps), k=k)
+    seeds = seed_cells(overlaps, weights, need)
+    first = staged(merge_neighbors(local, nearest(seeds), k=k), "first-lists")
+    rest = tightened(overlaps.join(seeds.select("qid", "cell"), ["qid", "cell"], "left_anti"), first, k)
+    return merge_neighbors(first, nearest(rest), k=k)
 
 
 def _in_balls(balls: DataFrame, t: DataFrame, dims: int) -> DataFrame:
