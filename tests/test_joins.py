@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from quadrille.operators.knn import asof_x, merge_neighbors
+from quadrille.operators.knn import asof_x, broadcast_knn, merge_neighbors
 from quadrille.operators.partition import Grid, Tree
 from quadrille.operators.tree_build import build_tree
 from quadrille.plans.joins import knn_join, range_join
@@ -82,3 +82,33 @@ def test_asof_and_merge(spark):
     assert {r.qid: r.tid for r in asof_x(q, t).collect()} == {1: 1, 2: None, 3: 2}
     a = spark.createDataFrame([(0, 5, 0.3), (0, 6, 0.2)], "qid long, tid long, dist double")
     assert [(r.tid, r["rank"]) for r in merge_neighbors(a, a, k=2).orderBy("rank").collect()] == [(6, 1), (5, 2)]
+
+
+def test_broadcast(spark):
+    rng = random.Random(5)
+    qs, ts = [(rng.random(), rng.random()) for _ in range(20)], [(round(rng.random(), 1), rng.random()) for _ in range(200)]
+    q, t = frames(spark, qs, ts)
+    for method in ("ps", "bf"):
+        assert got(broadcast_knn(q, t, 5, method=method)) == brute(qs, ts, 5)
+        with pytest.raises(ValueError):
+            broadcast_knn(q, t, 5, limit=199, method=method)
+    own = t.withColumnRenamed("tid", "qid")
+    assert all(r.qid != r.tid for r in broadcast_knn(own, t, 2, exclude_self=True).collect())
+    assert broadcast_knn(q, t.limit(0), 5).count() == 0 and broadcast_knn(q.limit(0), t, 5).count() == 0
+
+
+@pytest.mark.parametrize("ids", [2, 9])
+def test_repeated_ids_far_from_queries(spark, ids):
+    """Queries whose cells hold no training points; with two ids there are fewer than k neighbours at all."""
+    rng = random.Random(ids)
+    qs = [(0.7 + rng.random() / 4, 0.7 + rng.random() / 4) for _ in range(10)]
+    ts = [(k % ids, rng.random() / 2, rng.random() / 2) for k in range(120)]
+    q, _ = frames(spark, qs, qs)
+    t = spark.createDataFrame(ts, "tid long, x double, y double")
+    want = {}
+    for k, (x, y) in enumerate(qs):
+        least = {}
+        for tid, a, b in ts:
+            least[tid] = min(least.get(tid, 9.0), ((x - a) * (x - a) + (y - b) * (y - b)) ** 0.5)
+        want[k] = [tid for _, tid in sorted((d, tid) for tid, d in least.items())[:3]]
+    assert got(knn_join(q, t, 3, Grid(8), unique_ids=False)) == want
