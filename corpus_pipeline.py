@@ -38,7 +38,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages seen earlier are cut out; n_chars follows."""
     ship(spark)
-    out = substring_dedup.remove_repeats(docs).drop("removed")
+    out = substring_dedup.remove_repeats(docs, whole=True).drop("removed")
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
