@@ -384,6 +384,14 @@ def merge_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(knn.merge_neighbors(*parts, parts[0], k=K))
 
 
+@_register(_brute("queries2d", "training2d", 2), _BOTH)
+def merge_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As merge_many, whose SQL leaves the training points of one remainder out, but of all three parts."""
+    q, t = queries2d(spark, sf_dir), training2d(spark, sf_dir)
+    parts = [knn_join(q, t.where(F.pmod(F.col("tid"), F.lit(3)) == r), K, Grid(N2)) for r in (0, 1, 2)]
+    return _rounded(knn.merge_neighbors(*parts, parts[0], k=K))
+
+
 @_register(_CELLED + "select cell, qid, coalesce((select max(struct_pack(x := t.x, tid := t.tid)).tid from t where t.cell = q.cell and t.x <= q.x), -1) as tid from q", _BOTH)
 def _asof_x(spark: SparkSession, sf_dir: str) -> DataFrame:
     """-1 where there is none."""
