@@ -442,6 +442,48 @@ def overlap_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.overlap_cells(q.join(full, "qid"), partition.cell_counts(t), local, K, tree).select("qid", "cell")
 
 
+# The same for all queries: where the list isn't full, the radius is the far corner of the smallest block with K points.
+_EVERY_R = "r as (select qid, coalesce(f.radius, b.radius) as radius from q left join full_r f using (qid) left join bound b using (qid)) "
+_RADII_EVERY = _RADII + f""", levels as (select unnest(range(0, {N2.bit_length()})) as l),
+    blocks as (select l, (cell % {N2}) >> l as i, (cell // {N2}) >> l as j, count(*) as n from t, levels group by 1, 2, 3 having count(*) >= {K}),
+    bound as (select qid, sqrt(min(pow(greatest(x - x0, x0 + w - x), 2) + pow(greatest(y - y0, y0 + w - y), 2))) as radius
+        from (select q.*, pow(2, l) / {N2} as w, i * pow(2, l) / {N2} as x0, j * pow(2, l) / {N2} as y0 from q join blocks on (q.cell % {N2}) >> l = i and (q.cell // {N2}) >> l = j) group by 1),
+    {_EVERY_R}, cells as (select cell, count(*) as n, (cell % {N2}) / {N2}.0::double as x0, (cell // {N2}) / {N2}.0::double as y0 from t group by cell),
+    met as (select q.qid, c.cell, c.n from q join r using (qid), cells c where c.cell <> q.cell
+        and pow(greatest(x0 - q.x, 0, q.x - x0 - 1.0::double / {N2}), 2) + pow(greatest(y0 - q.y, 0, q.y - y0 - 1.0::double / {N2}), 2) <= pow(radius * (1 + 1e-9) + 1e-12, 2)) """
+
+
+@_register(_RADII_EVERY + "select qid, cell from met", _BOTH)
+def overlap_grid_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all queries, also those whose list is not full."""
+    return _overlaps(*_celled(spark, sf_dir), Grid(N2))
+
+
+@_register(_RADII_EVERY + "select qid, count(*) as cells, cast(sum(n) as bigint) as points from met group by 1", _BOTH)
+def overlap_point_counts_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partition.overlap_point_counts(overlap_grid_every(spark, sf_dir), partition.cell_counts(_celled(spark, sf_dir)[1]))
+
+
+@_register(_with_tree(f"""
+    , q as (select qid, x, y, addr as cell from (select *, {_addr_sql(2, DEPTH)} as a from queries2d) join leaves on substr(a, 1, level) = addr),
+    t as (select tid, x, y, addr as cell from (select *, {_addr_sql(2, DEPTH)} as a from training2d) join leaves on substr(a, 1, level) = addr),
+    full_r as (select qid, max(dist) as radius from (select *, row_number() over (partition by qid order by dist, tid) as k from (select q.qid, t.tid, {_d('q', 't', 2)} as dist from q join t on q.cell = t.cell)) where k <= {K} group by 1 having count(*) >= {K}),
+    blocks as (select substr(cell, 1, l) as addr from t, (select unnest(range(0, {DEPTH + 1})) as l) where l <= length(cell) group by 1 having count(*) >= {K}),
+    bound as (select qid, sqrt(min(pow(greatest(x - xmin, xmax - x), 2) + pow(greatest(y - ymin, ymax - y), 2))) as radius
+        from q join (select addr, {_bounds_sql(2)} from blocks) on starts_with(cell, addr) group by 1),
+    {_EVERY_R}, b as (select addr, {_bounds_sql(2)} from leaves where addr in (select cell from t))
+    select q.qid, b.addr as cell from q join r using (qid), b where b.addr <> q.cell
+    and pow(greatest(xmin - x, 0, x - xmax), 2) + pow(greatest(ymin - y, 0, y - ymax), 2) <= pow(radius * (1 + 1e-9) + 1e-12, 2)""", uses=("training2d", "queries2d")))
+def overlap_tree_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all queries, also those whose list is not full."""
+    tree = _tree(spark, sf_dir)
+    return _overlaps(partition.with_cell(queries2d(spark, sf_dir), tree), partition.with_cell(training2d(spark, sf_dir), tree), tree)
+
+
+def _overlaps(q: DataFrame, t: DataFrame, partitioning: Grid | Tree) -> DataFrame:
+    return overlap.overlap_cells(q, partition.cell_counts(t), knn.local_knn(q, t, K), K, partitioning).select("qid", "cell")
+
+
 _R = "(qid % 16 + 1) / 128.0"
 
 
