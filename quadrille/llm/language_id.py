@@ -2,7 +2,7 @@
 
 A known word scores by its log frequency in each language; an unseen one falls back to its character n-grams, the
 longest known first: at each place the longest n-gram that the model has, down to one character, counts, each step
-down at a discount. The language with the highest sum wins; the score is its share of the softmax of mean scores.
+down at a discount. Runs of letters are walked whole; one of more than ``LONG`` letters counts as a word for each ``LONG``. The language with the highest sum wins; the score is its share of the softmax of mean scores.
 
 The model is fitted on a bounded sample of labelled rows: rows whose hash is below ``max_rows`` / labelled rows. It keeps
 the ``max_words`` most frequent words and ``max_grams`` n-grams, so its size is fixed and it may be broadcast. Words and
@@ -36,6 +36,9 @@ SMOOTH = 0.5
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
 PIECE = 1 << 20
+LONG = 64
+#: N-grams of a long run are looked up or counted for so many places at a time.
+PLACES = 1024
 
 
 @dataclass
@@ -46,10 +49,10 @@ class Model:
     grams: dict[str, int]
     gram_log: np.ndarray
 
-    def backoff(self, word: str) -> list[int]:
-        """At each place of an unseen word the longest n-gram that is known, if any."""
-        padded, grams, found = f"^{word[:64]}$", self.grams.get, []
-        for at in range(len(padded) - 1):
+    def backoff(self, padded: str, places: range) -> list[int]:
+        """At each of these places of an unseen word the longest n-gram that is known, if any."""
+        grams, found = self.grams.get, []
+        for at in places:
             for size in SIZES:
                 k = grams(padded[at : at + size])
                 if k is not None:
@@ -57,27 +60,40 @@ class Model:
                     break
         return found
 
-    def scores(self, text: str) -> tuple[np.ndarray, int]:
+    def scores(self, text: str) -> tuple[np.ndarray, float]:
         """Sum of log scores by language, and the number of words; an unseen word scores the mean over its places."""
         counts: Counter = Counter()
-        for at in range(0, len(text), PIECE):
-            counts.update(WORD.findall(text[at : at + PIECE].lower()))
+        at = 0
+        while at < len(text):
+            to = at + PIECE
+            while to < len(text) and text[to].isalpha():
+                to += 1
+            counts.update(WORD.findall(text[at:to].lower()))
+            at = to
         words, times, grams, share = [], [], [], []
+        total, number = np.zeros(len(self.langs)), sum(counts.values())
         index = self.words.get
         for w, n in counts.items():
             k = index(w)
-            if k is not None:
+            if len(w) > LONG:
+                weight = n * len(w) / LONG
+                number += weight - n
+                if k is not None:
+                    total += weight * self.word_log[k]
+                    continue
+                for lo in range(0, len(w) + 1, PLACES):
+                    total += weight / (len(w) + 1) * self.gram_log[self.backoff(f"^{w}$", range(lo, min(lo + PLACES, len(w) + 1)))].sum(axis=0)
+            elif k is not None:
                 words.append(k)
                 times.append(n)
-            elif found := self.backoff(w):
+            elif found := self.backoff(f"^{w}$", range(len(w) + 1)):
                 grams += found
-                share += [n / (min(len(w), 64) + 1)] * len(found)
-        total = np.zeros(len(self.langs))
+                share += [n / (len(w) + 1)] * len(found)
         if words:
             total += np.array(times, dtype=np.float64) @ self.word_log[words]
         if grams:
             total += np.array(share) @ self.gram_log[grams]
-        return total, sum(counts.values())
+        return total, number
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not self.langs:
@@ -102,9 +118,10 @@ def _table(counts: list, langs: list[str]) -> tuple[dict[str, int], np.ndarray]:
 
 
 def _grams(size: int):
-    """All n-grams of one size of the padded word ``p``; the whole of a shorter one."""
-    places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length("p") - (size - 1)))
-    return F.transform(places, lambda at: F.substr("p", at, F.lit(size)))
+    """All n-grams of one size that start in the first PLACES places of the piece ``p``; the whole of a shorter word."""
+    last = F.least(F.lit(PLACES), F.char_length("p") - (size - 1))
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), last)), lambda at: F.substr("p", at, F.lit(size)))
+    return F.when((last >= 1) | (F.col("from") == 1), grams).otherwise(F.array().cast("array<string>"))
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
@@ -117,9 +134,11 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max
     below = int(min(1.0, max_rows / n) * (1 << 31))
     sample = rows.where(F.col("lang").isin(langs) & (F.pmod(F.xxhash64("text"), F.lit(1 << 31)) < below))
     words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("key")).groupBy("lang", "key").agg(F.count(F.lit(1)).alias("n")).persist()
-    padded = F.concat(F.lit("^"), F.substr("key", F.lit(1), F.lit(64)), F.lit("$"))
+    padded = words.select("lang", "n", F.concat(F.lit("^"), "key", F.lit("$")).alias("w"))
+    pieces = padded.select("lang", "n", "w", F.explode(F.sequence(F.lit(1), F.char_length("w"), F.lit(PLACES))).alias("from"))
+    pieces = pieces.select("lang", "n", "from", F.substr("w", "from", F.lit(PLACES + N_MAX - 1)).alias("p"))
     gram = [_grams(k) for k in range(1, N_MAX + 1)]
-    grams = words.select("lang", "n", padded.alias("p")).select("lang", "n", F.explode(F.concat(*gram)).alias("key")).groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    grams = pieces.select("lang", "n", F.explode(F.concat(*gram)).alias("key")).groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
     def most(counted: DataFrame, limit: int) -> list:
         keys = counted.groupBy("key").agg(F.sum("n").alias("all")).where("`all` > 1").orderBy(F.desc("all"), "key").limit(limit)
