@@ -4,7 +4,10 @@ A known word scores by its log frequency in each language; an unseen one falls b
 longest known first: at each place the longest n-gram that the model has, down to one character, counts, each step
 down at a discount. Runs of letters are walked whole; one of more than ``LONG`` letters counts as a word for each ``LONG``. The language with the highest sum wins; the score is its share of the softmax of mean scores.
 
-The model is fitted on a bounded sample of labelled rows: rows whose hash is below ``max_rows`` / labelled rows. It keeps
+The model is fitted on a bounded sample of labelled rows, drawn by language: all rows of a language with few, and of the
+others about as many each as make ``max_rows`` in all (at least one each is aimed at, so more languages than ``max_rows``
+make more). Rows are drawn by a hash of all their columns, so copies of a text are drawn apart where they have an id. Only
+languages with a sampled word are candidates. It keeps
 the ``max_words`` most frequent words and ``max_grams`` n-grams, so its size is fixed and it may be broadcast. Words and
 n-grams are counted by Spark over the whole sample, combined map-side.
 
@@ -124,16 +127,29 @@ def _grams(size: int):
     return F.when((last >= 1) | (F.col("from") == 1), grams).otherwise(F.array().cast("array<string>"))
 
 
+def sampled(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_ROWS) -> DataFrame | None:
+    """(text, lang) of the rows to learn from, for the 1000 languages with most rows; None if there are none."""
+    keys = [c for c, kind in labelled.dtypes if "map<" not in kind and "variant" not in kind]
+    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.pmod(F.xxhash64(*keys), F.lit(1 << 31)).alias("at")).where("text is not null and lang is not null")
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(1000).collect()}
+    if not counts:
+        return None
+    left, share = max_rows, {}
+    for k, (lang, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        rows_here = min(n, max(1, left // (len(counts) - k)))
+        left -= rows_here
+        share[lang] = int(rows_here / n * (1 << 31))
+    below = F.create_map(*(F.lit(x) for pair in share.items() for x in pair))[F.col("lang")]
+    return rows.where(F.col("at") < below).select("text", "lang")
+
+
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
     """Learns from rows with a label; labels come to the driver counted, words and n-grams up to the limits."""
-    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    n = rows.count()
-    langs = sorted(r.lang for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(1000).collect())
-    if not n:
+    sample = sampled(labelled, text_col, lang_col, max_rows)
+    if sample is None:
         return Model([], {}, np.zeros((0, 0)), {}, np.zeros((0, 0)))
-    below = int(min(1.0, max_rows / n) * (1 << 31))
-    sample = rows.where(F.col("lang").isin(langs) & (F.pmod(F.xxhash64("text"), F.lit(1 << 31)) < below))
     words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("key")).groupBy("lang", "key").agg(F.count(F.lit(1)).alias("n")).persist()
+    langs = sorted(r.lang for r in words.select("lang").distinct().collect())
     padded = words.select("lang", "n", F.concat(F.lit("^"), "key", F.lit("$")).alias("w"))
     pieces = padded.select("lang", "n", "w", F.explode(F.sequence(F.lit(1), F.char_length("w"), F.lit(PLACES))).alias("from"))
     pieces = pieces.select("lang", "n", "from", F.substr("w", "from", F.lit(PLACES + N_MAX - 1)).alias("p"))

@@ -27,3 +27,16 @@ def test_pieces_make_no_difference(spark, monkeypatch):
     pieces, *_ = runs(spark, 150)
     assert set(pieces.grams) == set(model.grams) and all(np.allclose(pieces.gram_log[k], model.gram_log[model.grams[g]]) for g, k in pieces.grams.items())
     assert np.allclose(pieces.scores(a)[0], model.scores(a)[0])
+
+
+def test_rare_languages_are_sampled(spark):
+    rows = [(k, f"the dog number {k % 7} runs", "en") for k in range(3000)] + [(3000 + k, "le chien court vite", "fr") for k in range(3)]
+    df = spark.createDataFrame([*rows, (4000, "123", "xx")], "doc_id long, text string, lang string")
+    model = language_id.fit(df, max_rows=60)
+    assert model.langs == ["en", "fr"] and model.predict("le chien court")[0] == "fr" and model.predict("the dog runs")[0] == "en"
+
+
+def test_copies_keep_to_the_bound(spark):
+    df = spark.createDataFrame([(k, "the same text", "en" if k % 2 else "fr") for k in range(4000)], "doc_id long, text string, lang string")
+    n = dict(language_id.sampled(df, max_rows=400).groupBy("lang").count().collect())
+    assert n.keys() == {"en", "fr"} and all(130 < x < 270 for x in n.values())
