@@ -17,11 +17,11 @@ from quadrille.session import ship
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents in which no language can be told: null texts and those without a letter."""
+    """Rejects null texts and those without a letter; a letter is enough where the table has no labels to tell a language by."""
     ship(spark)
     model = language_id.fit(docs)
     told = language_id.predict(docs, model, lang_out="__lang", score_out="__score")
-    return told.where(F.col("__lang") != language_id.UNKNOWN).select(*docs.columns)
+    return told.where((F.col("__lang") != language_id.UNKNOWN) | F.col("text").rlike(r"\p{L}")).select(*docs.columns)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
