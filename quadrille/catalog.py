@@ -10,7 +10,7 @@ from .functions.grid import grid_bounds, grid_cell, grid_ijk, surrounding_cells
 from .functions.text import format_coords, format_neighbors, format_points
 from .functions.tree import tree_address, tree_bounds
 from .operators import knn, overlap, partition, tree_build
-from .operators.partition import Grid, Tree
+from .operators.partition import BROADCAST_ROWS, Grid, Tree
 from .plans.fixtures import SQL, as_queries, dup_ids3d, points3d, queries2d, skewed2d, training2d
 from .plans.joins import knn_join, range_join
 
@@ -346,7 +346,7 @@ def local_knn_bf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register(_LOCAL_OUT, _BOTH)
 def local_knn_ps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _local_out(_local(spark, sf_dir, method="ps"))
+    return _local_out(_local(spark, sf_dir, method="ps", salts=_salts(training2d(spark, sf_dir).count())))
 
 
 @_register(_LOCAL_OUT, _BOTH)
@@ -515,7 +515,20 @@ def range_join_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register(_brute("queries2d", "training2d", 2), _BOTH)
 def broadcast_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(knn.broadcast_knn(queries2d(spark, sf_dir), training2d(spark, sf_dir), K))
+    """By joins where the training table is too large to send."""
+    q, t = queries2d(spark, sf_dir), training2d(spark, sf_dir)
+    n = t.count()
+    return _rounded(knn.broadcast_knn(q, t, K) if n <= BROADCAST_ROWS else knn_join(q, t, K, Grid(_grid_for(n)), salts=_salts(n)))
+
+
+def _grid_for(n: int) -> int:
+    """Cells along a side for n points: a power of two, some 50 to 200 evenly spread points a cell, N2 at least."""
+    return max(N2, 1 << (max(1, n // 50).bit_length() - 1) // 2)
+
+
+def _salts(n: int) -> int:
+    """Parts that a cell's training points are dealt to, so that a cell with a large share of n is no single task."""
+    return 1 + n // 100_000
 
 
 @_register(_brute("queries2d", "training2d", 2), _BOTH)
@@ -530,7 +543,7 @@ def knn_join_tree_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register(_brute("queries2d", "training2d", 2), _BOTH)
 def knn_join_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(knn_join(queries2d(spark, sf_dir), training2d(spark, sf_dir), K, Grid(N2), method="ps"))
+    return _rounded(knn_join(queries2d(spark, sf_dir), training2d(spark, sf_dir), K, Grid(N2), method="ps", salts=_salts(training2d(spark, sf_dir).count())))
 
 
 _Q3 = ", q3 as (select tid as qid, x, y, z from points3d) "

@@ -65,3 +65,15 @@ def test_starved_queries_in_a_tree(spark):
     found = {(r.qid, r.cell) for r in catalog._overlaps(q, t, tree).collect()}
     want = {(k, cells["tid"][j]) for k, near in brute(qs, ts, catalog.K).items() for j in near if cells["tid"][j] != cells["qid"][k]}
     assert len({k for k, _ in want}) > 30 and want <= found
+
+
+@pytest.mark.parametrize("name", ["broadcast_knn", "local_knn_ps", "knn_join_sweep"])
+def test_larger_tables(spark, name, monkeypatch):
+    monkeypatch.setattr(catalog, "BROADCAST_ROWS", 100)
+    monkeypatch.setattr(catalog, "_salts", lambda n: 3)
+    monkeypatch.setattr(catalog.knn, "broadcast_knn", None)
+    same(catalog.queries()[name](spark, DATA).toPandas(), told_by_sql(name))
+
+
+def test_cells_and_parts_grow_with_the_table():
+    assert [catalog._grid_for(n) for n in (0, 15_000, 1_000_000)] == [16, 16, 128] and [catalog._salts(n) for n in (15_000, 1_000_000)] == [1, 11]
