@@ -1,12 +1,12 @@
 """Byte-level BPE encoding and decoding with forced-boundary splitting.
 
 A merge always yields a token of the vocabulary, so two neighbouring bytes that stand side by side inside no token can
-never end up in one: a text may be cut there, whatever comes before or after. Each pre-token (the file's pattern, which
-no cut may disturb) is cut at all such places, the fragments are encoded independently, and their ids concatenated.
-
-The cuts that matter most stand before white space: no token holds a blank after another kind of byte, and the pattern
-never joins text across the start of a run of white space. A batch of texts is cut there, and each distinct fragment is
-encoded once per batch. Long runs without white space are cut inside their pre-tokens, which keeps merging linear.
+never end up in one: a text may be cut there, whatever comes before or after. The whole table of byte pairs is applied
+to whole batches of texts at once, as arrays. A cut is taken there if the file's pattern, which splits text before
+merges, gives the same on both sides of it: at the start of a character, not before an apostrophe (``'s`` and the like),
+and not inside a run of white space nor after one of two or more. Each fragment is encoded independently, each distinct
+one once per batch (short ones once per worker), and the fragments' ids are concatenated. Inside a fragment the
+pattern's long pieces are cut again at every pair the table allows, which keeps merging linear.
 
 Defined results: null text is empty and has no ids; ids that the vocabulary lacks decode to nothing; bytes that are not
 UTF-8 decode to U+FFFD; an empty table gives an empty result; repeated rows stay; other columns are kept, but for one
@@ -18,7 +18,7 @@ from __future__ import annotations
 import functools
 import json
 import re
-from array import array
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,12 +32,11 @@ from tokenizers import Tokenizer
 
 #: The pattern that splits text before merges, with white space spelled out.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: A run of white space and what follows it; and what rules out that single blanks and line ends are all there is of it.
-STRETCH = re.compile(r"[ \t\n\r\f\v]*[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+")
-RARE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-UNEVEN = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\f", "\v", "\0")
-KEY_CHARS = 64
-PART_CHARS = 2 << 20
+#: White space outside ASCII, as UTF-8.
+RARE_SPACE = [c.encode() for c in "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"]
+KEPT_BYTES = 64
+KEPT = 400_000
+PART_BYTES = 4 << 20
 SLICE_BYTES = 8 << 20
 
 
@@ -48,6 +47,13 @@ def byte_chars() -> list[str]:
     return [chr(b) if b in keep else chr(next(spare)) for b in range(256)]
 
 
+PACKS = [struct.Struct(f"<{n}i").pack for n in range(32)]
+
+
+def _packed(ids: list[int]) -> bytes:
+    return PACKS[len(ids)](*ids) if len(ids) < len(PACKS) else struct.pack(f"<{len(ids)}i", *ids)
+
+
 class Codec:
     """Encodes and decodes texts; ids are int32."""
 
@@ -67,151 +73,180 @@ class Codec:
         self.added = {t["content"]: t["id"] for t in told["added_tokens"]}
         for content, k in self.added.items():
             self.bytes_of[k] = content.encode()
-        self.special = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
+        self.special = re.compile(b"|".join(re.escape(x.encode()) for x in sorted(self.added, key=len, reverse=True))) if self.added else None
         pairs = {t[k : k + 2] for t in self.bytes_of for k in range(len(t) - 1)}
         #: 1 where a pair of bytes (first * 256 + second) stands inside some token.
         self.joins = bytearray(1 << 16)
         for p in pairs:
             self.joins[p[0] << 8 | p[1]] = 1
         self.pattern = regex.compile(PATTERN)
-        self.stretch = STRETCH
         self.whole = whole = Tokenizer.from_file(path)
         whole.no_padding()
         whole.no_truncation()
         self.merge, self.pre_tokenize = whole.model.tokenize, whole.pre_tokenizer.pre_tokenize_str
         self.ranked = self._by_rank(model)
-        #: White space that no token holds after another kind of byte: a certain cut stands before it. Tokens with rare
-        #: white space don't count, as texts that have it are not cut so.
-        blanks = set(b" \t\n\r\f\v")
-        inside = {p for t in self.bytes_of if not RARE_SPACE.search(t.decode("utf-8", "replace")) for p in zip(t, t[1:], strict=False)}
-        self.certain = "".join(chr(c) for c in b" \n" if not any((b, c) in inside for b in range(256) if b not in blanks))
-        self.width = np.array([len(t) for t in self.bytes_of], dtype=np.int64)
+        self.white = np.zeros(256, dtype=bool)
+        self.white[list(b" \t\n\r\f\v")] = True
+        self.rare_leads = np.zeros(256, dtype=bool)
+        self.rare_leads[[x[0] for x in RARE_SPACE]] = True
+        #: Where the pattern allows a cut, too, but for what ``cut_places`` asks of white space.
+        self.parts = np.frombuffer(self.joins, dtype=np.uint8).reshape(256, 256) == 0
+        self.parts[:, 0x80:0xC0] = False
+        self.parts[:, ord("'")] = False
+        self.parts = self.parts.ravel()
+        self.known: dict[bytes, bytes] = {}
 
     def _by_rank(self, model: dict) -> tiktoken.Encoding | None:
         """The same merges by rank of their result, which is faster, where ids follow the order of merges.
 
-        A token's own encoding passes through one last pair only, so for tokens that encode to themselves the order
-        of results and the order of pairs say the same; tests check that they do.
+        A token's own encoding passes through one last pair only, so where all tokens encode to themselves the order
+        of results and the order of pairs say the same. Where one does not, the library merges.
         """
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         if any(model["vocab"].get(a + b) != 256 + k for k, (a, b) in enumerate(merges)):
             return None
         ranks = {self.bytes_of[k]: k for k in model["vocab"].values()}
-        return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        ranked = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return ranked if all(ranked._encode_single_piece(t) == [k] for t, k in ranks.items()) else None
 
     def _fragment(self, fragment: bytes) -> bytes:
         if self.ranked:
-            return array("i", self.ranked._encode_single_piece(fragment)).tobytes()
-        return array("i", [t.id for t in self.merge(fragment.decode("latin-1").translate(self.chars))]).tobytes()
+            return _packed(self.ranked._encode_single_piece(fragment))
+        return _packed([t.id for t in self.merge(fragment.decode("latin-1").translate(self.chars))])
 
     def cuts(self, data: bytes) -> list[int]:
         """Where data may be cut for certain."""
         joins = self.joins
-        if len(data) < 256:
-            return [k for k, pair in enumerate(zip(data, data[1:], strict=False), 1) if not joins[pair[0] << 8 | pair[1]]]
         x = np.frombuffer(data, dtype=np.uint8).astype(np.int32)
         return (np.flatnonzero(np.frombuffer(joins, dtype=np.uint8)[x[:-1] << 8 | x[1:]] == 0) + 1).tolist()
 
     def _pre_token(self, piece: str | bytes) -> bytes:
         """The ids of one pre-token: its fragments' ids, one after another."""
         data = piece.encode() if isinstance(piece, str) else piece
+        if len(data) <= KEPT_BYTES:
+            return self._fragment(data)
         at = [0, *self.cuts(data), len(data)]
         return b"".join([self._fragment(data[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)])
 
-    def _apart(self, fragment: str) -> np.ndarray:
+    def _apart(self, data: bytes) -> bytes:
         """Ids of a fragment by itself. Rarer characters are left to the library, whose Unicode tables may be of another age than ours."""
+        if (data[1:] if data[0] == 32 else data).isalpha():
+            return self._pre_token(data)  # ASCII letters are one piece of the pattern
+        fragment = data.decode()
+        if (fragment[1:] if fragment[0] == " " else fragment).isalpha() and (fragment.isascii() or max(fragment) < "\u0250"):
+            return self._pre_token(data)  # and so are others
         if fragment in self.added:
-            return np.array([self.added[fragment]], dtype=np.int32)
+            return _packed([self.added[fragment]])
         if fragment.isascii() or max(fragment) < "\u0250":
             pieces = self.pattern.findall(fragment)
         else:
             pieces = [x.translate(self.bytes_by_char).encode("latin-1") for x, _ in self.pre_tokenize(fragment)]
-        return np.frombuffer(b"".join(map(self._pre_token, pieces)), dtype=np.int32)
-
-    def _stretches(self, text: str) -> list[str]:
-        if not text.isascii() and RARE_SPACE.search(text):  # white space that STRETCH does not know
-            return [text] if text else []
-        if any(x in text for x in UNEVEN) or self.certain != " \n":
-            return self.stretch.findall(text)
-        parts = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
-        return parts if parts[0] else parts[1:]
-
-    def fragments(self, text: str) -> list[str]:
-        """The text cut at certain places; a control string of the file is a fragment of its own."""
-        if not self.special or not any(x in text for x in self.added):
-            return self._stretches(text)
-        out, at = [], 0
-        for m in self.special.finditer(text):
-            out += [*self._stretches(text[at : m.start()]), m[0]]
-            at = m.end()
-        return out + self._stretches(text[at:])
+        return b"".join(map(self._pre_token, pieces))
+
+    def _white(self, data: np.ndarray) -> np.ndarray:
+        """Which bytes are white space or part of it."""
+        white = self.white.take(data)
+        at = np.flatnonzero(self.rare_leads.take(data))
+        for x in RARE_SPACE if len(at) else ():
+            own = at[at <= len(data) - len(x)]
+            for k, byte in enumerate(x):
+                own = own[data[own + k] == byte]
+            for k in range(len(x)):
+                white[own + k] = True
+        return white
+
+    def cut_places(self, data: np.ndarray) -> np.ndarray:
+        """Where the bytes of whole texts may be cut so that each part, encoded by itself, has the ids it has in the whole."""
+        pair = data[:-1].astype(np.uint16)
+        pair <<= 8
+        pair |= data[1:]
+        at = np.flatnonzero(self.parts.take(pair)) + 1
+        white = self._white(data)
+        return at[~(white[at - 1] & (white[at] | white[np.maximum(at - 2, 0)]))]
+
+    def fragments(self, data: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Where each fragment starts, for texts whose bytes stand in a row from ``rows`` on; a control string of the file is one."""
+        edge = np.zeros(len(data) + 1, dtype=bool)
+        edge[self.cut_places(data)] = True
+        edge[rows] = True
+        if self.special:
+            whole = data.tobytes()
+            for m in self.special.finditer(whole) if any(x.encode() in whole for x in self.added) else ():
+                a, b = m.span()
+                if np.searchsorted(rows, a, side="right") == np.searchsorted(rows, b - 1, side="right"):
+                    edge[[a, b]] = True
+                    edge[a + 1 : b] = False
+        return np.flatnonzero(edge[:-1])
+
+    def _encode_distinct(self, fragments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the fragments, each encoded by itself, and where each one's end."""
+        known, out = self.known, []
+        if len(known) > KEPT:
+            known.clear()
+        for x in fragments:
+            ids = known.get(x)
+            if ids is None:
+                ids = self._apart(x)
+                if len(x) <= KEPT_BYTES:
+                    known[x] = ids
+            out.append(ids)
+        return np.frombuffer(b"".join(out), dtype=np.int32), np.cumsum(np.fromiter(map(len, out), np.int64, len(out))) >> 2
+
+    def encode_bytes(self, data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts whose bytes stand in a row, and how many each has; rows has where each starts, and the end."""
+        if not len(data):
+            return np.empty(0, dtype=np.int32), np.zeros(len(rows) - 1, dtype=np.int64)
+        starts = self.fragments(data, rows)
+        ends = np.append(starts, len(data))
+        parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
+        coded = parts.dictionary_encode()
+        _, at, held = coded.dictionary.buffers()
+        held, at = held.to_pybytes(), np.frombuffer(at, dtype=np.int64)[: len(coded.dictionary) + 1].tolist()
+        ids, stop = self._encode_distinct([held[a:b] for a, b in zip(at[:-1], at[1:], strict=True)])
+        index = coded.indices.to_numpy()
+        sizes = np.diff(stop, prepend=0)
+        length = sizes.take(index)
+        until = np.cumsum(length)
+        shift = ((stop - sizes).take(index) - until + length).astype(np.int32)
+        at = np.repeat(shift, length)
+        at += np.arange(len(at), dtype=np.int32)
+        out = ids.take(at)
+        return out, np.diff(np.concatenate([[0], until]).take(np.searchsorted(starts, rows)))
 
     def encode_many(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts and how many each has. Each distinct fragment is encoded once."""
-        parts: list[str] = []
-        counts = np.zeros(len(texts), dtype=np.int64)
-        for k, text in enumerate(texts):
-            if text:
-                found = self.fragments(text)
-                counts[k] = len(found)
-                parts += found
-        coded = pa.array(parts, pa.large_string()).dictionary_encode()
-        del parts
-        ids, ends = self._encode_distinct(coded.dictionary.to_pylist())
-        index = coded.indices.to_numpy()
-        sizes = np.diff(ends, prepend=0)
-        length = sizes[index]
-        before = np.cumsum(length) - length
-        out = ids[np.repeat((ends - sizes)[index] - before, length) + np.arange(int(length.sum()))]
-        of_text = np.concatenate([[0], np.cumsum(length)])[np.concatenate([[0], np.cumsum(counts)])]
-        return out, np.diff(of_text)
-
-    def _encode_distinct(self, fragments: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the fragments and where each one's end.
-
-        Most start with certain white space and end without; put in a row, their borders are certain cuts again, so
-        one call encodes them all, and the tokens' widths tell the fragments apart. The others are encoded one by one.
-        """
-        row, rest = [], []
-        for k, x in enumerate(fragments):
-            plain = self.ranked and x[0] in self.certain and not x[-1].isspace() and len(x) <= KEY_CHARS and (x.isascii() or max(x) < "\u0250") and x not in self.added
-            (row if plain else rest).append(k)
-        ids = [np.empty(0, dtype=np.int32)] * len(fragments) if rest else []
-        together = [fragments[k] for k in row]
-        found = self.ranked.encode_to_numpy("".join(together), disallowed_special=()).astype(np.int32) if together else np.empty(0, dtype=np.int32)
-        borders = np.cumsum(pc.binary_length(pa.array(together, pa.large_string())).to_numpy(), dtype=np.int64) if together else np.empty(0, dtype=np.int64)
-        cuts = np.searchsorted(np.cumsum(self.width[found]), borders, side="left") + 1
-        if not rest:
-            return found, cuts
-        at = np.concatenate([[0], cuts])
-        for n, k in enumerate(row):
-            ids[k] = found[at[n] : at[n + 1]]
-        for k in rest:
-            ids[k] = self._apart(fragments[k])
-        return np.concatenate(ids) if ids else found, np.cumsum([len(x) for x in ids], dtype=np.int64)
+        """Ids of all texts and how many each has."""
+        told = [(t or "").encode() for t in texts]
+        return self.encode_bytes(np.frombuffer(b"".join(told), dtype=np.uint8), np.cumsum([0, *map(len, told)]))
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of one text of any length, worked on in parts of bounded size."""
-        text = text or ""
+        data = np.frombuffer((text or "").encode(), dtype=np.uint8)
         out, at = [], 0
-        while at < len(text):
-            to = self._part_end(text, at)
-            out.append(self.encode_many([text[at:to]])[0])
+        while at < len(data):
+            to = self._part_end(data, at)
+            out.append(self.encode_bytes(data[at:to], np.array([0, to - at]))[0])
             at = to
         return np.concatenate(out) if out else np.empty(0, dtype=np.int32)
 
-    def _part_end(self, text: str, at: int) -> int:
-        """The first certain cut from PART_CHARS on, or the end."""
-        to = at + PART_CHARS
-        while to < len(text):
-            found = [k for k in (text.find(c, to) for c in self.certain) if k >= 0]
-            if not found:
-                return len(text)
-            to = min(found)
-            if not text[to - 1].isspace():
-                return to
-            to += 1
-        return len(text)
+    def _part_end(self, data: np.ndarray, at: int) -> int:
+        """A certain cut from PART_BYTES on, outside any control string, or the end."""
+        longest, size = max([0, *(len(x.encode()) for x in self.added)]), 1 << 16
+        while (start := at + PART_BYTES) < len(data):
+            near = data[start : start + size]
+            found = self.cut_places(near)[1:]  # the first might lack what stands before it
+            if self.special and len(found):
+                held = np.zeros(len(near) + longest + 1, dtype=bool)
+                around = data[max(0, start - longest) : start + size + longest]
+                for m in self.special.finditer(around.tobytes()):
+                    a, b = (x - min(start, longest) for x in m.span())
+                    held[max(a + 1, 0) : max(b, 0)] = True
+                found = found[~held[found]]
+            if len(found):
+                return start + int(found[0])
+            if start + size >= len(data):
+                break
+            size *= 4
+        return len(data)
 
     def decode(self, ids: np.ndarray) -> str:
         if len(ids) and (ids.max() >= len(self.bytes_of) or ids.min() < 0):
@@ -241,11 +276,14 @@ def slices(batch: pa.RecordBatch, text: int, most: int = SLICE_BYTES) -> Iterato
 
 def encode_column(c: Codec, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Ids of a column of texts and how many each row has."""
-    texts = column.to_pylist()
-    if len(texts) == 1:
-        ids = c.encode(texts[0])
+    if len(column) == 1:
+        ids = c.encode(column[0].as_py())
         return ids, np.array([len(ids)])
-    return c.encode_many(texts)
+    filled = pc.fill_null(column, "").cast(pa.large_string())
+    _, ends, data = filled.buffers()
+    rows = np.frombuffer(ends, dtype=np.int64)[filled.offset : filled.offset + len(filled) + 1]
+    whole = np.frombuffer(data, dtype=np.uint8) if data else np.empty(0, dtype=np.uint8)
+    return c.encode_bytes(whole[rows[0] : rows[-1]], rows - rows[0])
 
 
 def id_lists(ids: np.ndarray, counts: np.ndarray) -> pa.ListArray:
