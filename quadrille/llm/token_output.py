@@ -1,24 +1,30 @@
 """Token-id files: an adaptive context-mixing range coder over independently reset, checksummed blocks.
 
 A stripe holds whole documents in ascending order of id; its ids are cut into blocks of ``BLOCK``, and a block knows
-nothing of any other. For each next id three orders predict: order 2 and order 1 name the id that last followed the
-last two ids and the last one, with a confidence; order 0 is a distribution over all ids. How often each pair of
-confidences came true mixes the named ids and the distribution into one probability, which drives a 48-bit range coder
-with carries.
+nothing of any other. For each next id three orders predict: order 2 gives the ids that followed the last two ids,
+order 1 those that followed the last one, each with counts, and order 0 is a distribution over the block's alphabet.
+They are mixed into one distribution: each named id gets a share of it, learnt from how often the id in that place came
+true where the counts were alike, ids that both orders name get both shares, and order 0 shares out the rest. It drives
+a 48-bit range coder with carries, one step an id.
 
 A block is cut into lanes, stretches that are coded side by side as numpy arrays, each by a range coder of its own, while
-all learn and share one model: a step codes the next id of every lane, then the model learns them all. The lanes' words
-go into one stream in the order in which the reader asks for them.
+all lanes of the block learn and share one model: a step codes the next id of every lane, then the model learns them all.
+Blocks of a stripe are worked on side by side too, each with tables, streams and checksum of its own. A lane's words go
+into its block's stream in the order in which the reader asks for them.
 
-Stripe, little-endian: ``QTK2``, blocks and bound of the ids (u32 each), then per block its ids, lanes, bytes and the
-CRC-32 of its ids as u32 (u32 each), then the blocks' bytes. The table of stripes also has the documents' ids and lengths.
+Stripe, little-endian: ``QTK3``, number of blocks, CRC-32 of the block table (u32 each), the block table with ids, lanes,
+bytes of the alphabet, bytes of the words and CRC-32 of the ids as u32 (u32 each) per block, then each block's alphabet (gaps
+between its ids, deflated) and words. The table of stripes also has the documents' ids and lengths.
 
 Defined results: null and empty texts are the end id alone; null ids come first; rows with equal ids follow each other
-in order of the text's hash; an empty table gives an empty file; a block that fails its checksum raises an error.
+in order of the text's hash; an empty table gives an empty file; a block that fails its checksum raises an error, or
+with ``bad="null"`` costs only the documents that have ids in it. Document ids may be of any type that Spark can sort
+and Arrow can hold.
 """
 
 from __future__ import annotations
 
+import functools
 import struct
 import uuid
 import zlib
@@ -29,85 +35,127 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .bpe import codec, encode_column, slices
 from .common import staging_root
 
-MAGIC = b"QTK2"
-BLOCK = 1 << 21
-LANES = 8192
-LANE_IDS = 256
+MAGIC = b"QTK3"
+BLOCK = 1 << 16
+LANES = 192
+LANE_IDS = 64
+STEPS = 1 << 12  # a lane has no more ids, so that counts fit
 STRIPE_IDS = 1 << 21
 END_ID = 0
 MOST = 1 << 16  # ids are below this
-SLOTS = 18
-SURE = 7
-MIX_BITS = 16
-ORDER0 = 1 << 20
-FRESH = 8
+NAMED2, NAMED1 = 1, 3  # ids that order 2 and order 1 name
+SLOTS = 16  # bits of a block's table of order 2
+COUNT = 17  # a named id and its count are one number, count << COUNT | id
+MIX_BITS = 26
+#: Counts fall into classes that start here; a pair of classes and two questions are a case of the mixing.
+CLASSES = np.array([1, 2, 3, 5, 9, 20])
+CASES = 7 * 7 * 2 * 2
+LEAST = 1 << 10  # share of a named id at least
 WORD = 16
 LOW = (1 << 48) - 1
 FLOOR = 1 << 32
 
 
 class _Model:
-    """What a block's lanes have learnt together; made anew for each block.
-
-    A named id and its confidence are one number, ``id << 3 | confidence``; -8 names none.
-    """
-
-    def __init__(self, width: int, lanes: int):
-        self.width, self.steps = width, 0
-        self.named1 = np.full(width, -8, dtype=np.int64)
-        self.named2 = np.full(1 << SLOTS, -8, dtype=np.int64)
-        self.mixed = np.tile(np.array([1, 1, 2], dtype=np.int64), (128, 1))
-        self.seen = np.zeros(width, dtype=np.int64)
-        self.last, self.before = np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
+    """What the lanes of each block have learnt together, for blocks side by side; made anew for each block."""
+
+    def __init__(self, widths: np.ndarray, lanes: int):
+        self.widths, self.wide, blocks = widths, int(widths.max()), len(widths)
+        block = np.repeat(np.arange(blocks), lanes)
+        self.bits0 = 16 if self.wide <= 1 << 13 else 18
+        self.at0 = block * (self.wide + 1)
+        self.base1, self.base2, self.base_case = block * self.wide, block << SLOTS, block * CASES
+        self.most = (widths - 1).take(block)
+        self.named2 = [np.full(blocks << SLOTS, self.wide, dtype=np.int32) for _ in range(NAMED2)]
+        self.named1 = [np.full(blocks * self.wide, self.wide, dtype=np.int32) for _ in range(NAMED1)]
+        self.classes = np.searchsorted(CLASSES, np.arange(1 << 13), side="right")
+        self.classes2 = 2 * self.classes
+        case = np.arange(CASES)
+        sure2, sure1 = case // 14 % 7, case % 14 // 2
+        came = np.full((CASES, NAMED2 + NAMED1 + 1), 2, dtype=np.int64)
+        came[:, 0] = np.where(sure2 > 0, 2 + 4 * sure2 * sure2, 0)
+        came[:, NAMED2] = np.where(sure1 > 0, 2 + 2 * sure1 * sure1, 0)
+        came[:, -1] = 16
+        self.came = np.tile(came, (blocks, 1))
+        self.seen = np.zeros((blocks, self.wide), dtype=np.int64)
+        self.last, self.before = np.zeros(len(block), dtype=np.int64), np.zeros(len(block), dtype=np.int64)
+        self.steps, self.due = 0, 1
         self.mix()
         self.fresh0()
 
     def mix(self) -> None:
-        """Frequencies, for each pair of confidences, of: order 2 is right, order 1 is right, neither."""
-        tries = self.mixed.sum(axis=1, keepdims=True)
-        share = 1 + self.mixed * ((1 << MIX_BITS) - 3) // tries
-        share[:, 2] = (1 << MIX_BITS) - share[:, 0] - share[:, 1]
-        self.freq = share.ravel()
-        self.start = (np.cumsum(share, axis=1) - share).ravel()
-        self.bound2, self.bound1 = share[:, 0].copy(), share[:, 0] + share[:, 1]
+        """The named ids' shares of the whole in each case; order 0 has the rest."""
+        told = self.came.T
+        left = (1 << MIX_BITS) - (1 << self.bits0 + 2) - LEAST * (len(told) - 1)
+        self.shares = (told[:-1] * left // told.sum(axis=0) + LEAST).astype(np.int32)
 
     def fresh0(self) -> None:
-        """The distribution of order 0, from the ids that no other order named."""
-        self.freq0 = 1 + self.seen * (ORDER0 - self.width) // max(1, int(self.seen.sum()))
-        self.sum0 = np.cumsum(self.freq0)
-        self.start0, self.total0 = self.sum0 - self.freq0, int(self.sum0[-1])
-        self.slots = None
-
-    def by_slot(self) -> np.ndarray:
-        if self.slots is None:
-            self.slots = np.repeat(np.arange(self.width, dtype=np.uint16), self.freq0)
-        return self.slots
-
-    def look(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The ids that order 2 and order 1 name, and the pair of confidences, of all lanes."""
-        self.at2 = ((self.last * 40503) ^ (self.before * 30011 >> 2)) & ((1 << SLOTS) - 1)
-        self.told2, self.told1 = self.named2.take(self.at2), self.named1.take(self.last)
-        self.id2, self.id1 = self.told2 >> 3, self.told1 >> 3
-        self.pair = (self.told2 & SURE) << 3 | (self.told1 & SURE) | (self.id1 == self.id2) * 64
-        return self.id2, self.id1, self.pair
-
-    def learn(self, ids: np.ndarray, outcome: np.ndarray, rest: np.ndarray) -> None:
-        """outcome: 3 * pair + (0: order 2 was right, 1: order 1, 2: neither); rest: the ids of the last sort."""
-        self.mixed += np.bincount(outcome, minlength=384).reshape(128, 3)
-        self.seen += np.bincount(rest, minlength=self.width)
-        for table, at, told, named in ((self.named2, self.at2, self.told2, self.id2), (self.named1, self.last, self.told1, self.id1)):
-            sure = told & SURE
-            less = np.where(sure > 1, told - sure + (sure >> 1), ids << 3)
-            table[at] = np.where(named == ids, told + (sure < SURE), less)
-        self.before, self.last = self.last, ids
+        """The distribution of order 0, from the ids that no other order named: where each id's share begins."""
+        of_all = np.cumsum(2 * self.seen + 1, axis=1) * ((1 << self.bits0) - self.widths)[:, None]
+        begin = np.zeros((len(self.widths), self.wide + 1), dtype=np.int64)
+        begin[:, 1:] = of_all // (2 * self.seen.sum(axis=1) + self.widths)[:, None] + np.arange(1, self.wide + 1)
+        self.begin0, self.places = begin.ravel(), None
+
+    def by_place(self) -> np.ndarray:
+        """For each block the id that holds each place of order 0."""
+        if self.places is None:
+            begin = self.begin0.reshape(len(self.widths), -1)
+            self.places = np.concatenate([np.repeat(np.arange(n, dtype=np.uint16), np.diff(own[: n + 1])) for n, own in zip(self.widths.tolist(), begin, strict=True)])
+        return self.places
+
+    def look(self) -> None:
+        """The ids that order 2 and order 1 name, their shares, where each share ends, and order 0's share, of all lanes."""
+        self.at2 = (((self.last * 40503) ^ (self.before * 30011 >> 2)) & ((1 << SLOTS) - 1)) + self.base2
+        self.at1 = self.last + self.base1
+        self.told2, self.told1 = [x.take(self.at2) for x in self.named2], [x.take(self.at1) for x in self.named1]
+        self.ids = [x & ((1 << COUNT) - 1) for x in (*self.told2, *self.told1)]
+        most, second = self.told1[0] >> COUNT, self.told1[1] >> COUNT
+        self.case = self.classes.take(self.told2[0] >> COUNT)
+        self.case *= 14
+        self.case += self.classes2.take(most)
+        self.case += (second << 1) > most
+        self.case += np.multiply(self.ids[0] == self.ids[NAMED2], CASES // 2, dtype=np.int64)
+        self.case += self.base_case
+        self.share = [x.take(self.case) for x in self.shares]
+        for j in range(NAMED2):
+            for k in range(NAMED2, NAMED2 + NAMED1):
+                both = np.multiply(self.share[k], self.ids[j] == self.ids[k])
+                self.share[j] += both
+                self.share[k] -= both
+        self.end = [self.share[0]]
+        for x in self.share[1:]:
+            self.end.append(self.end[-1] + x)
+        self.share0 = (1 << MIX_BITS) - self.end[-1].astype(np.int64)
+
+    def learn(self, now: np.ndarray, kind: np.ndarray) -> None:
+        """now: the ids that came; kind: which named id that was, or how many there are if none."""
+        kinds = NAMED2 + NAMED1 + 1
+        self.came += 8 * np.bincount(self.case * kinds + kind, minlength=self.came.size).reshape(self.came.shape)
+        rest = np.flatnonzero(kind == kinds - 1)
+        self.seen += np.bincount(self.base1.take(rest) + now.take(rest), minlength=self.seen.size).reshape(self.seen.shape)
+        new = (now | 1 << COUNT).astype(np.int32)
+        for tables, at, told, ids in ((self.named2, self.at2, self.told2, self.ids[:NAMED2]), (self.named1, self.at1, self.told1, self.ids[NAMED2:])):
+            known = [x == now for x in ids]
+            counts = [x + np.multiply(k, 1 << COUNT, dtype=np.int32) for x, k in zip(told, known, strict=True)]
+            missed = np.flatnonzero(~functools.reduce(np.logical_or, known))
+            last = told[-1].take(missed)
+            counts[-1][missed] = np.where(last < 2 << COUNT, new.take(missed), last - (1 << COUNT))
+            for k in range(len(counts) - 1, 0, -1):  # the highest count first
+                counts[k - 1], counts[k] = np.maximum(counts[k - 1], counts[k]), np.minimum(counts[k - 1], counts[k])
+            for table, x in zip(tables, counts, strict=True):
+                table[at] = x
+        self.before, self.last = self.last, now
         self.steps += 1
-        self.mix()
-        if self.steps % FRESH == 0 or self.steps in (1, 2, 4):
+        if self.steps < 32 or self.steps % 8 == 0:
+            self.mix()
+        if self.steps >= self.due:
             self.fresh0()
+            self.due = max(self.steps + 1, self.steps * 5 // 4)
 
 
 class _Writer:
@@ -116,31 +164,27 @@ class _Writer:
     def __init__(self, lanes: int):
         self.low, self.range = np.zeros(lanes, dtype=np.int64), np.full(lanes, LOW, dtype=np.int64)
         self.words, self.back, self.n = np.zeros(lanes * 4, dtype=np.uint16), np.zeros(lanes * 4, dtype=np.int32), 0
+        self.lane = np.zeros(lanes * 4, dtype=np.int32)
         self.newest = -1 - np.arange(lanes, dtype=np.int32)
 
     def _emit(self, at: np.ndarray) -> None:
         end = self.n + len(at)
         if end > len(self.words):
             self.words = np.concatenate([self.words, np.zeros(end, dtype=np.uint16)])
-            self.back = np.concatenate([self.back, np.zeros(end, dtype=np.int32)])
+            self.back, self.lane = (np.concatenate([x, np.zeros(end, dtype=np.int32)]) for x in (self.back, self.lane))
         low = self.low.take(at)
         self.words[self.n : end] = low >> 32
-        self.back[self.n : end] = self.newest.take(at)
+        self.back[self.n : end], self.lane[self.n : end] = self.newest.take(at), at
         self.newest[at] = np.arange(self.n, end, dtype=np.int32)
         self.low[at] = (low << WORD) & LOW
         self.n = end
 
-    def put(self, start: np.ndarray, freq: np.ndarray, unit: np.ndarray, at: np.ndarray | None = None) -> None:
-        """Narrow the lanes ``at`` (None: all) to freq units from start."""
-        low, span = unit * start, unit * freq
-        if at is None:
-            self.low += low
-            self.range = span
-            over, small = np.flatnonzero(self.low > LOW), np.flatnonzero(span < FLOOR)
-        else:
-            low += self.low.take(at)
-            self.low[at], self.range[at] = low, span
-            over, small = at[low > LOW], at[span < FLOOR]
+    def put(self, start: np.ndarray, share: np.ndarray) -> None:
+        """Narrow every lane to its share of the whole, from start."""
+        unit = self.range >> MIX_BITS
+        self.low += unit * start
+        self.range = unit * share
+        over, small = np.flatnonzero(self.low > LOW), np.flatnonzero(self.range < FLOOR)
         if len(over):
             self.low[over] &= LOW
             word = self.newest.take(over)
@@ -153,126 +197,185 @@ class _Writer:
             self.range[small] = span
             small = small[span < FLOOR]
 
-    def finish(self) -> bytes:
-        """The words as the reader asks for them: three of each lane first, then at each step a lane's third next."""
+    def finish(self, blocks: int) -> list[bytes]:
+        """Each block's words as the reader asks for them: three of each lane first, then at each step a lane's third next."""
         lanes = len(self.low)
         for _ in range(3):
             self._emit(np.arange(lanes))
         back = self.back[: self.n]
         later, firsts = np.flatnonzero(back >= 0), np.flatnonzero(back < 0)
-        after, first = np.zeros(self.n, dtype=np.int32), np.empty(lanes, dtype=np.int32)
+        after, first, lane = np.zeros(self.n, dtype=np.int32), np.empty(lanes, dtype=np.int32), self.lane[: self.n]
         after[back[later]] = later
         first[-1 - back[firsts]] = firsts
         second = after[first]
         order = np.concatenate([first, second, after[second], after[after[after[: self.n - 3 * lanes]]]])
-        return self.words[order].astype("<u2").tobytes()
+        block = lane[order] // (lanes // blocks)
+        order = order[np.argsort(block, kind="stable")]
+        ends = np.cumsum(np.bincount(block, minlength=blocks))[:-1]
+        return [x.astype("<u2").tobytes() for x in np.split(self.words[order], ends)]
 
 
 class _Reader:
-    def __init__(self, data: bytes, lanes: int):
-        self.words = np.frombuffer(data, dtype="<u2").astype(np.int64)
-        if len(self.words) < 3 * lanes:
-            raise ValueError("block ends too early")
-        a, b, c = self.words[: 3 * lanes].reshape(3, lanes)
-        self.code, self.range, self.n = a << 32 | b << 16 | c, np.full(lanes, LOW, dtype=np.int64), 3 * lanes
-
-    def take(self, start: np.ndarray, freq: np.ndarray, unit: np.ndarray, at: np.ndarray | None = None) -> None:
+    """Range decoders of all lanes; words that a spoilt block lacks are zero."""
+
+    def __init__(self, data: list[bytes], lanes: int):
+        words = [np.frombuffer(x[: len(x) & ~1], dtype="<u2") for x in data]
+        short = [np.zeros(max(0, 3 * lanes - len(x)), dtype="<u2") for x in words]
+        words = [np.concatenate(x) for x in zip(words, short, strict=True)]
+        self.code = np.concatenate([x[:lanes].astype(np.int64) << 32 | x[lanes : 2 * lanes].astype(np.int64) << 16 | x[2 * lanes : 3 * lanes] for x in words])
+        size = np.array([len(x) for x in words])
+        self.end = np.cumsum(size)
+        self.at = self.end - size + 3 * lanes
+        self.words, self.lanes = np.concatenate([*words, np.zeros(1, dtype="<u2")]).astype(np.int64), lanes
+        self.range = np.full(len(self.code), LOW, dtype=np.int64)
+
+    def place(self) -> np.ndarray:
+        self.unit = self.range >> MIX_BITS
+        return np.clip(_over(self.code, self.unit), 0, (1 << MIX_BITS) - 1)  # beyond that only in spoilt blocks
+
+    def take(self, start: np.ndarray, share: np.ndarray) -> None:
         """As ``_Writer.put``."""
-        low, span = unit * start, unit * freq
-        if at is None:
-            self.code -= low
-            self.range = span
-            small = np.flatnonzero(span < FLOOR)
-        else:
-            self.code[at], self.range[at] = self.code.take(at) - low, span
-            small = at[span < FLOOR]
+        self.code -= self.unit * start
+        self.range = self.unit * share
+        small = np.flatnonzero(self.range < FLOOR)
         while len(small):
-            end = self.n + len(small)
-            if end > len(self.words):
-                raise ValueError("block ends too early")
-            self.code[small] = self.code.take(small) << WORD | self.words[self.n : end]
+            block = small // self.lanes
+            n = np.bincount(block, minlength=len(self.at))
+            at = (self.at - np.cumsum(n) + n).take(block) + np.arange(len(small))
+            self.at += n
+            at = np.where(at < self.end.take(block), at, len(self.words) - 1)
+            self.code[small] = self.code.take(small) << WORD | self.words.take(at)
             span = self.range.take(small) << WORD
             self.range[small] = span
-            small, self.n = small[span < FLOOR], end
+            small = small[span < FLOOR]
 
 
-def _over(x: np.ndarray, y: np.ndarray | int) -> np.ndarray:
+def _over(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """floor(x / y); exact, as x and each multiple of y stay below 2^48."""
     return (x / y).astype(np.int64)
 
 
-def encode_block(ids: np.ndarray, width: int) -> tuple[int, bytes]:
-    """The lanes and the coded bytes of one block of ids below width; the last lane is filled up with zeros."""
-    lanes = min(LANES, max(1, len(ids) // LANE_IDS))
-    padded = np.zeros(lanes * -(-len(ids) // lanes), dtype=np.int64)
-    padded[: len(ids)] = ids
-    model, out = _Model(width, lanes), _Writer(lanes)
-    for now in np.ascontiguousarray(padded.reshape(lanes, -1).T):
-        id2, id1, pair = model.look()
-        kind = np.where(id2 == now, 0, 2 - (id1 == now))
-        outcome = 3 * pair + kind
-        out.put(model.start.take(outcome), model.freq.take(outcome), out.range >> MIX_BITS)
-        at = np.flatnonzero(kind == 2)
-        rest = now.take(at)
-        out.put(model.start0.take(rest), model.freq0.take(rest), _over(out.range.take(at), model.total0), at)
-        model.learn(now, outcome, rest)
-    return lanes, out.finish()
-
-
-def decode_block(data: bytes, lanes: int, count: int, width: int) -> np.ndarray:
-    """The count ids of a block."""
-    steps = -(-count // lanes)
-    model, source = _Model(width, lanes), _Reader(data, lanes)
-    out = np.empty((steps, lanes), dtype=np.int32)
-    for k in range(steps):
-        id2, id1, pair = model.look()
-        unit = source.range >> MIX_BITS
-        v = _over(source.code, unit)
-        kind = (v >= model.bound2.take(pair)).astype(np.int64) + (v >= model.bound1.take(pair))
-        outcome = 3 * pair + kind
-        source.take(model.start.take(outcome), model.freq.take(outcome), unit)
-        now = np.where(kind == 0, id2, id1)
-        at = np.flatnonzero(kind == 2)
-        unit = _over(source.range.take(at), model.total0)
-        v = _over(source.code.take(at), unit)
-        rest = model.by_slot().take(v, mode="clip").astype(np.int64)
-        source.take(model.start0.take(rest), model.freq0.take(rest), unit, at)
-        now[at] = rest
-        out[k] = now
-        model.learn(now, outcome, rest)
-    return out.T.reshape(-1)[:count]
+def encode_blocks(blocks: list[np.ndarray], widths: list[int]) -> tuple[int, list[bytes]]:
+    """The lanes and each block's words, for blocks with ids below their widths, none longer than the first; lanes are filled up with zeros."""
+    n = len(blocks[0])
+    lanes = max(min(LANES, max(1, n // LANE_IDS)), n // STEPS)
+    padded = np.zeros((len(blocks), lanes * -(-n // lanes)), dtype=np.int64)
+    for k, x in enumerate(blocks):
+        padded[k, : len(x)] = x
+    model, out = _Model(np.array(widths, dtype=np.int64), lanes), _Writer(len(blocks) * lanes)
+    for now in np.ascontiguousarray(padded.reshape(len(blocks) * lanes, -1).T):
+        model.look()
+        at = model.at0 + now
+        start = (model.share0 * model.begin0.take(at)) >> model.bits0
+        share = ((model.share0 * model.begin0.take(at + 1)) >> model.bits0) - start
+        start += model.end[-1]
+        kind = np.full(len(now), len(model.ids), dtype=np.int64)
+        for k in range(len(model.ids) - 1, -1, -1):
+            hit = np.flatnonzero(model.ids[k] == now)
+            own = model.share[k].take(hit)
+            kind[hit], share[hit], start[hit] = k, own, model.end[k].take(hit) - own
+        out.put(start, share)
+        model.learn(now, kind)
+    return lanes, out.finish(len(blocks))
+
+
+def decode_blocks(data: list[bytes], lanes: int, count: int, widths: list[int]) -> np.ndarray:
+    """The ids of blocks, a row each, with what fills them up to count."""
+    blocks, steps = len(data), -(-count // lanes)
+    model, source = _Model(np.array(widths, dtype=np.int64), lanes), _Reader(data, lanes)
+    out = np.empty((steps, blocks * lanes), dtype=np.int32)
+    every, base0 = np.arange(blocks * lanes), np.repeat(np.arange(blocks) << model.bits0, lanes)
+    for step in range(steps):
+        model.look()
+        place = source.place()
+        kind = np.zeros(len(every), dtype=np.int64)
+        for x in model.end:
+            kind += place >= x
+        at = np.flatnonzero(kind == len(model.ids))
+        named = np.minimum(kind, len(model.ids) - 1) * len(every) + every
+        now = np.concatenate(model.ids).take(named).astype(np.int64)
+        share = np.concatenate(model.share).take(named).astype(np.int64)
+        start = np.concatenate(model.end).take(named) - share
+        end, share0 = model.end[-1].take(at), model.share0.take(at)
+        place0 = (((place.take(at) - end + 1) << model.bits0) - 1) // share0
+        now[at] = model.by_place().take(place0 + base0.take(at))
+        np.minimum(now, model.most, out=now)  # a spoilt block keeps to its own tables
+        own = model.at0.take(at) + now.take(at)
+        first = (share0 * model.begin0.take(own)) >> model.bits0
+        share[at] = ((share0 * model.begin0.take(own + 1)) >> model.bits0) - first
+        start[at] = end + first
+        source.take(start, share)
+        out[step] = now
+        model.learn(now, kind)
+    return out.T.reshape(blocks, -1)[:, :count]
+
+
+def _alphabet(ids: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """The ids that occur, and the gaps between them, low bytes first, deflated."""
+    found = np.flatnonzero(np.bincount(ids, minlength=1))
+    gaps = np.diff(found, prepend=0).astype("<u2")
+    return found, zlib.compress(gaps.view(np.uint8).reshape(-1, 2).T.tobytes(), 9)
 
 
 def write_stripe(ids: np.ndarray, block: int = BLOCK) -> bytes:
     """One stripe of the file format."""
     if len(ids) and not 0 <= int(ids.min()) <= int(ids.max()) < MOST:
         raise ValueError(f"ids must be from 0 to {MOST - 1}")
-    width = int(ids.max()) + 1 if len(ids) else 1
+    size = -(-len(ids) // max(1, -(-len(ids) // block)))  # blocks of one length, but for the last one's end
+    cuts = [ids[k : k + size] for k in range(0, len(ids), size)] if len(ids) else []
+    alphabets = [_alphabet(x) for x in cuts]
+    dense = [np.searchsorted(a, x) if len(x) < MOST >> 4 else _dense(a, x) for (a, _), x in zip(alphabets, cuts, strict=True)]
+    lanes, words = encode_blocks(dense, [len(a) for a, _ in alphabets]) if cuts else (1, [])
     told, bodies = [], []
-    for k in range(0, len(ids), block):
-        own = ids[k : k + block]
-        lanes, body = encode_block(own, width)
-        told.append(struct.pack("<IIII", len(own), lanes, len(body), zlib.crc32(own.astype("<u4").tobytes())))
-        bodies.append(body)
-    return b"".join([MAGIC, struct.pack("<II", len(bodies), width), *told, *bodies])
+    for own, (_, alphabet), body in zip(cuts, alphabets, words, strict=True):
+        told.append(struct.pack("<IIIII", len(own), lanes, len(alphabet), len(body), zlib.crc32(own.astype("<u4").tobytes())))
+        bodies += [alphabet, body]
+    table = b"".join(told)
+    return b"".join([MAGIC, struct.pack("<II", len(cuts), zlib.crc32(table)), table, *bodies])
 
 
-def read_stripe(data: bytes) -> np.ndarray:
-    """The ids of a stripe; every block is checked."""
-    if data[:4] != MAGIC:
+def _dense(alphabet: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    place = np.zeros(MOST, dtype=np.int64)
+    place[alphabet] = np.arange(len(alphabet))
+    return place.take(ids)
+
+
+def read_blocks(data: bytes) -> list[tuple[int, np.ndarray | None]]:
+    """(number of ids, ids) of each block of a stripe; None for a block that fails its checksum."""
+    if data[:4] != MAGIC or len(data) < 12:
         raise ValueError("not a stripe of token ids")
-    n, width = struct.unpack_from("<II", data, 4)
-    out, at = [], 12 + 16 * n
-    for k in range(n):
-        count, lanes, size, crc = struct.unpack_from("<IIII", data, 12 + 16 * k)
+    n, crc = struct.unpack_from("<II", data, 4)
+    table = data[12 : 12 + 20 * n]
+    if len(table) < 20 * n or zlib.crc32(table) != crc:
+        raise ValueError("the block table fails its checksum")
+    told, at = [struct.unpack_from("<IIIII", table, 20 * k) for k in range(n)], 12 + 20 * n
+    found: list[np.ndarray | None] = [None] * n
+    alike: dict[int, list[tuple[int, np.ndarray, bytes]]] = {}
+    for k, (_, lanes, gaps, size, _) in enumerate(told):
         try:
-            ids = decode_block(data[at : at + size], lanes, count, width)
-        except (IndexError, ValueError, ZeroDivisionError) as e:
-            raise ValueError(f"block {k} fails its checksum: it can't be decoded") from e
-        if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
+            raw = np.frombuffer(zlib.decompress(data[at : at + gaps]), dtype=np.uint8)
+            alphabet = np.cumsum(raw[: len(raw) & ~1].reshape(2, -1).T.copy().view("<u2").ravel().astype(np.int64))
+            if len(alphabet):
+                alike.setdefault(lanes, []).append((k, alphabet, data[at + gaps : at + gaps + size]))
+        except (zlib.error, ValueError):
+            pass  # found stays None
+        at += gaps + size
+    for lanes, own in alike.items():
+        dense = decode_blocks([x for _, _, x in own], lanes, told[0][0], [len(a) for _, a, _ in own])
+        for (k, alphabet, _), x in zip(own, dense, strict=True):
+            ids = alphabet.take(x[: told[k][0]]).astype(np.int32)
+            if zlib.crc32(ids.astype("<u4").tobytes()) == told[k][4]:
+                found[k] = ids
+    return [(t[0], x) for t, x in zip(told, found, strict=True)]
+
+
+def read_stripe(data: bytes) -> np.ndarray:
+    """The ids of a stripe; every block is checked."""
+    out = []
+    for k, (_, ids) in enumerate(read_blocks(data)):
+        if ids is None:
             raise ValueError(f"block {k} fails its checksum")
         out.append(ids)
-        at += size
     return np.concatenate(out) if out else np.empty(0, dtype=np.int32)
 
 
@@ -280,53 +383,72 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
     """Write the files: rows (part, stripe, ids, lengths, n_ids, data), in ascending order of document ids by part and stripe.
 
     Ranges of ids are dealt by Spark's range partitioning, with the text's hash as second key, so that one id with many
-    rows can be spread.
+    rows can be spread. A document of more ids than a stripe has one of its own.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    arrow_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    kind = rows.schema["id"].dataType
+    arrow_kind = to_arrow_type(kind)
     schema = pa.schema([("part", pa.int32()), ("stripe", pa.int32()), ("ids", pa.list_(arrow_kind)), ("lengths", pa.list_(pa.int64())), ("n_ids", pa.int64()), ("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, part, stripe = codec(tokenizer), TaskContext.get().partitionId(), 0
-        names: list = []
+        names: list[pa.Array] = []
         held: list[np.ndarray] = []
+        lengths: list[np.ndarray] = []
         size = 0
 
         def out() -> pa.RecordBatch:
-            row = {"part": part, "stripe": stripe, "ids": names, "lengths": [len(x) for x in held], "n_ids": size, "data": write_stripe(np.concatenate(held), block)}
-            return pa.RecordBatch.from_pylist([row], schema=schema)
+            every, own = np.concatenate(lengths), pa.concat_arrays([x.cast(arrow_kind) for x in names])
+            columns = [pa.array([part], pa.int32()), pa.array([stripe], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own), pa.array([every], pa.list_(pa.int64())), pa.array([size]), pa.array([write_stripe(np.concatenate(held), block)], pa.binary())]
+            return pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
 
         for batch in batches:
             for piece in slices(batch, 1):
                 ids, counts = encode_column(c, piece.column(1))
-                for name, own in zip(piece.column(0).to_pylist(), np.split(ids, np.cumsum(counts)[:-1]), strict=True):
-                    if held and size + len(own) + 1 > stripe_ids:
+                ids = np.insert(ids, np.cumsum(counts), end_id)
+                ends = np.cumsum(counts + 1)
+                at = 0  # documents of the piece that are held or written
+                while at < len(ends):
+                    before = int(ends[at - 1]) if at else 0
+                    to = max(int(np.searchsorted(ends, before + stripe_ids - size, side="right")), at + (not size))
+                    if to > at:
+                        names.append(piece.column(0).slice(at, to - at))
+                        held.append(ids[before : ends[to - 1]])
+                        lengths.append(counts[at:to] + 1)
+                        size += int(ends[to - 1]) - before
+                    if to < len(ends):
                         yield out()
-                        names, held, size, stripe = [], [], 0, stripe + 1
-                    names.append(name)
-                    held.append(np.append(own, end_id).astype(np.int32))
-                    size += len(own) + 1
+                        names, held, lengths, size, stripe = [], [], [], 0, stripe + 1
+                    at = to
         if held:
             yield out()
 
     order = rows.orderBy(F.col("id").asc_nulls_first(), F.xxhash64("text"))
-    order.mapInArrow(run, f"part int, stripe int, ids array<{kind}>, lengths array<bigint>, n_ids long, data binary").write.parquet(path)
+    order.mapInArrow(run, f"part int, stripe int, ids array<{kind.simpleString()}>, lengths array<bigint>, n_ids long, data binary").write.parquet(path)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """(id, start, ids) of every document, from the files; start counts the ids of all documents before it."""
-    return _read(spark, path, "array<int>", lambda ids, cuts: pa.array([x.astype(np.int32) for x in np.split(ids, cuts)], pa.list_(pa.int32())))
+def read(spark: SparkSession, path: str, bad: str = "raise") -> DataFrame:
+    """(id, start, ids) of every document, from the files; start counts the ids of all documents before it.
+
+    bad: ``raise`` an error for a block that fails its checksum, or ``null`` for the documents with ids in it.
+    """
+    return _read(spark, path, "array<int>", bad, lambda ids, cuts: [x.astype(np.int32) for x in np.split(ids, cuts)], pa.list_(pa.int32()))
 
 
-def read_checks(spark: SparkSession, path: str) -> DataFrame:
+def read_checks(spark: SparkSession, path: str, bad: str = "raise") -> DataFrame:
     """(id, start, ids) as ``read``, but ids is a struct of their number and unsigned CRC-32."""
     kind = pa.struct([("n", pa.int64()), ("crc32", pa.int64())])
-    made = lambda ids, cuts: pa.array([{"n": len(x), "crc32": zlib.crc32(x.astype("<u4").tobytes())} for x in np.split(ids, cuts)], kind)
-    return _read(spark, path, "struct<n: bigint, crc32: bigint>", made)
+
+    def made(ids: np.ndarray, cuts: np.ndarray) -> list[dict[str, int]]:
+        data, at = ids.astype("<u4").tobytes(), [0, *(4 * cuts).tolist(), 4 * len(ids)]
+        return [{"n": (b - a) >> 2, "crc32": zlib.crc32(data[a:b])} for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    return _read(spark, path, "struct<n: bigint, crc32: bigint>", bad, made, kind)
 
 
-def _read(spark: SparkSession, path: str, kind: str, made) -> DataFrame:
+def _read(spark: SparkSession, path: str, kind: str, bad: str, made, arrow_kind: pa.DataType) -> DataFrame:
+    if bad not in ("raise", "null"):
+        raise ValueError("bad must be raise or null")
     files = spark.read.parquet(path)
     id_kind = files.schema["ids"].dataType.elementType.simpleString()
     # Ids before a stripe: those of earlier parts (a number for each part comes to the driver), and of earlier stripes.
@@ -343,11 +465,16 @@ def _read(spark: SparkSession, path: str, kind: str, made) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                lengths = batch.column(3)[k].values.to_numpy()
-                ids = read_stripe(batch.column(4)[k].as_py())
+                lengths, data = batch.column(3)[k].values.to_numpy(), batch.column(4)[k].as_py()
                 ends = np.cumsum(lengths)
+                blocks = read_blocks(data) if bad == "null" else [(0, read_stripe(data))]
+                ids = np.concatenate([np.full(n, -1, dtype=np.int32) if x is None else x for n, x in blocks])
+                told = made(ids, ends[:-1])
+                lost = np.flatnonzero(np.logical_or.reduceat(ids < 0, ends - lengths)) if bad == "null" else ()
+                for j in lost:
+                    told[j] = None
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(2)[k].values, pa.array(ends - lengths), *(pa.array(np.full(len(lengths), batch.column(c)[k].as_py(), dtype=np.int32)) for c in (0, 1)), made(ids, ends[:-1])],
+                    [batch.column(2)[k].values, pa.array(ends - lengths), *(pa.array(np.full(len(lengths), batch.column(c)[k].as_py(), dtype=np.int32)) for c in (0, 1)), pa.array(told, arrow_kind)],
                     names=["id", "at", "part", "stripe", "ids"],
                 )
 
