@@ -1,12 +1,16 @@
 """Best-fit packing by a grouping genetic algorithm on islands.
 
-Pieces that fill a sequence stand alone. The others are dealt by hash into blocks of about ``BLOCK`` pieces; a block is
-small enough for one task and large enough that its last, part-filled sequences don't matter (one more sequence per
-thousand is the order of what blocks cost). Every block is evolved on several islands, each a group of its own: a
-packing is a set of sequences; crossover injects whole, well-filled sequences of one parent into another, takes out the
-sequences that would hold a piece twice, and puts displaced pieces back by best fit. Between epochs each island's best
-packing migrates to the next island by a shuffle; in the end the best one of a block stays. Evolution is seeded by
-block and island, so a task that runs again gives the same result.
+Pieces that fill a sequence stand alone. The others are dealt by hash into blocks of about ``BLOCK`` pieces, small enough
+for one task. Every block is evolved on several islands, each a group of its own: a packing is a set of sequences, and
+the first ones come from best fit in random orders. Crossover injects whole, well-filled sequences of one parent into the
+other and takes out the sequences that would then hold a piece twice, and the emptiest ones. Displaced pieces first
+replace a smaller piece where they fill a sequence better, and are then put back by best fit, the largest first. Between
+epochs each island's best packing migrates to the next island by a shuffle; in the end the best one of a block stays.
+Evolution ends early at a lower bound on sequences. It is seeded by block and island, so a task that runs again gives the
+same result.
+
+The part-filled sequences of all blocks meet again: their pieces are dealt into fewer blocks and evolved anew, until
+one block is left or no more than half of the pieces were loose.
 
 Defined results: a null or empty text is its end id alone; null ids, repeated rows and ties are pieces like any other,
 told apart by a row number; an empty table gives an empty result; other columns are not looked at.
@@ -15,6 +19,7 @@ told apart by a row number; an empty table gives an empty result; other columns
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +34,11 @@ CAPACITY = 2048
 BLOCK = 8192
 ISLANDS = 2
 EPOCHS = 2
-GENERATIONS = 6
-POPULATION = 4
+GENERATIONS = 8
+POPULATION = 6
+#: Sequences with more room than this part of the capacity meet those of other blocks.
+LOOSE = 16
+LEVELS = 64
 END_ID = 0
 
 
@@ -79,13 +87,6 @@ class Packing:
         self.by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
         self.open = 0  # bit r is set if a bin with room r may be listed
 
-    def copy_without(self, gone: set[int]) -> Packing:
-        new = Packing(self.sizes, self.capacity)
-        for k, b in enumerate(self.bins):
-            if k not in gone:
-                new.add(b, self.room[k])
-        return new
-
     def _list(self, k: int) -> None:
         r = self.room[k]
         if r:
@@ -140,39 +141,67 @@ def best_fit(sizes: list[int], capacity: int, order: np.ndarray) -> Packing:
     return new
 
 
+def lower_bound(sizes: list[int], capacity: int) -> int:
+    """Bins that any packing needs: by the sum, and by what large pieces leave for those of at least a size."""
+    x = np.sort(np.array(sizes, dtype=np.int64))
+    sums, half = np.concatenate([[0], np.cumsum(x)]), int(np.searchsorted(x, capacity // 2, side="right"))
+    least = np.unique(x[:half])
+    low, high = np.searchsorted(x, least), np.searchsorted(x, capacity - least, side="right")
+    room = (high - half) * capacity - (sums[high] - sums[half])
+    more = np.maximum(0, -((room - (sums[half] - sums[low])) // capacity))
+    return int(max([len(x) - half, -(-int(sums[-1]) // capacity), *(len(x) - half + more)]))
+
+
+def replace(to: Packing, loose: list[tuple[int, int]]) -> None:
+    """In each bin with room, lets a larger loose piece take the place of the one it betters most; loose: sorted (size, piece)."""
+    for k, held in enumerate(to.bins):
+        room, most = to.room[k], (0, 0, 0)
+        for at, i in enumerate(held) if room else ():
+            size = to.sizes[i]
+            j = bisect_right(loose, (size + room, len(to.sizes))) - 1
+            if j >= 0 and loose[j][0] - size > most[0]:
+                most = (loose[j][0] - size, at, j)
+        gain, at, j = most
+        if gain:
+            old, held[at] = held[at], loose.pop(j)[1]
+            to.room[k] -= gain
+            insort(loose, (to.sizes[old], old))
+
+
 def crossover(to: Packing, giver: Packing, rng: np.random.Generator) -> Packing:
     """Injects some of the giver's fullest bins into a copy of ``to``; ends with no piece twice and none missing."""
-    full = np.argsort(giver.room, kind="stable")
-    chosen = full[: max(1, len(full) // 4)]
-    chosen = rng.choice(chosen, size=max(1, len(chosen) // 3), replace=False).tolist()
+    full = np.argsort(giver.room, kind="stable")[: max(1, len(giver.room) * 2 // 3)]
+    chosen = full[rng.random(len(full)) < 0.5].tolist() or full[:1].tolist()
     injected = {i for k in chosen for i in giver.bins[k]}
-    hit, displaced = set(), []
-    for k, b in enumerate(to.bins):
-        if not injected.isdisjoint(b):
-            hit.add(k)
-            displaced += [i for i in b if i not in injected]
-    # The emptiest bins are dissolved too, so that their pieces can fill gaps.
-    for k in np.argsort(to.room, kind="stable")[::-1][: max(1, len(to.room) // 50)].tolist():
-        if k not in hit:
-            hit.add(k)
-            displaced += to.bins[k]
-    child = to.copy_without(hit)
+    emptiest = set(np.argsort(to.room, kind="stable")[::-1][: max(1, len(to.room) // 10)].tolist())
+    child, loose = Packing(to.sizes, to.capacity), []
+    for k, held in enumerate(to.bins):
+        if k in emptiest or not injected.isdisjoint(held):
+            loose += [(to.sizes[i], i) for i in held if i not in injected]
+        else:
+            child.bins.append(list(held))
+            child.room.append(to.room[k])
     for k in chosen:
-        child.add(giver.bins[k], giver.room[k])
-    for i in sorted(displaced, key=lambda i: (-to.sizes[i], i)):
+        child.bins.append(list(giver.bins[k]))
+        child.room.append(giver.room[k])
+    loose.sort()
+    replace(child, loose)
+    for k in range(len(child.bins)):
+        child._list(k)
+    for _, i in reversed(loose):
         child.put(i)
     return child
 
 
 def evolve(population: list[Packing], sizes: list[int], capacity: int, rng: np.random.Generator, generations: int) -> list[Packing]:
-    """Tournament, crossover and replacement of the worst; ends early at the lower bound on bins."""
-    least = -(-sum(sizes) // capacity)
+    """Random mates, crossover and replacement of the worst; ends early at the lower bound on bins."""
+    least = lower_bound(sizes, capacity)
     population.sort(key=Packing.fitness, reverse=True)
-    for _ in range(generations * len(population)):
-        if not sizes or len(population[0].bins) <= least:
+    for _ in range(generations * len(population) if len(population) > 1 else 0):
+        if len(population[0].bins) <= least:
             break
-        a, b = rng.choice(len(population), size=2, replace=False) if len(population) > 1 else (0, 0)
-        child = crossover(population[min(a, b)], population[max(a, b)], rng)
+        a, b = rng.choice(len(population), size=2, replace=False)
+        child = crossover(population[a], population[b], rng)
         if child.fitness() > population[-1].fitness():
             population[-1] = child
             population.sort(key=Packing.fitness, reverse=True)
@@ -180,19 +209,33 @@ def evolve(population: list[Packing], sizes: list[int], capacity: int, rng: np.r
 
 
 def founders(sizes: list[int], capacity: int, rng: np.random.Generator, n: int) -> list[Packing]:
-    """Best fit in decreasing order, and in orders disturbed a little."""
-    size = np.array(sizes, dtype=np.float64)
-    orders = [np.argsort(-size, kind="stable")]
-    orders += [np.argsort(-size * rng.uniform(1 - 0.1 * k, 1 + 0.1 * k, len(size)), kind="stable") for k in range(1, n)]
-    return [best_fit(sizes, capacity, o) for o in orders]
+    """Best fit in random orders."""
+    return [best_fit(sizes, capacity, rng.permutation(len(sizes))) for _ in range(n)]
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, islands: int = ISLANDS, epochs: int = EPOCHS, generations: int = GENERATIONS, population: int = POPULATION) -> DataFrame:
-    """(key, bin, offset) for items(key long, length long), lengths from 1 to capacity - 1; bins are numbered across blocks.
+    """(key, bin, offset) for items(key long, length long), lengths from 1 to capacity - 1; bins are numbered across blocks and levels.
 
-    items is read twice, so it should be a stored table.
+    items is read twice, so it should be a stored table. Each level's result is one.
     """
-    n_blocks = max(1, round(items.count() / block))
+    options, n = (capacity, islands, epochs, generations, population), items.count()
+    done, level, left = None, 0, items
+    while True:
+        n_blocks = max(1, round(n / block))
+        placed = staged(_pack_blocks(left, n_blocks, *options).withColumn("bin", F.col("bin") * LEVELS + level), "packed")
+        last, loose, n_left = n_blocks == 1, F.col("room") > capacity // LOOSE, 0
+        if not last:
+            n_left = placed.where(loose).count()
+            last = not n_left or 2 * n_left > n or level + 1 == LEVELS
+        kept = (placed if last else placed.where(~loose)).select("key", "bin", "offset")
+        done = kept if done is None else done.unionByName(kept)
+        if last:
+            return done
+        left, n, level = placed.where(loose).select("key", "length"), n_left, level + 1
+
+
+def _pack_blocks(items: DataFrame, n_blocks: int, capacity: int, islands: int, epochs: int, generations: int, population: int) -> DataFrame:
+    """(key, length, bin, offset, room), each block packed by itself; room is what the bin has left."""
     dealt = items.select("key", "length", F.pmod(F.xxhash64("key"), F.lit(n_blocks)).alias("block"))
     state = "block long, island int, elite boolean, keys binary, sizes binary, packings array<binary>"
 
@@ -226,6 +269,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, islands
         found = [Packing.decoded(np.frombuffer(r["packings"][0], dtype=np.int32), sizes.tolist(), capacity) for r in sorted(rows, key=lambda r: r["island"])]
         best = max(found, key=Packing.fitness)
         where, order, offset = best.encoded(), [i for b in best.bins for i in b], np.empty(len(sizes), dtype=np.int64)
+        room = np.array(best.room, dtype=np.int64)[where]
         for b in best.bins:
             at = 0
             for i in b:
@@ -233,12 +277,13 @@ def pack(items: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, islands
                 at += int(sizes[i])
         order = np.array(order, dtype=np.int64)
         keys = np.frombuffer(rows[0]["keys"], dtype=np.int64)
-        return pa.table({"key": keys[order], "bin": where[order].astype(np.int64) * n_blocks + key[0].as_py(), "offset": offset[order]})
+        bins = where[order].astype(np.int64) * n_blocks + key[0].as_py()
+        return pa.table({"key": keys[order], "length": sizes[order], "bin": bins, "offset": offset[order], "room": room[order]})
 
     at = dealt.groupBy("block").applyInArrow(gather, state)
     for k in range(epochs):
         at = at.groupBy("block", "island").applyInArrow(epoch(k), state)
-    return at.groupBy("block").applyInArrow(finish, "key long, bin long, offset long")
+    return at.groupBy("block").applyInArrow(finish, "key long, length long, bin long, offset long, room long")
 
 
 STATE = pa.schema([("block", pa.int64()), ("island", pa.int32()), ("elite", pa.bool_()), ("keys", pa.binary()), ("sizes", pa.binary()), ("packings", pa.list_(pa.binary()))])
