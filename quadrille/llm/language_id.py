@@ -1,60 +1,127 @@
 """Language identification with word-first backoff.
 
-A known word scores by its log frequency in each language; an unseen one falls back to its character n-grams, the
-longest known first: at each place the longest n-gram that the model has, down to one character, counts, each step
-down at a discount. Runs of letters are walked whole; one of more than ``LONG`` letters counts as a word for each ``LONG``. The language with the highest sum wins; the score is its share of the softmax of mean scores.
+A word is a letter (Unicode category L) with the letters and combining marks after it, in lower case; training and
+prediction cut texts by one function. A known word scores by its log frequency in each language; an unseen one falls
+back to its character n-grams, the longest known first: at each place the longest n-gram that the model has, down to one
+character, counts. Words are walked whole; one of more than ``LONG`` characters counts as a word for each ``LONG``. The
+language with the highest sum wins; the score is its share of the softmax of mean scores.
 
 The model is fitted on a bounded sample of labelled rows, drawn by language: all rows of a language with few, and of the
-others about as many each as make ``max_rows`` in all (at least one each is aimed at, so more languages than ``max_rows``
-make more). Rows are drawn by a hash of all their columns, so copies of a text are drawn apart where they have an id. Only
-languages with a sampled word are candidates. It keeps
-the ``max_words`` most frequent words and ``max_grams`` n-grams, so its size is fixed and it may be broadcast. Words and
-n-grams are counted by Spark over the whole sample, combined map-side.
-
-Defined results: null texts and those without a letter are ``und`` with score 0; a model without any label calls
-everything ``und``; equal scores go to the first language by name; labels that are null are not learned from; repeated
-rows get equal results; an empty table gives an empty result; other columns stay.
+others about as many each as make ``max_rows`` rows and ``max_chars`` characters in all. Rows are drawn by a hash of all
+their columns, so copies of a text are drawn apart where they have an id. Languages with a sampled word are the
+candidates. All words and n-grams of the sample are in the model, which has an entry for each of them and each language
+it occurs in: its size is bounded by the sample's, so it may be broadcast.
+
+Defined results: null texts and those without a letter (digits, number forms, signs, marks alone) are ``und`` with score
+0; a model without any label calls everything ``und``; equal scores go to the first language by name; labels that are
+null are not learned from; repeated rows get equal results; an empty table gives an empty result; other columns stay, but
+for those that have an output's name, which are replaced.
 """
 
 from __future__ import annotations
 
-import math
+import functools
 import re
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_ROWS = 20_000
-MAX_WORDS = 40_000
-MAX_GRAMS = 40_000
+from .common import staged, unstage
+
+MAX_ROWS = 4_000
+MAX_CHARS = 1 << 24
 N_MAX = 4
 SIZES = tuple(range(N_MAX, 0, -1))
-BACKOFF = math.log(0.4)
 SMOOTH = 0.5
 UNKNOWN = "und"
-WORD = re.compile(r"[^\W\d_]+")
 PIECE = 1 << 20
 LONG = 64
-#: N-grams of a long run are looked up or counted for so many places at a time.
+#: N-grams of a long word are looked up for so many places at a time.
 PLACES = 1024
+#: Unseen words whose n-grams a worker remembers.
+KEPT = 100_000
+
+
+@functools.lru_cache(maxsize=1)
+def patterns() -> tuple[re.Pattern, re.Pattern, re.Pattern]:
+    """A word, the same in texts without characters beyond U+FFFF, and the rest of a word that has begun.
+
+    From Python's table of Unicode categories.
+    """
+    kind = "".join(unicodedata.category(chr(c))[0] for c in range(sys.maxunicode + 1))
+    ranges = lambda kinds, end: "".join(f"\\U{m.start():08x}-\\U{m.end() - 1:08x}" for m in re.finditer(f"[{kinds}]+", kind[:end]))
+    word = [re.compile(f"[{ranges('L', end)}][{ranges('LM', end)}]*") for end in (None, 1 << 16)]
+    return word[0], word[1], re.compile(f"[{ranges('LM', None)}]*")
+
+
+ASCII_WORD = re.compile("[a-z]+")
+BEYOND = re.compile("[\U00010000-\U0010ffff]")
+
+
+def _words(text: str) -> list[str]:
+    text = text.lower()
+    if text.isascii():
+        return ASCII_WORD.findall(text)
+    whole, short, _ = patterns()
+    return (whole if BEYOND.search(text) else short).findall(text)
+
+
+def words_of(text: str) -> Counter:
+    """How often each word occurs; long texts are worked on in pieces that end between words."""
+    if len(text) <= PIECE:
+        return Counter(_words(text))
+    counts: Counter = Counter()
+    at = 0
+    while at < len(text):
+        to = patterns()[2].match(text, min(at + PIECE, len(text))).end()
+        counts.update(_words(text[at:to]))
+        at = to
+    return counts
+
+
+class Table:
+    """For each key, by how much its log frequency in the languages it occurs in exceeds that of an absent key, ``base``."""
+
+    def __init__(self, keys: list[str], key_langs: list[int], counts: list[int], n_langs: int):
+        self.index = {k: i for i, k in enumerate(dict.fromkeys(keys))}
+        at = np.fromiter(map(self.index.__getitem__, keys), np.int64, len(keys))
+        order = np.argsort(at, kind="stable")
+        n = np.array(counts, dtype=np.float64)
+        self.lang, self.gain = np.array(key_langs, dtype=np.int64)[order], np.log((n + SMOOTH) / SMOOTH)[order]
+        self.size = np.bincount(at, minlength=len(self.index))
+        self.start = np.cumsum(self.size) - self.size
+        total = np.bincount(key_langs, weights=n, minlength=n_langs) if len(keys) else np.zeros(n_langs)
+        self.base = np.log(SMOOTH / (total + SMOOTH * (len(self.index) + 1)))
+
+    def scores(self, keys: list[int], weights: list[float]) -> np.ndarray:
+        """Weighted sum of the keys' log frequencies in each language."""
+        at, weight = np.array(keys, dtype=np.int64), np.array(weights, dtype=np.float64)
+        size = self.size.take(at)
+        until = np.cumsum(size)
+        place = np.repeat(self.start.take(at) - until + size, size) + np.arange(until[-1] if len(until) else 0)
+        return weight.sum() * self.base + np.bincount(self.lang.take(place), weights=np.repeat(weight, size) * self.gain.take(place), minlength=len(self.base))
 
 
 @dataclass
 class Model:
     langs: list[str]
-    words: dict[str, int]
-    word_log: np.ndarray
-    grams: dict[str, int]
-    gram_log: np.ndarray
+    words: Table
+    grams: Table
+    unseen: dict[str, list[int]] = field(default_factory=dict, repr=False)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"unseen": {}}
 
     def backoff(self, padded: str, places: range) -> list[int]:
         """At each of these places of an unseen word the longest n-gram that is known, if any."""
-        grams, found = self.grams.get, []
+        grams, found = self.grams.index.get, []
         for at in places:
             for size in SIZES:
                 k = grams(padded[at : at + size])
@@ -63,40 +130,34 @@ class Model:
                     break
         return found
 
+    def remembered(self, word: str) -> list[int]:
+        found = self.unseen.get(word)
+        if found is None:
+            if len(self.unseen) >= KEPT:
+                self.unseen.clear()
+            found = self.unseen[word] = self.backoff(f"^{word}$", range(len(word) + 1))
+        return found
+
     def scores(self, text: str) -> tuple[np.ndarray, float]:
         """Sum of log scores by language, and the number of words; an unseen word scores the mean over its places."""
-        counts: Counter = Counter()
-        at = 0
-        while at < len(text):
-            to = at + PIECE
-            while to < len(text) and text[to].isalpha():
-                to += 1
-            counts.update(WORD.findall(text[at:to].lower()))
-            at = to
         words, times, grams, share = [], [], [], []
-        total, number = np.zeros(len(self.langs)), sum(counts.values())
-        index = self.words.get
-        for w, n in counts.items():
-            k = index(w)
-            if len(w) > LONG:
-                weight = n * len(w) / LONG
-                number += weight - n
-                if k is not None:
-                    total += weight * self.word_log[k]
-                    continue
-                for lo in range(0, len(w) + 1, PLACES):
-                    total += weight / (len(w) + 1) * self.gram_log[self.backoff(f"^{w}$", range(lo, min(lo + PLACES, len(w) + 1)))].sum(axis=0)
-            elif k is not None:
+        total, number = np.zeros(len(self.langs)), 0.0
+        index = self.words.index.get
+        for w, n in words_of(text).items():
+            k, weight = index(w), n if len(w) <= LONG else n * len(w) / LONG
+            number += weight
+            if k is not None:
                 words.append(k)
-                times.append(n)
-            elif found := self.backoff(f"^{w}$", range(len(w) + 1)):
+                times.append(weight)
+            elif len(w) <= LONG:
+                found = self.remembered(w)
                 grams += found
-                share += [n / (len(w) + 1)] * len(found)
-        if words:
-            total += np.array(times, dtype=np.float64) @ self.word_log[words]
-        if grams:
-            total += np.array(share) @ self.gram_log[grams]
-        return total, number
+                share += [weight / (len(w) + 1)] * len(found)
+            else:
+                for lo in range(0, len(w) + 1, PLACES):
+                    found = self.backoff(f"^{w}$", range(lo, min(lo + PLACES, len(w) + 1)))
+                    total += self.grams.scores(found, [weight / (len(w) + 1)] * len(found))
+        return total + self.words.scores(words, times) + self.grams.scores(grams, share), number
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not self.langs:
@@ -110,65 +171,58 @@ class Model:
         return self.langs[best], float(1 / share.sum())
 
 
-def _table(counts: list, langs: list[str]) -> tuple[dict[str, int], np.ndarray]:
-    index: dict[str, int] = {}
-    for r in counts:
-        index.setdefault(r.key, len(index))
-    n = np.zeros((len(index), len(langs)))
-    for r in counts:
-        n[index[r.key], langs.index(r.lang)] = r.n
-    return index, np.log((n + SMOOTH) / (n.sum(axis=0, keepdims=True) + SMOOTH * (len(index) + 1)))
+def sampled(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> DataFrame:
+    """(text, lang) of the rows to learn from: of each language about an equal part of max_rows and of max_chars.
 
+    What languages with few rows leave of their parts goes to the others.
+    """
+    keys = [c for c, kind in labelled.dtypes if "map<" not in kind and "variant" not in kind]
+    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.pmod(F.xxhash64(*keys), F.lit(1 << 31)).alias("at")).where("text is not null and lang is not null")
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("text").cast("double")).alias("chars"))
+    parts = {}
+    for c, most in (("n", max_rows), ("chars", max_chars)):
+        each = most / max(1, counts.count())
+        few = counts.agg(F.sum(F.when(F.col(c) <= each, F.col(c))).alias("all"), F.count(F.when(F.col(c) > each, 1)).alias("others")).first()
+        parts[c] = (most - (few["all"] or 0)) / max(1, few["others"])
+    below = F.least(F.lit(1.0), parts["n"] / F.col("n"), parts["chars"] / F.greatest(F.lit(1.0), F.col("chars"))) * (1 << 31)
+    return rows.join(counts.select("lang", below.alias("below")), "lang").where("at < below").select("text", "lang")
 
-def _grams(size: int):
-    """All n-grams of one size that start in the first PLACES places of the piece ``p``; the whole of a shorter word."""
-    last = F.least(F.lit(PLACES), F.char_length("p") - (size - 1))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), last)), lambda at: F.substr("p", at, F.lit(size)))
-    return F.when((last >= 1) | (F.col("from") == 1), grams).otherwise(F.array().cast("array<string>"))
 
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> Model:
+    """Learns from rows with a label; the sample's words and n-grams come to the driver counted by language."""
 
-def sampled(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_ROWS) -> DataFrame | None:
-    """(text, lang) of the rows to learn from, for the 1000 languages with most rows; None if there are none."""
-    keys = [c for c, kind in labelled.dtypes if "map<" not in kind and "variant" not in kind]
-    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.pmod(F.xxhash64(*keys), F.lit(1 << 31)).alias("at")).where("text is not null and lang is not null")
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(1000).collect()}
-    if not counts:
-        return None
-    left, share = max_rows, {}
-    for k, (lang, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
-        rows_here = min(n, max(1, left // (len(counts) - k)))
-        left -= rows_here
-        share[lang] = int(rows_here / n * (1 << 31))
-    below = F.create_map(*(F.lit(x) for pair in share.items() for x in pair))[F.col("lang")]
-    return rows.where(F.col("at") < below).select("text", "lang")
-
-
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
-    """Learns from rows with a label; labels come to the driver counted, words and n-grams up to the limits."""
-    sample = sampled(labelled, text_col, lang_col, max_rows)
-    if sample is None:
-        return Model([], {}, np.zeros((0, 0)), {}, np.zeros((0, 0)))
-    words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("key")).groupBy("lang", "key").agg(F.count(F.lit(1)).alias("n")).persist()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                counts = words_of(batch.column(0)[k].as_py())
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(1)[k].as_py()] * len(counts), pa.string()), pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["lang", "key", "n"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams: Counter = Counter()
+            for lang, key, n in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                padded = f"^{key}$"
+                for size in SIZES:
+                    for at in range(len(padded) - size + 1):
+                        grams[lang, padded[at : at + size]] += n
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in grams], pa.string()), pa.array([x for _, x in grams], pa.string()), pa.array(grams.values(), pa.int64())], names=["lang", "key", "n"])
+
+    kind, summed = "lang string, key string, n long", lambda df: df.groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    words = staged(summed(sampled(labelled, text_col, lang_col, max_rows, max_chars).mapInArrow(run, kind)), "words")
     langs = sorted(r.lang for r in words.select("lang").distinct().collect())
-    padded = words.select("lang", "n", F.concat(F.lit("^"), "key", F.lit("$")).alias("w"))
-    pieces = padded.select("lang", "n", "w", F.explode(F.sequence(F.lit(1), F.char_length("w"), F.lit(PLACES))).alias("from"))
-    pieces = pieces.select("lang", "n", "from", F.substr("w", "from", F.lit(PLACES + N_MAX - 1)).alias("p"))
-    gram = [_grams(k) for k in range(1, N_MAX + 1)]
-    grams = pieces.select("lang", "n", F.explode(F.concat(*gram)).alias("key")).groupBy("lang", "key").agg(F.sum("n").alias("n"))
-
-    def most(counted: DataFrame, limit: int) -> list:
-        keys = counted.groupBy("key").agg(F.sum("n").alias("all")).where("`all` > 1").orderBy(F.desc("all"), "key").limit(limit)
-        return counted.join(F.broadcast(keys.select("key")), "key").collect()
-
-    found = Model(langs, *_table(most(words, max_words), langs), *_table(most(grams, max_grams), langs))
-    words.unpersist()
-    for key, k in found.grams.items():
-        found.gram_log[k] += BACKOFF * (N_MAX - len(key))
+    place = {lang: k for k, lang in enumerate(langs)}
+
+    def table(counted: DataFrame) -> Table:
+        told = counted.orderBy("key", "lang").toArrow()
+        return Table(told.column("key").to_pylist(), [place[x] for x in told.column("lang").to_pylist()], told.column("n").to_pylist(), len(langs))
+
+    found = Model(langs, table(words), table(summed(words.mapInArrow(cut, kind))))
+    unstage(words)
     return found
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
-    """docs with the predicted language and a score from 0 to 1; no shuffle."""
+    """docs with the predicted language and a score from 0 to 1, which replace columns of their names; no shuffle."""
     rows = docs.drop(lang_out, score_out)
     at = rows.columns.index(text_col)
     sent = docs.sparkSession.sparkContext.broadcast(model)
