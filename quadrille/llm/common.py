@@ -2,61 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-LOWER = UPPER.lower()
-
-_local_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it in spark.checkpoint.dir.
-
-    Only where that is unset, as in tests, a temporary folder stands in for it.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _local_dirs:
-        _local_dirs[app] = tempfile.mkdtemp(prefix="spark-quadrille-")
-    return f"file://{_local_dirs[app]}"
-
-
-def staging_root(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/quadrille-{spark.sparkContext.applicationId}"
+from ..staging import cleanup, shared_dir, staged, staging_root, unstage
 
+__all__ = ["cleanup", "fold_ascii", "free_name", "read", "shared_dir", "staged", "staging_root", "unstage"]
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{staging_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._quadrille_path = path
-    return out
-
-
-def unstage(df: DataFrame) -> None:
-    """Delete a staged table that no later step reads."""
-    path = getattr(df, "_quadrille_path", None)
-    if path:
-        delete(df.sparkSession, path)
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def cleanup(spark: SparkSession) -> None:
-    """Delete every staged table of this application; call it once results are written."""
-    delete(spark, staging_root(spark))
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+LOWER = UPPER.lower()
 
 
 def fold_ascii(text: Column) -> Column:

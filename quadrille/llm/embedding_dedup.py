@@ -11,7 +11,7 @@ worse. Equal vectors of a label are one node with a weight.
 
 Defined results: a null label, and a null, empty or zero vector or one with null or non-finite parts, links with
 nothing (n_links 0, itself its component); vectors of unequal length never link; a null id links with nothing and has
-a null component; repeated rows are copies of each other and link; an empty table gives an empty result.
+a null component; ids must fit ``long``; repeated rows are copies of each other and link; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,6 +31,9 @@ from .components import connected_components, local_forest
 THRESHOLD = 0.98
 TILE = 1024
 SAMPLE_ROWS = 4096
+#: Neighbouring tiles that travel together (a power of two): a tile is sent once for each group it meets, not for each tile.
+GROUP = 8
+GROUPS_A_TASK = 4
 SLACK = 1e-9
 
 
@@ -129,9 +132,14 @@ def _tiles(nodes: DataFrame, axes: dict[int, np.ndarray], size: int) -> DataFram
     return keyed.orderBy("label", "d", "key", "rep").mapInArrow(pack, schema)
 
 
+def _reach(threshold: float) -> float:
+    """How far apart on an axis two unit vectors of that cosine can be."""
+    return math.sqrt(max(0.0, 2 - 2 * threshold)) + SLACK
+
+
 def tile_pairs(tiles: DataFrame, threshold: float) -> DataFrame:
     """(x, y), x <= y: tiles of one label whose first-axis ranges come within reach; met on bins of that width."""
-    reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + SLACK
+    reach = _reach(threshold)
     side = lambda a, extra: tiles.select(
         "label", "d", F.col("tile").alias(a), F.col("lo").alias(f"{a}lo"), F.col("hi").alias(f"{a}hi"),
         F.explode(F.sequence(F.floor(F.col("lo") / reach) - extra, F.floor(F.col("hi") / reach) + extra)).alias("bin"),
@@ -175,29 +183,36 @@ def links(nodes: DataFrame, threshold: float = THRESHOLD, tile: int = TILE, samp
     """(id, n_links, up): per tile pair and linked node its links there and its root in the pair's spanning forest."""
     axes = principal_axes(nodes, sample_rows)
     tiles = staged(_tiles(nodes, axes, tile), "vector-tiles")
-    pairs = tile_pairs(tiles, threshold)
-
-    def run(table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column("side").to_numpy())
-        d = table.column("d")[0].as_py()
-        get = lambda k, name, kind: np.frombuffer(table.column(name)[int(k)].as_py(), dtype=kind)
-        ids, weights = ([get(k, name, np.int64) for k in order] for name in ("ids", "weights"))
-        vectors = [get(k, "vectors", np.float64).reshape(-1, d) for k in order]
-        same = len(order) == 1
-        shift = 0 if same else len(ids[0])
-        every, weight = np.concatenate(ids), np.concatenate(weights)
-        count, label = np.zeros(len(every), dtype=np.int64), None
-        for i, j in compare(vectors[0], vectors[-1], axes.get(d), threshold, same):
+    reach, bits = _reach(threshold), GROUP.bit_length() - 1
+    pairs = tile_pairs(tiles, threshold).withColumns({"bx": F.shiftright("x", bits), "by": F.shiftright("y", bits)})
+    ends = staged(pairs.select("bx", "by", F.explode(F.array("x", "y")).alias("tile")).distinct(), "tile-groups")
+    groups = ends.select("bx", "by").distinct().count()
+
+    def pair(a: dict, b: dict) -> pa.Table | None:
+        d, same = a["d"], a["tile"] == b["tile"]
+        ids, weights = (np.concatenate([np.frombuffer(t[name], dtype=np.int64) for t in ((a,) if same else (a, b))]) for name in ("ids", "weights"))
+        vectors = [np.frombuffer(t["vectors"], dtype=np.float64).reshape(-1, d) for t in (a, b)]
+        shift, count, label = 0 if same else len(vectors[0]), np.zeros(len(ids), dtype=np.int64), None
+        for i, j in compare(vectors[0], vectors[1], axes.get(d), threshold, same):
             j = j + shift
-            np.add.at(count, i, weight[j])
-            np.add.at(count, j, weight[i])
-            label = local_forest(len(every), i, j, label)
+            np.add.at(count, i, weights[j])
+            np.add.at(count, j, weights[i])
+            label = local_forest(len(ids), i, j, label)
         met = np.flatnonzero(count)
-        return pa.table({"id": every[met], "n_links": count[met], "up": every[label[met]] if len(met) else every[:0]})
-
-    ends = pairs.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("tile"))
-    ends = ends.join(tiles.select("tile", "d", "ids", "weights", "vectors"), "tile").withColumnRenamed("tile", "side")
-    return ends.groupBy("x", "y").applyInArrow(run, "id long, n_links long, up long")
+        return pa.table({"id": ids[met], "n_links": count[met], "up": ids[label[met]]}) if len(met) else None
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        found, rows = [], sorted(table.to_pylist(), key=lambda t: t["tile"])
+        left, right = ([t for t in rows if t["tile"] >> bits == k.as_py()] for k in key)
+        for a in left:
+            for b in right:
+                if a["tile"] <= b["tile"] and (a["d"], a["label"]) == (b["d"], b["label"]) and b["lo"] - a["hi"] <= reach and a["lo"] - b["hi"] <= reach:
+                    found.append(pair(a, b))
+        none = pa.table({c: pa.array([], pa.int64()) for c in ("id", "n_links", "up")})
+        return pa.concat_tables([none, *(x for x in found if x is not None)])
+
+    sent = ends.join(tiles, "tile").repartition(max(1, -(-groups // GROUPS_A_TASK)), "bx", "by")
+    return sent.groupBy("bx", "by").applyInArrow(run, "id long, n_links long, up long")
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, tile: int = TILE, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
