@@ -16,6 +16,7 @@ results; other columns are not looked at.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,9 @@ SHINGLE = 3
 SEED = 42
 TILE = 4096
 PIECE = 1 << 20
+#: Tile pairs that a task compares, about; their bytes say nothing of the work.
+PAIRS_A_TASK = 16
+SPACE = re.compile(rb"[ \t\n\r\v\f]")
 #: Bits whose population counts a tile keeps the range of: all, then quarters.
 PARTS = (0xFFFFFFFFFFFFFFFF, *(0xFFFF << s for s in (48, 32, 16, 0)))
 
@@ -46,8 +50,8 @@ def _pieces(data: bytes) -> Iterator[list[bytes]]:
     while at < end:
         to = min(at + PIECE, end)
         if to < end:
-            cuts = [k for k in (data.find(c, to) for c in (b" ", b"\n", b"\t", b"\r", b"\v", b"\f")) if k >= 0]
-            to = min(cuts, default=end)
+            cut = SPACE.search(data, to)
+            to = cut.start() if cut else end
         yield data[at:to].split()
         at = to
 
@@ -152,7 +156,8 @@ def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     2 * tile * 8 bytes.
     """
     tiles = staged(_tiles(fps, tile), "tiles")
-    pairs = tile_pairs(tiles, radius)
+    pairs = staged(tile_pairs(tiles, radius), "tile-pairs")
+    tasks = max(1, -(-pairs.count() // PAIRS_A_TASK))
 
     def run(table: pa.Table) -> pa.Table:
         order = np.argsort(table.column("side").to_numpy())
@@ -162,7 +167,7 @@ def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
 
     ends = pairs.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("tile"))
     ends = ends.join(tiles.select("tile", "fps"), "tile").select("x", "y", F.col("tile").alias("side"), "fps")
-    return ends.groupBy("x", "y").applyInArrow(run, "a long, b long")
+    return ends.repartition(tasks, "x", "y").groupBy("x", "y").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, tile: int = TILE) -> DataFrame:
