@@ -43,11 +43,12 @@ def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "t
         F.col(conv).alias(conv),
         F.struct(
             F.col(turn).alias("turn"),
-            escape(F.coalesce(F.col(role), F.lit(""))).alias("role"),
-            escape(F.coalesce(F.col(text), F.lit(""))).alias("text"),
+            F.coalesce(F.col(role), F.lit("")).alias("role"),
+            F.coalesce(F.col(text), F.lit("")).alias("text"),
         ).alias("t"),
     )
-    one = rows.groupBy(conv).agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    one = rows.groupBy(conv).agg(F.array_sort(F.collect_list("t")).alias("raw"))
+    one = one.select(conv, F.transform("raw", lambda t: F.struct(escape(t["role"]).alias("role"), escape(t["text"]).alias("text"))).alias("turns"))
     n = F.size("turns")
     at = lambda i: F.get(F.col("turns"), i)
     starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (at(i)["role"] != at(i - 1)["role"]))
