@@ -4,9 +4,9 @@ Every record is hashed into one of ``n_slots`` slots, for good. Rows and bytes a
 ``n_slots`` rows come to the driver, however large the input), and a versioned map gives each slot a shard. The map is
 stored as a table; changing the shard count or levelling grown slots edits it, moving as few slots as it can.
 
-Defined results: the record hash covers id and text, so one id with a third of all rows is spread; rows equal in both
-share a slot. Null ids and texts hash like any other value; a null text has no bytes. An empty table gives a map with
-empty slots and an empty result. Ties go to the lowest shard and slot. Other columns pass through ``assign`` untouched.
+Defined results: the record hash covers id, text and a number that tells rows equal in both apart, so one id, or one row
+repeated, with a third of all rows is spread. That number counts such rows within their input partition. Null ids and texts hash like any other value; a null text has no bytes. An empty table gives a map with
+empty slots and an empty result. Ties go to the lowest shard and slot. Other columns pass through ``assign`` untouched, but for ``shard``.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + ROW_OVERHEAD
 
 
-def slot_of(id_col: Column, text_crc: Column, n_slots: int) -> Column:
-    return F.pmod(F.xxhash64(id_col, text_crc), F.lit(n_slots)).cast("int")
+def slot_of(id_col: Column, text_crc: Column, repeat: Column, n_slots: int) -> Column:
+    return F.pmod(F.xxhash64(id_col, text_crc, repeat), F.lit(n_slots)).cast("int")
 
 
 @dataclass
@@ -94,21 +94,21 @@ class SlotMap:
         return SlotMap(self.version + 1, n, shard, rows or self.rows, size, moved)
 
     def table(self, spark: SparkSession) -> DataFrame:
-        """(version, vslot, shard, rows, bytes, base): base is the number of rows of earlier slots of the same shard."""
+        """(version, n_shards, vslot, shard, rows, bytes, base): base is the number of rows of earlier slots of the same shard."""
         base, seen = [], [0] * self.n_shards
         for slot, s in enumerate(self.shard):
             base.append(seen[s])
             seen[s] += self.rows[slot]
-        data = [(self.version, k, s, self.rows[k], self.size[k], base[k]) for k, s in enumerate(self.shard)]
-        return spark.createDataFrame(data, "version int, vslot int, shard int, rows long, bytes long, base long")
+        data = [(self.version, self.n_shards, k, s, self.rows[k], self.size[k], base[k]) for k, s in enumerate(self.shard)]
+        return spark.createDataFrame(data, "version int, n_shards int, vslot int, shard int, rows long, bytes long, base long")
 
     def save(self, spark: SparkSession, path: str) -> None:
         self.table(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/version={self.version}")
 
     @classmethod
-    def load_from(cls, spark: SparkSession, path: str, version: int, n_shards: int) -> SlotMap:
+    def load_from(cls, spark: SparkSession, path: str, version: int) -> SlotMap:
         rows = spark.read.parquet(f"{path}/version={version}").orderBy("vslot").collect()
-        return cls(version, n_shards, [r.shard for r in rows], [r.rows for r in rows], [r.bytes for r in rows])
+        return cls(version, rows[0].n_shards, [r.shard for r in rows], [r.rows for r in rows], [r.bytes for r in rows])
 
 
 def count_slots(rows: DataFrame, n_slots: int) -> tuple[list[int], list[int]]:
@@ -120,10 +120,12 @@ def count_slots(rows: DataFrame, n_slots: int) -> tuple[list[int], list[int]]:
 
 
 def records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_slots: int = N_SLOTS) -> DataFrame:
-    """(id, size, text_crc32, vslot) of each record."""
+    """(id, size, text_crc32, vslot) of each record; rows equal in id and text are numbered in each input partition."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias(id_col), size_of(F.col(text_col)).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    return rows.withColumn("vslot", slot_of(F.col(id_col), F.col("text_crc32"), n_slots))
+    alike = Window.partitionBy(id_col, "text_crc32", "size", "__part").orderBy(F.lit(0))
+    rows = rows.withColumn("__part", F.spark_partition_id()).withColumn("__repeat", F.row_number().over(alike))
+    return rows.withColumn("vslot", slot_of(F.col(id_col), F.col("text_crc32"), F.col("__repeat"), n_slots)).drop("__part", "__repeat")
 
 
 def shard_documents(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str = "text", n_slots: int = N_SLOTS, map_path: str | None = None) -> DataFrame:
@@ -136,13 +138,13 @@ def shard_documents(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text
     slots = SlotMap.fresh(*count_slots(rows, n_slots), n_shards)
     slots.save(spark, map_path or f"{staging_root(spark)}/slot_map")
     within = Window.partitionBy("vslot").orderBy(F.col(id_col), "text_crc32", "size")
-    placed = rows.withColumn("place", F.row_number().over(within) - 1).join(F.broadcast(slots.table(spark).drop("rows", "bytes")), "vslot")
+    placed = rows.withColumn("place", F.row_number().over(within) - 1).join(F.broadcast(slots.table(spark).drop("rows", "bytes", "n_shards")), "vslot")
     return placed.select(id_col, "size", "text_crc32", "vslot", "shard", (F.col("base") + F.col("place")).alias("slot"), "version")
 
 
 def assign(docs: DataFrame, slots: SlotMap, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with a ``shard`` column from a stored map; no shuffle."""
+    """docs with a ``shard`` column from a stored map, which replaces one of that name; no shuffle. Repeated rows all go where the first of them belongs."""
     slot = free_name(docs, "vslot")
     crc = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
     table = slots.table(docs.sparkSession).select(F.col("vslot").alias(slot), "shard")
-    return docs.drop("shard").withColumn(slot, slot_of(F.col(id_col), crc, len(slots.shard))).join(F.broadcast(table), slot).drop(slot)
+    return docs.drop("shard").withColumn(slot, slot_of(F.col(id_col), crc, F.lit(1), len(slots.shard))).join(F.broadcast(table), slot).drop(slot)
