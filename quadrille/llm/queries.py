@@ -61,7 +61,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = substring_dedup.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = substring_dedup.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"), unit="sentence")
     span = F.transform("removed", lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["stop"].cast("string")))
     return out.select("doc_id", "text", F.size("removed").cast("long").alias("n_removed"), F.array_join(span, ",").alias("removed"))
 

@@ -1,7 +1,8 @@
-"""Substring dedup by hashing lines and their sentences.
+"""Substring dedup by hashing lines or paragraphs.
 
-A text is cut into units: a stretch that ends with its run of line ends or of ``.!?``. Lines are so found whole, and a
-passage inside a line too, but for its first unit where the text before it doesn't end. Each unit of ``min_words`` words or more is
+A text is cut into units: lines with their run of line ends, or paragraphs, which end with an empty line. As an option,
+units are sentences: lines cut further after each run of ``.!?``, which finds a passage inside a line too, but for its
+first unit where the text before it doesn't end. Each unit of ``min_words`` words or more is
 normalised (lower case, white space to single blanks) and hashed to 128 bits; digests are grouped globally; the
 occurrence with the smallest (document id, row, place) stays, and the others are removed. Offsets are those of the original
 text, in code points, ends exclusive.
@@ -18,11 +19,12 @@ grouping combines map-side.
 
 Defined results: null and empty texts have no units and stay as they are; a null id ranks last; of repeated rows the
 first by row number keeps its text and the rest lose it; a text may become empty but no row goes; an empty table gives
-an empty result; all other columns stay.
+an empty result; all other columns stay, but for ``removed``.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections.abc import Iterator
@@ -34,7 +36,11 @@ from pyspark.sql import functions as F
 
 from .common import free_name, staged, unstage
 
-UNIT = re.compile(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+")
+UNITS = {
+    "line": re.compile(r"[^\n]*\n+|[^\n]+"),
+    "paragraph": re.compile(r"(?:[^\n]+\n?)*\n+|(?:[^\n]+\n?)+"),
+    "sentence": re.compile(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+"),
+}
 MIN_WORDS = 5
 #: Thai and Lao, Burmese, Khmer, kana, Chinese characters.
 NO_BLANKS = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
@@ -46,9 +52,9 @@ WORDS_KEPT = 200_000
 _word_hashes: dict[str, int] = {}
 
 
-def units_of(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, bytes]]:
+def units_of(text: str, min_words: int = MIN_WORDS, unit: str = "line") -> Iterator[tuple[int, int, bytes]]:
     """(start, end, digest) of each unit with enough words."""
-    for m in UNIT.finditer(text):
+    for m in UNITS[unit].finditer(text):
         words = m[0].lower().split()
         if len(words) >= min_words:
             yield m.start(), m.end(), hashlib.blake2b(" ".join(words).encode(), digest_size=16).digest()
@@ -104,11 +110,11 @@ def _windows(text: str, starts: np.ndarray) -> Iterator[tuple[int, int, bytes, i
         yield a, spans[k + SHINGLE - 1][1], found[k].tobytes(), u
 
 
-def units(rows: DataFrame, min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
+def units(rows: DataFrame, min_words: int = MIN_WORDS, whole: bool = False, unit: str = "line") -> DataFrame:
     """(rid, id, start, stop, digest) for rows(rid, id, text), and with whole the unit's start as ``part``; no shuffle."""
 
     names = ["rid", "id", "start", "stop", "digest", *(["part"] if whole else [])]
-    cut = passages_of if whole else units_of
+    cut = passages_of if whole else functools.partial(units_of, unit=unit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,11 +167,13 @@ def cut_out(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
-    """docs with their texts cut, and ``removed``: array of (start, stop) in the original text, in order."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, whole: bool = False, unit: str = "line") -> DataFrame:
+    """docs with their texts cut, and ``removed``: array of (start, stop) in the original text, in order; it replaces a column of that name."""
+    if unit not in UNITS:
+        raise ValueError(f"unit must be one of {sorted(UNITS)}")
     rid, given = free_name(docs, "rid"), docs.drop("removed")
     rows = staged(given.withColumn(rid, F.monotonically_increasing_id()), "texts")
-    found = staged(units(rows.select(F.col(rid).alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), min_words, whole), "units")
+    found = staged(units(rows.select(F.col(rid).alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), min_words, whole, unit), "units")
     spans = repeats(found).groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("removed")).withColumnRenamed("rid", rid)
     if whole:  # the windows go before texts are shuffled
         spans = staged(spans, "spans")

@@ -70,7 +70,7 @@ def test_embeddings(spark):
 def test_substrings(spark):
     a = "This passage has more than five words."
     rows = [(1, f"{a} Unique words stand here in a row. As.", 0), (2, f"Other.\n{a.upper()}  As.", 0), (3, None, 0), (4, "", 0), (None, a, 0)]
-    out = {r.doc_id: r for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, DOCS)).collect()}
+    out = {r.doc_id: r for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, DOCS), unit="sentence").collect()}
     assert out[1].text == rows[0][1] and out[2].text == "Other.\n  As." and out[3].text is None and out[None].text == ""
     assert [tuple(s) for s in out[2].removed] == [(7, 7 + len(a))]
 

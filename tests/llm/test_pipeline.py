@@ -26,7 +26,7 @@ def plain(docs):
     docs, seen = {k: docs[k] for k in sorted(docs) if root[k] == k}, set()
     for k, t in docs.items():
         spans = []
-        for a, b, d in substring_dedup.units_of(t):
+        for a, b, d in substring_dedup.units_of(t, unit="sentence"):
             if d in seen:
                 spans.append((a, b))
             seen.add(d)
