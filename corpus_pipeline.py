@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns the columns of documents;
 the last returns the packed pieces. ``run`` writes each stage's result to the cluster's shared folder and reads it
 again as the next one's input, so a lost executor costs tasks and no stage.
+
+Defined results: null texts and texts without a letter go in the first stage, and empty ones with them; rows with a null
+doc_id are documents like any other, rank below all others among copies, and all stay among near copies; of repeated
+rows one stays; a text of any length is read whole; an empty table gives an empty result; extra columns stay up to the
+last stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrille.llm import exact_dedup, language_id, packing, simhash, substring_dedup
-from quadrille.llm.common import staged
+from quadrille.llm.common import free_name, staged
 from quadrille.llm.queries import tokenizer_path
 from quadrille.session import ship
 
@@ -19,9 +24,10 @@ from quadrille.session import ship
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects null texts and those without a letter; a letter is enough where the table has no labels to tell a language by."""
     ship(spark)
+    lang, score = free_name(docs, "lang"), free_name(docs, "score")
     model = language_id.fit(docs)
-    told = language_id.predict(docs, model, lang_out="__lang", score_out="__score")
-    return told.where((F.col("__lang") != language_id.UNKNOWN) | F.col("text").rlike(r"\p{L}")).select(*docs.columns)
+    told = language_id.predict(docs, model, lang_out=lang, score_out=score)
+    return told.where((F.col(lang) != language_id.UNKNOWN) | F.col("text").rlike(r"\p{L}")).select(*docs.columns)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
