@@ -47,6 +47,7 @@ LONG = 64
 PLACES = 1024
 #: Unseen words whose n-grams a worker remembers.
 KEPT = 100_000
+BROADCAST_LANGS = 100_000
 
 
 @functools.lru_cache(maxsize=1)
@@ -179,13 +180,16 @@ def sampled(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang",
     keys = [c for c, kind in labelled.dtypes if "map<" not in kind and "variant" not in kind]
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.pmod(F.xxhash64(*keys), F.lit(1 << 31)).alias("at")).where("text is not null and lang is not null")
     counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("text").cast("double")).alias("chars"))
-    parts = {}
+    counts, parts = staged(counts, "languages"), {}
+    languages = counts.count()
     for c, most in (("n", max_rows), ("chars", max_chars)):
-        each = most / max(1, counts.count())
+        each = most / max(1, languages)
         few = counts.agg(F.sum(F.when(F.col(c) <= each, F.col(c))).alias("all"), F.count(F.when(F.col(c) > each, 1)).alias("others")).first()
         parts[c] = (most - (few["all"] or 0)) / max(1, few["others"])
     below = F.least(F.lit(1.0), parts["n"] / F.col("n"), parts["chars"] / F.greatest(F.lit(1.0), F.col("chars"))) * (1 << 31)
-    return rows.join(counts.select("lang", below.alias("below")), "lang").where("at < below").select("text", "lang")
+    shares = counts.select("lang", below.alias("below"))
+    # A language may hold most rows, so rows don't move to meet its share, unless there are too many languages to broadcast.
+    return rows.join(F.broadcast(shares) if languages <= BROADCAST_LANGS else shares, "lang").where("at < below").select("text", "lang")
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> Model:
