@@ -502,7 +502,8 @@ _RANGE = f"select qid, tid, round(dist, 8) as dist from (select qid, tid, {_d('q
 
 @_register(_RANGE, _BOTH)
 def _range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return range_join(_balls(spark, sf_dir), training2d(spark, sf_dir), Grid(N2)).withColumn("dist", F.round("dist", 8))
+    t = training2d(spark, sf_dir)
+    return range_join(_balls(spark, sf_dir), t, Grid(_grid_for(t.count()))).withColumn("dist", F.round("dist", 8))
 
 
 @_register(_RANGE, _BOTH)
@@ -533,7 +534,8 @@ def _salts(n: int) -> int:
 
 @_register(_brute("queries2d", "training2d", 2), _BOTH)
 def knn_join_grid_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(knn_join(queries2d(spark, sf_dir), training2d(spark, sf_dir), K, Grid(64)))
+    t = training2d(spark, sf_dir)
+    return _rounded(knn_join(queries2d(spark, sf_dir), t, K, Grid(max(64, _grid_for(t.count())))))
 
 
 @_register(_brute("queries2d", "training2d", 2), _BOTH)
@@ -574,9 +576,14 @@ def knn_join_dup_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(knn_join(as_queries(points3d(spark, sf_dir)), dup_ids3d(spark, sf_dir), K, Grid(N3, 3), unique_ids=False))
 
 
-@_register()
+_SKEWED = f"""select qid, near.t as tid, round(near.d, 8) as dist, cast(rank as bigint) as rank from (
+    select qid, unnest(nearest) as near, generate_subscripts(nearest, 1) as rank from (
+        select q.tid as qid, min(struct_pack(d := {_d('q', 't', 2)}, t := t.tid), {K}) as nearest from skewed2d q, skewed2d t group by q.tid))"""
+
+
+@_register(_SKEWED, ("skewed2d",))
 def knn_skewed_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Skewed points against themselves over a tree. All pairs are too many for SQL; tests hold the same join against brute force on small sets."""
+    """Skewed points against themselves over a tree."""
     p = skewed2d(spark, sf_dir)
     tree = Tree(tree_build.build_tree(partition.sample_points(p, 25), CAPACITY, "capacity", 2, 16).persist())
     return _rounded(knn_join(as_queries(p), p, K, tree))

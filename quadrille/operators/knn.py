@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import axes, distance
+from ..staging import staged
 from .partition import BROADCAST_ROWS
 
 METHODS = ("bf", "ps")
@@ -68,7 +69,8 @@ def local_knn(queries: DataFrame, training: DataFrame, k: int, dims: int = 2, me
 
 def _plane_sweep(queries: DataFrame, training: DataFrame, k: int, dims: int, keys: list[str], exclude_self: bool) -> DataFrame:
     names = list(axes(dims))
-    q, t = queries.select(*keys, "qid", *names), training.select(*keys, "tid", *names)
+    # Both may come from one table, so their columns get names of their own.
+    q, t = (df.select(*(F.col(c).alias(c) for c in (*keys, own, *names))) for df, own in ((queries, "qid"), (training, "tid")))
     kinds = ", ".join(f"`{c}` {q.schema[c].dataType.simpleString()}" for c in keys)
 
     def sweep(key: tuple, qs: pd.DataFrame, ts: pd.DataFrame) -> pd.DataFrame:
@@ -160,7 +162,7 @@ def broadcast_knn(queries: DataFrame, training: DataFrame, k: int, dims: int = 2
 
 
 def whole_knn(queries: DataFrame, training: DataFrame, k: int, dims: int = 2, exclude_self: bool = False) -> DataFrame:
-    """(qid, tid, dist, rank) from all pairs, for training tables of few distinct ids; their rows may be any number."""
+    """(qid, tid, dist, rank) from all pairs, for training tables of few rows, which the caller has counted."""
     renamed = training.select("tid", *(F.col(a).alias(r) for a, r in zip(axes(dims), _t(dims), strict=True)))
     dist = distance([F.col(a) for a in axes(dims)], [F.col(r) for r in _t(dims)])
     pairs = queries.crossJoin(renamed).withColumn("dist", dist).select("qid", "tid", "dist")
@@ -178,13 +180,22 @@ def merge_neighbors(*lists: DataFrame, k: int) -> DataFrame:
 def asof_x(queries: DataFrame, training: DataFrame, by: str | None = None) -> DataFrame:
     """(qid, tid): for each query the training point with the largest x not above its own, of equal x the largest tid; null if there is none.
 
-    With ``by``, within equal values of that column. One window over the union of both, a shuffle by ``by``.
+    With ``by``, within equal values of that column: one window over the union of both, a shuffle by ``by``. Without it
+    the union is dealt into ranges of x, and each range's last training point is carried into the next.
     """
     keys = [by] if by else []
     t = training.select(*keys, "x", F.lit(0).alias("_side"), F.col("tid").alias("_id"), F.col("tid"))
     q = queries.select(*keys, "x", F.lit(1).alias("_side"), F.col("qid").alias("_id"), F.lit(None).cast(training.schema["tid"].dataType).alias("tid"))
-    order = Window.partitionBy(*keys).orderBy("x", "_side", "_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    told = t.unionByName(q).withColumn("tid", F.last("tid", ignorenulls=True).over(order))
+    rows = t.unionByName(q)
+    if not by:
+        rows = staged(rows.repartitionByRange("x", "_side", "_id").withColumn("_part", F.spark_partition_id()), "ranges")
+    order = Window.partitionBy(by or "_part").orderBy("x", "_side", "_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    told = rows.withColumn("tid", F.last("tid", ignorenulls=True).over(order))
+    if not by:
+        lasts = rows.groupBy("_part").agg(F.max(F.when(F.col("tid").isNotNull(), F.struct("x", "_id", "tid")))["tid"].alias("_last"))
+        earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as ranges
+        lasts = lasts.select("_part", F.last("_last", ignorenulls=True).over(earlier).alias("_carried"))
+        told = told.join(F.broadcast(lasts), "_part").withColumn("tid", F.coalesce("tid", "_carried"))
     return told.where("_side = 1").select(*keys, F.col("_id").alias("qid"), "tid")
 
 

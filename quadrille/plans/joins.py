@@ -28,7 +28,8 @@ def knn_join(queries: DataFrame, training: DataFrame, k: int, partitioning: Grid
     weights = cells if unique_ids else cell_counts(t.groupBy("tid").agg(F.min("cell").alias("cell")))
     need = k + exclude_self
     if (weights.agg(F.sum("n")).first()[0] or 0) < need:
-        return whole_knn(q, t, k, partitioning.dims, exclude_self)
+        few_rows = unique_ids or (cells.agg(F.sum("n")).first()[0] or 0) < need
+        return whole_knn(q, F.broadcast(t), k, partitioning.dims, exclude_self) if few_rows else _few_ids(q, t, k, partitioning, exclude_self)
     # Both are read more than once, and the overlaps need all of the lists: stored, they are worked out once.
     local = staged(local_knn(q, t, k, partitioning.dims, method, unique_ids=unique_ids, exclude_self=exclude_self, salts=salts).select("qid", "tid", "dist"), "local-lists")
     overlaps = staged(overlap_cells(q, cells, local, k, partitioning, weights, need), "overlaps")
@@ -47,6 +48,16 @@ def knn_join(queries: DataFrame, training: DataFrame, k: int, partitioning: Grid
     return merge_neighbors(first, nearest(rest), k=k)
 
 
+def _few_ids(q: DataFrame, t: DataFrame, k: int, partitioning: Grid | Tree, exclude_self: bool) -> DataFrame:
+    """Training rows of at most k ids, any number each: the nearest row of every id, by a join of its own, then ranked."""
+    lists, names = [], axes(partitioning.dims)
+    for (tid,) in t.select("tid").distinct().collect():
+        rows = staged(t.where(F.col("tid") == tid).select(F.monotonically_increasing_id().alias("tid"), *names), "rows-of-id")
+        own = q.where(F.col("qid") != tid) if exclude_self else q
+        lists.append(knn_join(own, rows, 1, partitioning).select("qid", F.lit(tid).cast(t.schema["tid"].dataType).alias("tid"), "dist"))
+    return merge_neighbors(*lists, k=k)
+
+
 def _in_balls(balls: DataFrame, t: DataFrame, dims: int) -> DataFrame:
     """balls(qid, coordinates, radius, cell) x t(cell, tid, coordinates), with dist, within the radius."""
     names = axes(dims)
