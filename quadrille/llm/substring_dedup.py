@@ -143,8 +143,10 @@ def repeats(found: DataFrame) -> DataFrame:
     """(rid, start, stop) of every unit that is not the earliest of its digest, nor in the unit of the earliest."""
     part = "part" if "part" in found.columns else "start"
     rank = F.struct(F.col("id").isNull().alias("last"), "id", "rid", "start", *([part] if part != "start" else []))
-    often = found.groupBy("digest").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
-    again = found.join(often, "digest").where((F.col("rid") != F.col("first.rid")) | (F.col(part) != F.col(f"first.{part}")))
+    # Counts alone first: they are narrow, and few units occur twice.
+    often = found.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
+    twice = staged(found.join(often, "digest"), "repeated")
+    again = twice.join(twice.groupBy("digest").agg(F.min(rank).alias("first")), "digest").where((F.col("rid") != F.col("first.rid")) | (F.col(part) != F.col(f"first.{part}")))
     return again.select("rid", "start", "stop")
 
 
