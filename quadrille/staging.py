@@ -35,7 +35,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back."""
     spark = df.sparkSession
     path = f"{staging_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quadrille_path = path
     return out

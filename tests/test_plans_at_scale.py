@@ -75,5 +75,5 @@ def test_trees_are_kept_and_replaced(spark, tmp_path):
     path = str(tmp_path / "tree")
     for capacity in (20, 60):
         leaves = build_tree(points, capacity)
-        save_tree(leaves, path)
+        save_tree(leaves, path, mode="overwrite")
         assert sorted(map(tuple, load_tree(spark, path).collect())) == sorted(map(tuple, leaves.collect()))
