@@ -144,9 +144,11 @@ def repeats(found: DataFrame) -> DataFrame:
     part = "part" if "part" in found.columns else "start"
     rank = F.struct(F.col("id").isNull().alias("last"), "id", "rid", "start", *([part] if part != "start" else []))
     # Counts alone first: they are narrow, and few units occur twice.
-    often = found.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
+    # Stored, they don't bind the joins to their own exchange, so Spark may split the rows of a hot digest.
+    often = staged(found.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"), "often")
     twice = staged(found.join(often, "digest"), "repeated")
-    again = twice.join(twice.groupBy("digest").agg(F.min(rank).alias("first")), "digest").where((F.col("rid") != F.col("first.rid")) | (F.col(part) != F.col(f"first.{part}")))
+    first = staged(twice.groupBy("digest").agg(F.min(rank).alias("first")), "first")
+    again = twice.join(first, "digest").where((F.col("rid") != F.col("first.rid")) | (F.col(part) != F.col(f"first.{part}")))
     return again.select("rid", "start", "stop")
 
 
