@@ -105,3 +105,38 @@ def test_language(spark):
     assert [r.lang_pred for r in language_id.predict(df, model).orderBy("doc_id").collect()] == ["en", "fr", "und", "und", "und"]
     empty = language_id.fit(spark.createDataFrame([], "text string, lang string"))
     assert {r.lang_pred for r in language_id.predict(df, empty).collect()} == {"und"}
+
+
+def test_repeated_rows_are_spread_over_shards(spark):
+    """A third of the rows are one row; nulls and empty texts too; the stored map places unique rows the same."""
+    rows = [(-1, "the same row", 0)] * 2000 + [(k, f"text {k}", 0) for k in range(3997)] + [(None, None, 0), (5000, "", 0), (5001, None, 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    path = f"{sharding.staging_root(spark)}/test-map"
+    out = sharding.shard_documents(df, 6, map_path=path).toPandas()
+    load = out.groupby("shard")["size"].sum()
+    assert len(out) == 6000 and len(load) == 6 and load.max() / load.min() < 1.05
+    assert all(sorted(g) == list(range(len(g))) for _, g in out.groupby("shard")["slot"])
+    slots = sharding.SlotMap.load_from(spark, path, 1)
+    assert slots.n_shards == 6 and sum(slots.rows) == 6000
+    placed = {r.doc_id: r.shard for r in sharding.assign(df.where("doc_id >= 0"), slots).collect()}
+    want = {int(k): v for k, v in zip(out["doc_id"], out["shard"], strict=True) if k >= 0}
+    assert placed == want
+    assert sharding.shard_documents(df.limit(0), 6).count() == 0
+
+
+def test_turns_sort_by_their_raw_texts(spark):
+    df = spark.createDataFrame([(1, 0, "user", "<A"), (1, 0, "user", "</s>")], "conv_id int, turn int, role string, text string")
+    out = chat_format.format_conversations(df)
+    (row,) = out.select(chat_format.read_turns(F.col("formatted")).alias("t")).collect()
+    assert [t.text for t in row.t] == sorted(["<A", "</s>"])
+    assert chat_format.format_conversations(df.limit(0)).count() == 0
+
+
+def test_units_by_name(spark):
+    a, b = "One two three four five. Six seven eight nine ten.", "One two three four five. Other words stand here now."
+    rows = [(1, f"{a}\n\n{b}\n", 0), (2, f"{a}\nnew line\n\n{b}\n", 0), (3, f"{b}\n", 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    left = lambda unit: [r.text for r in substring_dedup.remove_repeats(df, unit=unit).orderBy("doc_id").collect()]
+    assert left("line") == [rows[0][1], "new line\n\n", ""]
+    assert left("paragraph") == [rows[0][1], f"{a}\nnew line\n\n", ""]
+    assert left("sentence")[2] == ""
