@@ -12,7 +12,7 @@ all lanes of the block learn and share one model: a step codes the next id of ev
 Blocks of a stripe are worked on side by side too, each with tables, streams and checksum of its own. A lane's words go
 into its block's stream in the order in which the reader asks for them.
 
-Stripe, little-endian: ``QTK3``, number of blocks, CRC-32 of the block table (u32 each), the block table with ids, lanes,
+Stripe, little-endian: ``QTK4``, number of blocks, CRC-32 of the block table (u32 each), the block table with ids, lanes,
 bytes of the alphabet, bytes of the words and CRC-32 of the ids as u32 (u32 each) per block, then each block's alphabet (gaps
 between its ids, deflated) and words. The table of stripes also has the documents' ids and lengths.
 
@@ -40,7 +40,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .bpe import codec, encode_column, slices
 from .common import staging_root
 
-MAGIC = b"QTK3"
+MAGIC = b"QTK4"
 BLOCK = 1 << 16
 LANES = 192
 LANE_IDS = 64
@@ -259,9 +259,10 @@ def encode_blocks(blocks: list[np.ndarray], widths: list[int]) -> tuple[int, lis
     """The lanes and each block's words, for blocks with ids below their widths, none longer than the first; lanes are filled up with zeros."""
     n = len(blocks[0])
     lanes = max(min(LANES, max(1, n // LANE_IDS)), n // STEPS)
-    padded = np.zeros((len(blocks), lanes * -(-n // lanes)), dtype=np.int64)
+    padded = np.zeros((len(blocks), lanes, -(-n // lanes)), dtype=np.int64)
     for k, x in enumerate(blocks):
-        padded[k, : len(x)] = x
+        own = -(-len(x) // lanes)  # a shorter block's zeros come after all its ids, in every lane
+        padded[k, :, :own] = np.pad(x, (0, lanes * own - len(x))).reshape(lanes, own)
     model, out = _Model(np.array(widths, dtype=np.int64), lanes), _Writer(len(blocks) * lanes)
     for now in np.ascontiguousarray(padded.reshape(len(blocks) * lanes, -1).T):
         model.look()
@@ -279,9 +280,9 @@ def encode_blocks(blocks: list[np.ndarray], widths: list[int]) -> tuple[int, lis
     return lanes, out.finish(len(blocks))
 
 
-def decode_blocks(data: list[bytes], lanes: int, count: int, widths: list[int]) -> np.ndarray:
-    """The ids of blocks, a row each, with what fills them up to count."""
-    blocks, steps = len(data), -(-count // lanes)
+def decode_blocks(data: list[bytes], lanes: int, longest: int, counts: list[int], widths: list[int]) -> list[np.ndarray]:
+    """The ids of blocks of counts ids that were written beside one of the longest."""
+    blocks, steps = len(data), -(-longest // lanes)
     model, source = _Model(np.array(widths, dtype=np.int64), lanes), _Reader(data, lanes)
     out = np.empty((steps, blocks * lanes), dtype=np.int32)
     every, base0 = np.arange(blocks * lanes), np.repeat(np.arange(blocks) << model.bits0, lanes)
@@ -307,7 +308,8 @@ def decode_blocks(data: list[bytes], lanes: int, count: int, widths: list[int])
         source.take(start, share)
         out[step] = now
         model.learn(now, kind)
-    return out.T.reshape(blocks, -1)[:, :count]
+    every = out.T.reshape(blocks, lanes, steps)
+    return [x[:, : -(-n // lanes)].ravel()[:n] for x, n in zip(every, counts, strict=True)]
 
 
 def _alphabet(ids: np.ndarray) -> tuple[np.ndarray, bytes]:
@@ -321,8 +323,7 @@ def write_stripe(ids: np.ndarray, block: int = BLOCK) -> bytes:
     """One stripe of the file format."""
     if len(ids) and not 0 <= int(ids.min()) <= int(ids.max()) < MOST:
         raise ValueError(f"ids must be from 0 to {MOST - 1}")
-    size = -(-len(ids) // max(1, -(-len(ids) // block)))  # blocks of one length, but for the last one's end
-    cuts = [ids[k : k + size] for k in range(0, len(ids), size)] if len(ids) else []
+    cuts = [ids[k : k + block] for k in range(0, len(ids), block)]
     alphabets = [_alphabet(x) for x in cuts]
     dense = [np.searchsorted(a, x) if len(x) < MOST >> 4 else _dense(a, x) for (a, _), x in zip(alphabets, cuts, strict=True)]
     lanes, words = encode_blocks(dense, [len(a) for a, _ in alphabets]) if cuts else (1, [])
@@ -361,9 +362,9 @@ def read_blocks(data: bytes) -> list[tuple[int, np.ndarray | None]]:
             pass  # found stays None
         at += gaps + size
     for lanes, own in alike.items():
-        dense = decode_blocks([x for _, _, x in own], lanes, told[0][0], [len(a) for _, a, _ in own])
+        dense = decode_blocks([x for _, _, x in own], lanes, told[0][0], [told[k][0] for k, _, _ in own], [len(a) for _, a, _ in own])
         for (k, alphabet, _), x in zip(own, dense, strict=True):
-            ids = alphabet.take(x[: told[k][0]]).astype(np.int32)
+            ids = alphabet.take(x).astype(np.int32)
             if zlib.crc32(ids.astype("<u4").tobytes()) == told[k][4]:
                 found[k] = ids
     return [(t[0], x) for t, x in zip(told, found, strict=True)]
