@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, embedding_dedup, exact_dedup, language_id, packing, periodic_runs, sharding, simhash, substring_dedup, token_output
+from . import bpe, chat_format, embedding_dedup, exact_dedup, hard_negatives, language_id, packing, periodic_runs, sharding, simhash, substring_dedup, token_output
 from .common import read
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -101,6 +101,13 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"), "label")
+    finite = F.forall("v", lambda x: F.coalesce((x == x) & (F.abs(x) < float("inf")), F.lit(False)))  # noqa: PLR0124
+    rows = rows.where(finite).withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(rows.withColumn("v", F.transform("v", lambda x: F.floor(x * 256))), F.col("id") % 100 == 0, vec_col="v")
+
+
 FOLD = f"translate(coalesce(text, ''), '{'ABCDEFGHIJKLMNOPQRSTUVWXYZ'}', '{'abcdefghijklmnopqrstuvwxyz'}')"
 
 
@@ -159,6 +166,22 @@ def oracle_sql() -> dict[str, str]:
             )
             select doc_id, case when g.doc_id is null then text else coalesce(kept, '') end as text, coalesce(n, 0) as n_removed, coalesce(spans, '') as removed
             from documents left join g using (doc_id)""",
+        "op13_hard_negatives": """
+            with v as (
+                select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as e
+                from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+            ), p as (
+                select * from (
+                    select a.vec_id as a, a.label, a.e, b.vec_id as p, cast(list_inner_product(a.e, b.e) as bigint) as ps,
+                        row_number() over (partition by a.vec_id order by list_inner_product(a.e, b.e) desc, b.vec_id) as k
+                    from v a join v b on a.label = b.label and a.vec_id <> b.vec_id where a.vec_id % 100 = 0
+                ) where k <= 5
+            ), n as (
+                select a, p, ps, vec_id, cast(list_inner_product(p.e, v.e) as bigint) as ns from p join v on p.label <> v.label
+            ), r as (
+                select *, row_number() over (partition by a, p order by ns desc, vec_id) as rank from n where 30 * ps <= 100 * ns and 100 * ns <= 90 * ps
+            )
+            select a as anchor_id, p as positive_id, cast(rank as integer) as rank, vec_id as negative_id, ps as positive_score, ns as negative_score from r where rank <= 10""",
         "op10_exact_dedup": f"""
             with t as (select doc_id, sha256({FOLD}) as text_sha256 from documents)
             select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size, doc_id = max(doc_id) over g as kept, text_sha256
