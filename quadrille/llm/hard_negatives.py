@@ -41,8 +41,8 @@ TILE, ANCHORS = 2048, 512
 #: Candidate tiles that are searched together.
 BUNDLE = 4
 PIVOTS, SAMPLE_ROWS = 64, 4096
-LEAF, CHILDREN, SHRINK = 64, 16, 1.5
-ANY = 1 << 62
+LEAF, CHILDREN, SHRINK = 256, 16, 1.5
+ANY = 1 << 63
 EXACT = float(1 << 53)
 
 
@@ -221,12 +221,11 @@ class _Tile:
         lower = np.maximum(product - side, (whole - (away + self.radius + 1e-6) ** 2) / 2)
         return lower - slack, upper + slack
 
-    def products(self, lo: int, hi: int, q: np.ndarray, q_float: np.ndarray) -> list[int]:
-        """Exact products of one anchor and points lo to hi."""
-        own = self.floats[lo:hi]
-        if np.sqrt(_square(own).max(initial=0.0) * (q_float @ q_float)) < EXACT:
-            return (own @ q_float).astype(np.int64).tolist()
-        return [sum(a * b for a, b in zip(x, q.tolist(), strict=True)) for x in self.x[lo:hi].tolist()]
+    def products(self, lo: int, hi: int, q: np.ndarray, q_float: np.ndarray) -> np.ndarray:
+        """Exact products of one anchor and points lo to hi; doubles hold them where norms are moderate, else Python integers."""
+        if self.most * (q_float @ q_float) < EXACT * EXACT:
+            return self.floats[lo:hi] @ q_float
+        return np.array([sum(a * b for a, b in zip(x, q.tolist(), strict=True)) for x in self.x[lo:hi].tolist()], dtype=object)
 
 
 def best_products(anchors: _Tile, tiles: list[_Tile], windows: list[list[tuple[int, int]]], n: int, same: bool) -> Iterator[tuple[int, int, int, int]]:
@@ -268,8 +267,10 @@ def best_products(anchors: _Tile, tiles: list[_Tile], windows: list[list[tuple[i
                 continue
             lo, hi = t.stretch[node]
             mine, codes, ids = t.number.get(label, -1), t.label, t.ids
-            for place, score in enumerate(t.products(lo, hi, q, q_float), lo):
-                if score < least or score > top or (codes[place] == mine) != same or (name := int(ids[place])) == me:
+            scores = t.products(lo, hi, q, q_float)
+            for k in np.flatnonzero((scores >= least) & (scores <= top) & ((codes[lo:hi] == mine) == same)).tolist():
+                score, name = int(scores[k]), int(ids[lo + k])
+                if name == me:
                     continue
                 for w, (_, most) in enumerate(own):
                     if need[w] <= score <= most:
