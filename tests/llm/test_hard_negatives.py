@@ -55,8 +55,9 @@ def test_large_components(spark):
     assert len(want) > 20 and found(df, F.col("id") % 4 == 0, tile=16) == want
 
 
-def test_nodes_are_skipped():
+def test_nodes_are_skipped(monkeypatch):
     """Bounds hold for every node, and tight clusters leave most leaves unread."""
+    monkeypatch.setattr(hn, "LEAF", 32)
     rng = np.random.default_rng(3)
     x = (rng.normal(size=(20, 8)) * 100).astype(np.int64).repeat(40, axis=0) + rng.integers(-2, 3, size=(800, 8))
     row = {"tile": 0, "d": 8, "labels": [0], "ends": [800]}
