@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, embedding_dedup, exact_dedup, hard_negatives, language_id, packing, periodic_runs, sharding, simhash, substring_dedup, token_output
+from . import bpe, chat_format, embedding_dedup, exact_dedup, hard_negatives, language_id, packing, periodic_runs, sharding, simhash, substring_dedup, token_output, warc
 from .common import read
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -101,6 +101,13 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, path = read(spark, sf_dir, "pages"), warc.new_path(spark)
+    warc.write(pages, path)
+    facts = warc.payload_facts(warc.read(spark, path))
+    return facts.withColumns({c: F.col(c).cast(pages.schema["page_id"].dataType) for c in ("page_id", "refers_to")})
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"), "label")
     finite = F.forall("v", lambda x: F.coalesce((x == x) & (F.abs(x) < float("inf")), F.lit(False)))  # noqa: PLR0124
@@ -166,6 +173,16 @@ def oracle_sql() -> dict[str, str]:
             )
             select doc_id, case when g.doc_id is null then text else coalesce(kept, '') end as text, coalesce(n, 0) as n_removed, coalesce(spans, '') as removed
             from documents left join g using (doc_id)""",
+        "op12_warc": """
+            with p as (
+                select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as h,
+                    row_number() over w as k, first_value(page_id) over w as first
+                from pages window w as (partition by coalesce(html, '') order by page_id desc nulls last)
+            )
+            select page_id, payload_bytes, case when k = 1 then 'response' else 'revisit' end as record_type, case when k > 1 then first end as refers_to,
+                array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                    1 + cast(((cast('0x' || substr(h, 1 + 5 * (i // 4), 5) as integer) >> (5 * (3 - i % 4))) & 31) as integer), 1)), '') as payload_digest
+            from p""",
         "op13_hard_negatives": """
             with v as (
                 select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as e
