@@ -182,13 +182,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of docs that stay: of each component the one with the smallest id, whole.
+    """The rows of docs that stay: one row of each component, whole, that with the smallest id, null ids last.
 
-    Rows with a null id all stay, as nothing tells them apart; of rows with equal ids one stays.
+    Rows with one id are told apart by their texts, the smaller MD5 first; of rows equal in both any one stays.
     """
-    place, keep = free_name(docs, "place"), free_name(docs, "keep")
-    labelled = near_duplicates(docs, id_col, text_col, radius)
-    stay = labelled.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias(keep)).distinct()
-    first = Window.partitionBy(id_col).orderBy(F.length(text_col).desc_nulls_last())
-    kept = docs.join(stay, F.col(id_col) == F.col(keep), "left_semi").withColumn(place, F.row_number().over(first)).where(F.col(place) == 1)
-    return kept.drop(place).unionByName(docs.where(F.col(id_col).isNull()))
+    place, digest = free_name(docs, "place"), free_name(docs, "digest")
+    tagged = docs.withColumn(digest, F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+    rank = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(digest).alias("digest"))
+    labelled = near_duplicates(tagged.select(rank.alias("rank"), F.col(text_col).alias("text")), "rank", "text", radius)
+    stay = labelled.where(F.col("rank").eqNullSafe(F.col("component_id"))).select("rank.id", "rank.digest").distinct()
+    same = tagged[id_col].eqNullSafe(stay["id"]) & (tagged[digest] == stay["digest"])
+    first = Window.partitionBy(id_col, digest).orderBy(F.lit(0))
+    kept = tagged.join(stay, same, "left_semi").withColumn(place, F.row_number().over(first)).where(F.col(place) == 1)
+    return kept.drop(place, digest)

@@ -1,8 +1,11 @@
 """Duplicate finders, sharding, chat and language id on small tables with nulls, ties and repeated rows."""
 
 import random
+import re
+from collections import Counter
 
 import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
 from quadrille.llm import chat_format, embedding_dedup, exact_dedup, language_id, sharding, simhash, substring_dedup
@@ -44,6 +47,37 @@ def test_simhash(spark):
     assert sorted(r.doc_id for r in simhash.keep_first(df).collect()) == sorted(set(want))
 
 
+def plain_fingerprint(text):
+    """By the contract's words: A-Z lowered, ASCII blanks, three-word shingles, bits set in over half of them."""
+    lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    words = [w for w in re.split("[ \t\n\x0b\x0c\r]+", lowered) if w]
+    shingles = [" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))] if words else []
+    hashes = Counter(xxhash.xxh64(x.encode(), seed=42).intdigest() for x in shingles)
+    return sum(1 << b for b in range(64) if 2 * sum(n for h, n in hashes.items() if h >> b & 1) > len(shingles))
+
+
+def test_fingerprints_by_the_contract(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["A", "bé", "ÀC", "d\x1ce", "\u00a0", "日本"]) for _ in range(rng.randrange(9))) for _ in range(60)]
+    texts += [None, "", " \t\x0b\x0c\r\n ", "One", "one TWO", "a  b\tc\nD", "x y z " * 500_000, "w" * 3_000_000]
+    df = spark.createDataFrame([(k, t, 0) for k, t in enumerate(texts)], "doc_id long, text string, fp int").repartition(2)
+    got = {r.doc_id: r.fp & (2**64 - 1) for r in simhash.near_duplicates(df).collect()}
+    assert got == {k: plain_fingerprint(t) for k, t in enumerate(texts)}
+    assert simhash.near_duplicates(df.limit(0)).count() == 0 == simhash.keep_first(df.limit(0)).count()
+
+
+def test_near_copies_with_clashing_ids(spark):
+    rng = random.Random(4)
+    base, other, third = (" ".join(rng.choice("abcdefghijklmnop") + rng.choice("qrstuv") for _ in range(200)) for _ in range(3))
+    assert (plain_fingerprint(base) ^ plain_fingerprint(base + " tail")).bit_count() <= 3
+    assert min((plain_fingerprint(x) ^ plain_fingerprint(y)).bit_count() for x, y in ((base, other), (base, third), (other, third))) > 3
+    rows = [(5, base, 1), (7, base + " tail", 2), (7, other, 3), (7, other, 4), (None, base, 5), (None, third, 6), (None, third, 7), (None, None, 8), (9, "", 9)]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string, digest int").repartition(3))
+    assert kept.columns == ["doc_id", "text", "digest"]
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert got == sorted([(5, base), (7, other), (None, third), (9, "")], key=str)
+
+
 def test_long_text_in_pieces(monkeypatch):
     text = " ".join(f"w{k % 97}\n" for k in range(3000))
     whole = simhash.fingerprint(text)
