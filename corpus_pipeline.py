@@ -5,8 +5,8 @@ the last returns the packed pieces. ``run`` writes each stage's result to the cl
 again as the next one's input, so a lost executor costs tasks and no stage.
 
 Defined results: null texts and texts without a letter go in the first stage, and empty ones with them; rows with a null
-doc_id are documents like any other, rank below all others among copies, and all stay among near copies; of repeated
-rows one stays; a text of any length is read whole; an empty table gives an empty result; extra columns stay up to the
+doc_id are documents like any other and rank below all others among copies and near copies; rows with one doc_id and
+different texts are different documents; of repeated rows one stays; a text of any length is read whole; an empty table gives an empty result; extra columns stay up to the
 last stage, whatever their names.
 """
 
