@@ -2,7 +2,7 @@
 
 Pieces that fill a sequence stand alone. The others are dealt by hash into blocks of about ``BLOCK`` pieces, small enough
 for one task. Every block is evolved on several islands, each a group of its own: a packing is a set of sequences, and
-the first ones come from best fit in random orders. Crossover injects whole, well-filled sequences of one parent into the
+the first ones come from best fit by falling size and in random orders. Crossover injects whole, well-filled sequences of one parent into the
 other and takes out the sequences that would then hold a piece twice, and the emptiest ones. Displaced pieces first
 replace a smaller piece where they fill a sequence better, and are then put back by best fit, the largest first. Between
 epochs each island's best packing migrates to the next island by a shuffle; in the end the best one of a block stays.
@@ -194,12 +194,20 @@ def crossover(to: Packing, giver: Packing, rng: np.random.Generator) -> Packing:
 
 
 def evolve(population: list[Packing], sizes: list[int], capacity: int, rng: np.random.Generator, generations: int) -> list[Packing]:
-    """Random mates, crossover and replacement of the worst; ends early at the lower bound on bins."""
+    """Random mates, crossover and replacement of the worst; ends early at the lower bound on bins.
+
+    After the given generations it goes on as long as half as many children again bring a packing of fewer bins.
+    """
     least = lower_bound(sizes, capacity)
     population.sort(key=Packing.fitness, reverse=True)
-    for _ in range(generations * len(population) if len(population) > 1 else 0):
+    left = generations * len(population) if len(population) > 1 else 0
+    patience, fewest = left // 2, len(population[0].bins)
+    while left > 0:
+        left -= 1
         if len(population[0].bins) <= least:
             break
+        if len(population[0].bins) < fewest:
+            left, fewest = max(left, patience), len(population[0].bins)
         a, b = rng.choice(len(population), size=2, replace=False)
         child = crossover(population[a], population[b], rng)
         if child.fitness() > population[-1].fitness():
@@ -209,8 +217,9 @@ def evolve(population: list[Packing], sizes: list[int], capacity: int, rng: np.r
 
 
 def founders(sizes: list[int], capacity: int, rng: np.random.Generator, n: int) -> list[Packing]:
-    """Best fit in random orders."""
-    return [best_fit(sizes, capacity, rng.permutation(len(sizes))) for _ in range(n)]
+    """Best fit by falling size, which evolution then never ends above, and in random orders."""
+    orders = [np.argsort(-np.array(sizes, dtype=np.int64), kind="stable"), *(rng.permutation(len(sizes)) for _ in range(n - 1))]
+    return [best_fit(sizes, capacity, order) for order in orders[:n]]
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, islands: int = ISLANDS, epochs: int = EPOCHS, generations: int = GENERATIONS, population: int = POPULATION) -> DataFrame:

@@ -226,6 +226,17 @@ def test_evolution_betters_best_fit():
         assert packing.lower_bound(sizes, capacity) <= len(found.bins) < min(began, len(decreasing.bins))
 
 
+def test_never_above_best_fit_decreasing():
+    """8,192 sizes as a block has them, evenly spread ones among them, with the settings of the query."""
+    rng = np.random.default_rng(8)
+    for sizes in (rng.integers(1, 2047, 8192), np.clip(rng.lognormal(6, 1, 8192), 1, 2047).astype(int), rng.integers(500, 1400, 8192)):
+        sizes = sizes.tolist()
+        decreasing = len(packing.best_fit(sizes, 2048, np.argsort(-np.array(sizes), kind="stable")).bins)
+        first = packing.founders(sizes, 2048, np.random.default_rng(1), packing.POPULATION)
+        found = packing.evolve(first, sizes, 2048, np.random.default_rng(2), packing.GENERATIONS)[0]
+        assert packing.lower_bound(sizes, 2048) <= len(found.bins) <= decreasing and sorted(i for b in found.bins for i in b) == list(range(8192))
+
+
 def fewest(sizes, capacity):
     """Brute force: the fewest bins, piece by piece into every bin that takes it."""
     best = [len(sizes)]
