@@ -6,15 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.geometry import axes, ball_inside_box, ball_intersects_box, distance, square_distance, x_distance
-from .functions.grid import grid_bounds, grid_cell, grid_ijk, surrounding_cells
+from .functions.grid import grid_bounds, grid_cell, grid_ijk, suggest_n, surrounding_cells
 from .functions.text import format_coords, format_neighbors, format_points
 from .functions.tree import tree_address, tree_bounds
 from .operators import knn, overlap, partition, tree_build
 from .operators.partition import BROADCAST_ROWS, Grid, Tree
 from .plans.fixtures import SQL, as_queries, dup_ids3d, points3d, queries2d, skewed2d, training2d
 from .plans.joins import knn_join, range_join
+from .staging import staged
 
 K, N2, N3, CAPACITY, DEPTH = 10, 16, 8, 50, 10
+#: Points of all rows in a leaf of the tree for skewed points.
+SKEWED_LIMIT = 100
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
 
@@ -105,7 +108,7 @@ def _with_tree(tail: str, dims: int = 2, source: str = "sampled", method: str =
 def _tree(spark: SparkSession, sf_dir: str, method: str = "capacity", dims: int = 2) -> Tree:
     points = training2d(spark, sf_dir) if dims == 2 else points3d(spark, sf_dir)
     sample = partition.sample_points(points, 25)
-    return Tree(tree_build.build_tree(sample, CAPACITY, method, dims, DEPTH).persist(), dims)
+    return Tree(staged(tree_build.build_tree(sample, CAPACITY, method, dims, DEPTH), "leaves"), dims)
 
 
 # Cells, addresses and bounds
@@ -346,7 +349,8 @@ def local_knn_bf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register(_LOCAL_OUT, _BOTH)
 def local_knn_ps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _local_out(_local(spark, sf_dir, method="ps", salts=_salts(training2d(spark, sf_dir).count())))
+    q, t = _celled(spark, sf_dir)
+    return _local_out(knn.local_knn(q, t, K, method="ps", hot=knn.known_hot(q, t)))
 
 
 @_register(_LOCAL_OUT, _BOTH)
@@ -503,7 +507,7 @@ _RANGE = f"select qid, tid, round(dist, 8) as dist from (select qid, tid, {_d('q
 @_register(_RANGE, _BOTH)
 def _range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = training2d(spark, sf_dir)
-    return range_join(_balls(spark, sf_dir), t, Grid(_grid_for(t.count()))).withColumn("dist", F.round("dist", 8))
+    return range_join(_balls(spark, sf_dir), t, Grid(max(N2, suggest_n(t.count())))).withColumn("dist", F.round("dist", 8))
 
 
 @_register(_RANGE, _BOTH)
@@ -518,24 +522,13 @@ def range_join_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def broadcast_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By joins where the training table is too large to send."""
     q, t = queries2d(spark, sf_dir), training2d(spark, sf_dir)
-    n = t.count()
-    return _rounded(knn.broadcast_knn(q, t, K) if n <= BROADCAST_ROWS else knn_join(q, t, K, Grid(_grid_for(n)), salts=_salts(n)))
-
-
-def _grid_for(n: int) -> int:
-    """Cells along a side for n points: a power of two, some 50 to 200 evenly spread points a cell, N2 at least."""
-    return max(N2, 1 << (max(1, n // 50).bit_length() - 1) // 2)
-
-
-def _salts(n: int) -> int:
-    """Parts that a cell's training points are dealt to, so that a cell with a large share of n is no single task."""
-    return 1 + n // 100_000
+    return _rounded(knn.broadcast_knn(q, t, K) if t.count() <= BROADCAST_ROWS else knn_join(q, t, K))
 
 
 @_register(_brute("queries2d", "training2d", 2), _BOTH)
 def knn_join_grid_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = training2d(spark, sf_dir)
-    return _rounded(knn_join(queries2d(spark, sf_dir), t, K, Grid(max(64, _grid_for(t.count())))))
+    """The grid is chosen by its cost, as in all joins below that name none."""
+    return _rounded(knn_join(queries2d(spark, sf_dir), training2d(spark, sf_dir), K))
 
 
 @_register(_brute("queries2d", "training2d", 2), _BOTH)
@@ -545,7 +538,7 @@ def knn_join_tree_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register(_brute("queries2d", "training2d", 2), _BOTH)
 def knn_join_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(knn_join(queries2d(spark, sf_dir), training2d(spark, sf_dir), K, Grid(N2), method="ps", salts=_salts(training2d(spark, sf_dir).count())))
+    return _rounded(knn_join(queries2d(spark, sf_dir), training2d(spark, sf_dir), K, method="ps"))
 
 
 _Q3 = ", q3 as (select tid as qid, x, y, z from points3d) "
@@ -554,7 +547,7 @@ _Q3 = ", q3 as (select tid as qid, x, y, z from points3d) "
 @_register(_Q3 + _brute("q3", "points3d", 3), ("points3d",))
 def knn_join_grid_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points3d(spark, sf_dir)
-    return _rounded(knn_join(as_queries(p), p, K, Grid(N3, 3)))
+    return _rounded(knn_join(as_queries(p), p, K, dims=3))
 
 
 @_register(_Q3 + _brute("q3", "points3d", 3), ("points3d",))
@@ -567,13 +560,13 @@ def knn_join_tree_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
 def knn_self_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each point's neighbours, itself left out."""
     p = points3d(spark, sf_dir)
-    return _rounded(knn_join(as_queries(p), p, K, Grid(N3, 3), exclude_self=True))
+    return _rounded(knn_join(as_queries(p), p, K, exclude_self=True, dims=3))
 
 
 @_register(_Q3 + _brute("q3", "dup_ids3d", 3), ("points3d", "dup_ids3d"))
 def knn_join_dup_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training ids repeat; each counts once."""
-    return _rounded(knn_join(as_queries(points3d(spark, sf_dir)), dup_ids3d(spark, sf_dir), K, Grid(N3, 3), unique_ids=False))
+    return _rounded(knn_join(as_queries(points3d(spark, sf_dir)), dup_ids3d(spark, sf_dir), K, unique_ids=False, dims=3))
 
 
 _SKEWED = f"""select qid, near.t as tid, round(near.d, 8) as dist, cast(rank as bigint) as rank from (
@@ -583,10 +576,11 @@ _SKEWED = f"""select qid, near.t as tid, round(near.d, 8) as dist, cast(rank as
 
 @_register(_SKEWED, ("skewed2d",))
 def knn_skewed_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Skewed points against themselves over a tree."""
+    """Skewed points against themselves over a tree from a sample, whose over-full leaves are split by all points."""
     p = skewed2d(spark, sf_dir)
-    tree = Tree(tree_build.build_tree(partition.sample_points(p, 25), CAPACITY, "capacity", 2, 16).persist())
-    return _rounded(knn_join(as_queries(p), p, K, tree))
+    leaves = staged(tree_build.build_tree(partition.sample_points(p, 25), CAPACITY, "capacity", 2, 16), "leaves")
+    full = staged(tree_build.split_overfull(p, leaves, SKEWED_LIMIT, depth=16), "leaves")
+    return _rounded(knn_join(as_queries(p), p, K, Tree(full)))
 
 
 # Text forms

@@ -26,6 +26,22 @@ def tree_address(*coords: Column, depth: int) -> Column:
     return F.concat(*digits)
 
 
+def morton_code(*coords: Column, depth: int) -> Column:
+    """The address at ``depth`` as a long, two or three bits a digit: codes are in the order of addresses."""
+    code, dims = F.lit(0).cast("long"), len(coords)
+    at = [F.floor(v * float(1 << depth)).cast("long") for v in coords]
+    bit = lambda i, level: F.shiftright(i, depth - level).bitwiseAND(F.lit(1).cast("long"))
+    for level in range(1, depth + 1):
+        digit = bit(at[0], level) + 2 * (1 - bit(at[1], level))
+        code = code + F.shiftleft(digit + 4 * bit(at[2], level) if dims == 3 else digit, dims * (depth - level))
+    return code
+
+
+def first_code(address: Column, dims: int, depth: int) -> Column:
+    """The least ``morton_code`` at ``depth`` below an address; the leaves' codes cut the domain's into intervals."""
+    return F.coalesce(F.conv(F.rpad(address, depth, "0"), 1 << dims, 10).cast("long"), F.lit(0).cast("long")) if depth else F.lit(0).cast("long")
+
+
 def tree_bounds(address: Column, dims: int) -> list[tuple[Column, Column]]:
     """(lo, hi) of a tree cell on each axis; the whole domain for the empty address."""
     upper = {"x": ("1", "3", "5", "7"), "y": ("0", "1", "4", "5"), "z": ("4", "5", "6", "7")}

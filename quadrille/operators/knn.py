@@ -7,6 +7,7 @@ smallest distance.
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,9 +18,14 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import axes, distance
 from ..staging import staged
-from .partition import BROADCAST_ROWS
+from .asof import asof_rows
+from .partition import BROADCAST_ROWS, cell_counts, hinted
 
 METHODS = ("bf", "ps")
+#: Pairs of a query and a training point that are compared as one group, and rows of either side in it, at most.
+PAIRS_A_PART, ROWS_A_PART = 1 << 24, 1 << 18
+#: Queries that are swept together.
+BLOCK = 32
 
 
 def _t(dims: int) -> list[str]:
@@ -40,21 +46,57 @@ def top_k(pairs: DataFrame, k: int, by: list[str], unique: bool = True) -> DataF
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def local_knn(queries: DataFrame, training: DataFrame, k: int, dims: int = 2, method: str = "bf", cell: str = "cell", unique_ids: bool = True, exclude_self: bool = False, salts: int = 1) -> DataFrame:
+def hot_cells(queries: DataFrame, training: DataFrame, cell: str = "cell", pairs: int = PAIRS_A_PART, rows: int = ROWS_A_PART) -> DataFrame:
+    """(cell, q_parts, t_parts) of the cells whose queries and training points make more than ``pairs`` pairs, or are more than ``rows``.
+
+    Few queries: only the training points are dealt to parts, or the other way round; many of both: both, into near squares.
+    """
+    nq, nt = (cell_counts(df, cell).withColumnRenamed("n", n) for df, n in ((queries, "nq"), (training, "nt")))
+    side, up = math.isqrt(pairs), lambda n, d: F.ceil(n / F.lit(d)).cast("int")
+    every = F.col("nq") * F.col("nt")
+    few_q, few_t = F.col("nq") <= side, F.col("nt") <= side
+    q_parts = F.when(few_q, F.lit(1)).when(few_t, up(every, pairs)).otherwise(up(F.col("nq"), side))
+    t_parts = F.when(few_q, up(every, pairs)).when(few_t, F.lit(1)).otherwise(up(F.col("nt"), side))
+    met = nq.join(nt, cell).select(cell, F.greatest(q_parts, up(F.col("nq"), rows)).alias("q_parts"), F.greatest(t_parts, up(F.col("nt"), rows)).alias("t_parts"))
+    return met.where("q_parts > 1 or t_parts > 1")
+
+
+def known_hot(queries: DataFrame, training: DataFrame, cell: str = "cell", pairs: int = PAIRS_A_PART, rows: int = ROWS_A_PART) -> DataFrame | None:
+    """``hot_cells`` as a stored table, to be broadcast if its checked size allows it; None if no cell is hot."""
+    hot = staged(hot_cells(queries, training, cell, pairs, rows), "hot-cells")
+    n = hot.limit(BROADCAST_ROWS + 1).count()
+    return hinted(hot, n <= BROADCAST_ROWS) if n else None
+
+
+def dealt(queries: DataFrame, training: DataFrame, hot: DataFrame, cell: str = "cell", dims: int = 2) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both with the parts (_qp, _tp) of their cells, and the keys to join them on.
+
+    A query of a hot cell is in one of its q_parts and is copied to its t_parts, a training point the other way round;
+    rows of all other cells stay one.
+    """
+    parts = lambda name: F.explode(F.sequence(F.lit(0), F.coalesce(F.col(name), F.lit(1)) - 1))
+    place = lambda name, *by: F.pmod(F.xxhash64(*by), F.coalesce(F.col(name), F.lit(1))).cast("int")
+    q = queries.join(hot, cell, "left").withColumn("_qp", place("q_parts", "qid")).withColumn("_tp", parts("t_parts"))
+    t = training.join(hot, cell, "left").withColumn("_tp", place("t_parts", "tid", *axes(dims))).withColumn("_qp", parts("q_parts"))
+    return q.drop("q_parts", "t_parts"), t.drop("q_parts", "t_parts"), [cell, "_qp", "_tp"]
+
+
+def local_knn(queries: DataFrame, training: DataFrame, k: int, dims: int = 2, method: str = "bf", cell: str = "cell", unique_ids: bool = True, exclude_self: bool = False, salts: int = 1, hot: DataFrame | None = None) -> DataFrame:
     """(cell, qid, tid, dist, rank): for each query its k nearest training points of the same cell; queries whose cell has none give no rows.
 
     ``bf`` compares all pairs of a cell and ranks by (cell, qid), which reuses the join's partitioning by cell. ``ps``
-    sweeps along x in one task a cell. With salts > 1 a cell's training points are dealt to that many parts, each
-    ranked apart, for cells that hold a large share of all rows.
+    sweeps along x in one task a cell. hot: cells that are dealt to parts, as ``hot_cells`` has them, each ranked apart; with
+    salts > 1 instead the training points of every cell are dealt to that many.
     """
     if method not in METHODS or k < 1 or salts < 1:
         raise ValueError(f"method is one of {METHODS}, k and salts at least 1")
+    keys = [cell]
     if salts > 1:
-        queries = queries.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        training = training.withColumn("_salt", F.pmod(F.xxhash64("tid"), F.lit(salts)).cast("int"))
-        keys = [cell, "_salt"]
-    else:
-        keys = [cell]
+        queries = queries.withColumn("_tp", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        training = training.withColumn("_tp", F.pmod(F.xxhash64("tid"), F.lit(salts)).cast("int"))
+        keys = [cell, "_tp"]
+    elif hot is not None:
+        queries, training, keys = dealt(queries, training, hot, cell, dims)
     if method == "ps":
         found = _plane_sweep(queries, training, k, dims, keys, exclude_self)
     else:
@@ -62,8 +104,8 @@ def local_knn(queries: DataFrame, training: DataFrame, k: int, dims: int = 2, me
         if exclude_self:
             pairs = pairs.where("qid <> tid")
         found = top_k(pairs, k, [*keys, "qid"], unique_ids)
-    if salts > 1:
-        found = top_k(found.drop("rank", "_salt"), k, [cell, "qid"])
+    if len(keys) > 1:
+        found = top_k(found.drop("rank", *keys[1:]), k, [cell, "qid"], unique_ids)
     return found
 
 
@@ -75,52 +117,66 @@ def _plane_sweep(queries: DataFrame, training: DataFrame, k: int, dims: int, key
 
     def sweep(key: tuple, qs: pd.DataFrame, ts: pd.DataFrame) -> pd.DataFrame:
         ts = ts.sort_values(["x", "tid"])
-        points, ids = ts[names].to_numpy(dtype=np.float64), ts["tid"].to_numpy()
-        x = points[:, 0]
-        out = [
-            (qid, *sweep_one(row, points, x, ids, k, qid if exclude_self else None))
-            for qid, row in zip(qs["qid"].to_numpy(), qs[names].to_numpy(dtype=np.float64), strict=True)
-        ]
-        sizes = [len(o[1]) for o in out]
-        cols = {c: [v] * sum(sizes) for c, v in zip(keys, key, strict=True)}
-        empty = np.empty(0)
-        return pd.DataFrame(
-            cols | {
-                "qid": np.repeat([o[0] for o in out], sizes).astype("int64"),
-                "tid": np.concatenate([o[1] for o in out] or [empty]).astype("int64"),
-                "dist": np.concatenate([o[2] for o in out] or [empty]),
-                "rank": np.concatenate([np.arange(1, n + 1) for n in sizes] or [empty]).astype("int32"),
-            }
-        )
+        at, tid, dist, rank = sweep_block(qs[names].to_numpy(dtype=np.float64), qs["qid"].to_numpy(), ts[names].to_numpy(dtype=np.float64), ts["tid"].to_numpy(), k, exclude_self)
+        cols = {c: [v] * len(at) for c, v in zip(keys, key, strict=True)}
+        return pd.DataFrame(cols | {"qid": qs["qid"].to_numpy()[at].astype("int64"), "tid": tid.astype("int64"), "dist": dist, "rank": rank})
 
     return q.groupBy(*keys).cogroup(t.groupBy(*keys)).applyInPandas(sweep, f"{kinds}, qid long, tid long, dist double, rank int")
 
 
-def sweep_one(row: np.ndarray, points: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and distances of the k points nearest to row; points are sorted by x.
+def sweep_block(rows: np.ndarray, qids: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int, exclude_self: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the query, id, distance, rank) of the k points nearest to each of rows; points are sorted by x.
 
-    The window around the query doubles until all beyond it is farther along x alone than the k-th distance found.
+    Neighbouring queries are taken together. The window around them doubles until all beyond it is farther along x
+    alone than a query's k-th distance; queries for which that holds are done.
     """
-    n = len(x)
-    at, reach = int(np.searchsorted(x, row[0])), max(32, 2 * k)
-    while True:
-        lo, hi = max(0, at - reach), min(n, at + reach)
-        near, name = points[lo:hi], ids[lo:hi]
-        gap = near - row
-        total = gap[:, 0] * gap[:, 0]
-        for a in range(1, gap.shape[1]):
-            total = total + gap[:, a] * gap[:, a]
-        dist = np.sqrt(total)
-        if without is not None:
-            other = name != without
-            name, dist = name[other], dist[other]
-        order = np.lexsort((name, dist))
-        _, first = np.unique(name[order], return_index=True)
-        order = order[np.sort(first)][:k]
-        bound = dist[order[-1]] if len(order) == k else np.inf
-        if (lo == 0 or row[0] - x[lo - 1] > bound) and (hi == n or x[hi] - row[0] > bound):
-            return name[order], dist[order]
-        reach *= 2
+    found: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.int64), ids[:0], np.empty(0), np.empty(0, np.int32))]
+    n, x = len(points), np.ascontiguousarray(points[:, 0])
+    repeated = len(np.unique(ids)) < n
+    todo = np.argsort(rows[:, 0], kind="stable")
+    reach = max(32, 4 * k)
+    while len(todo) and n:
+        later = []
+        for own in np.split(todo, np.arange(BLOCK, len(todo), BLOCK)):
+            q = rows[own]
+            at = np.searchsorted(x, q[:, 0])
+            lo, hi = max(0, int(at.min()) - reach), min(n, int(at.max()) + reach)
+            total = np.zeros((len(own), hi - lo))
+            for a in range(points.shape[1]):
+                gap = points[None, lo:hi, a] - q[:, None, a]
+                total = gap * gap if a == 0 else total + gap * gap
+            dist = np.sqrt(total)
+            if exclude_self:
+                dist[ids[None, lo:hi] == qids[own, None]] = np.inf
+            if repeated:
+                dist = _least_of_each(dist, ids[lo:hi])
+            kth = np.partition(dist, k - 1, axis=1)[:, k - 1] if hi - lo >= k else np.full(len(own), np.inf)
+            done = ((lo == 0) | (q[:, 0] - x[lo - 1] > kth)) & ((hi == n) | (x[min(hi, n - 1)] - q[:, 0] > kth))
+            later.append(own[~done])
+            i, j = np.nonzero((dist <= kth[:, None]) & (dist < np.inf) & done[:, None])
+            order = np.lexsort((ids[lo + j], dist[i, j], i))
+            i, j = i[order], j[order]
+            rank = np.arange(len(i)) - np.searchsorted(i, i)
+            best = rank < k
+            i, j = i[best], j[best]
+            found.append((own[i], ids[lo + j], dist[i, j], (rank[best] + 1).astype(np.int32)))
+        todo, reach = np.concatenate(later), reach * 2
+    at, tid, dist, rank = (np.concatenate([f[c] for f in found]) for c in range(4))
+    return at, tid, dist, rank
+
+
+def _least_of_each(dist: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """dist with all but the first least distance of each id set to infinity."""
+    order = np.argsort(ids, kind="stable")
+    starts = np.flatnonzero(np.concatenate([[True], ids[order][1:] != ids[order][:-1]]))
+    least = np.minimum.reduceat(dist[:, order], starts, axis=1)
+    out = np.full_like(dist, np.inf)
+    group = np.repeat(np.arange(len(starts)), np.diff([*starts, len(ids)]))
+    i, j = np.nonzero(dist[:, order] == least[:, group])
+    first = np.concatenate([[True], (i[1:] != i[:-1]) | (group[j][1:] != group[j][:-1])]) if len(i) else np.empty(0, dtype=bool)
+    i, j = i[first], order[j[first]]
+    out[i, j] = dist[i, j]
+    return out
 
 
 def broadcast_knn(queries: DataFrame, training: DataFrame, k: int, dims: int = 2, exclude_self: bool = False, limit: int = BROADCAST_ROWS, method: str = "ps") -> DataFrame:
@@ -143,19 +199,14 @@ def broadcast_knn(queries: DataFrame, training: DataFrame, k: int, dims: int = 2
         raise ValueError(too_many)
     held = held.sort_by([("x", "ascending"), ("tid", "ascending")])
     columns = [held.column(a).to_numpy().astype(np.float64) for a in names]
-    sent = queries.sparkSession.sparkContext.broadcast((np.stack(columns, axis=1), columns[0], held.column("tid").to_numpy()))
+    sent = queries.sparkSession.sparkContext.broadcast((np.stack(columns, axis=1), held.column("tid").to_numpy()))
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        points, x, ids = sent.value
+        points, tids = sent.value
         for batch in batches:
             rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns[1:]], axis=1)
-            qids = batch.column(0).to_pylist()
-            lists = [sweep_one(row, points, x, ids, k, qid if exclude_self else None) for qid, row in zip(qids, rows, strict=True)]
-            sizes = [len(name) for name, _ in lists]
-            at = pa.array(np.repeat(np.arange(len(sizes)), sizes))
-            ranks = np.concatenate([np.arange(1, n + 1, dtype=np.int32) for n in sizes] or [np.empty(0, np.int32)])
-            tids, dist = (np.concatenate([pair[c] for pair in lists] or [np.empty(0)]) for c in (0, 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(tids.astype(np.int64)), pa.array(dist), pa.array(ranks)], names=["qid", "tid", "dist", "rank"])
+            at, tid, dist, rank = sweep_block(rows, batch.column(0).to_numpy(zero_copy_only=False), points, tids, k, exclude_self)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(tid.astype(np.int64)), pa.array(dist), pa.array(rank)], names=["qid", "tid", "dist", "rank"])
 
     wanted = queries.select("qid", *names)
     return wanted.mapInArrow(sweep, f"qid {wanted.schema['qid'].dataType.simpleString()}, tid long, dist double, rank int")
@@ -180,23 +231,10 @@ def merge_neighbors(*lists: DataFrame, k: int) -> DataFrame:
 def asof_x(queries: DataFrame, training: DataFrame, by: str | None = None) -> DataFrame:
     """(qid, tid): for each query the training point with the largest x not above its own, of equal x the largest tid; null if there is none.
 
-    With ``by``, within equal values of that column: one window over the union of both, a shuffle by ``by``. Without it
-    the union is dealt into ranges of x, and each range's last training point is carried into the next.
+    With ``by``, within equal values of that column, which is kept.
     """
     keys = [by] if by else []
-    t = training.select(*keys, "x", F.lit(0).alias("_side"), F.col("tid").alias("_id"), F.col("tid"))
-    q = queries.select(*keys, "x", F.lit(1).alias("_side"), F.col("qid").alias("_id"), F.lit(None).cast(training.schema["tid"].dataType).alias("tid"))
-    rows = t.unionByName(q)
-    if not by:
-        rows = staged(rows.repartitionByRange("x", "_side", "_id").withColumn("_part", F.spark_partition_id()), "ranges")
-    order = Window.partitionBy(by or "_part").orderBy("x", "_side", "_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    told = rows.withColumn("tid", F.last("tid", ignorenulls=True).over(order))
-    if not by:
-        lasts = rows.groupBy("_part").agg(F.max(F.when(F.col("tid").isNotNull(), F.struct("x", "_id", "tid")))["tid"].alias("_last"))
-        earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as ranges
-        lasts = lasts.select("_part", F.last("_last", ignorenulls=True).over(earlier).alias("_carried"))
-        told = told.join(F.broadcast(lasts), "_part").withColumn("tid", F.coalesce("tid", "_carried"))
-    return told.where("_side = 1").select(*keys, F.col("_id").alias("qid"), "tid")
+    return asof_rows(queries.select(*keys, "x", "qid"), training.select(*keys, "x", "tid"), "x", "tid", keys).select(*keys, "qid", "tid")
 
 
 def local_radius(local: DataFrame, k: int) -> DataFrame:

@@ -84,7 +84,7 @@ def cells_in_reach(balls: DataFrame, cells: DataFrame, partitioning: Grid | Tree
         keys = ["_level", *(f"_{a}" for a in names)]
         met = at.join(grid_blocks(cells, partitioning), keys).drop(*keys)
     else:
-        depth = max(partitioning.levels, default=0)
+        depth = partitioning.depth
         level = F.least(F.greatest(F.floor(-F.log2(F.greatest(F.col("radius") * 2, F.lit(2.0**-60)))), F.lit(0)), F.lit(depth)).cast("int")
         at = balls.withColumn("_level", level).withColumn("_side", F.pow(F.lit(2.0), -F.col("_level")))
         for a in names:

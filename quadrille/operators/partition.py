@@ -5,12 +5,15 @@ from __future__ import annotations
 import functools
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import axes
 from ..functions.grid import grid_cell
-from ..functions.tree import tree_address, tree_bounds
+from ..functions.tree import first_code, morton_code, tree_bounds
+from .asof import asof_rows
 
 #: Tables of more rows than this are not broadcast by hint; Spark then joins them by size.
 BROADCAST_ROWS = 200_000
@@ -35,26 +38,50 @@ class Tree:
     dims: int = 2
 
     @functools.cached_property
-    def levels(self) -> list[int]:
-        """The levels that leaves are on; at most the depth cap of them."""
-        return sorted(r.level for r in self.leaves.select("level").distinct().collect())
+    def depth(self) -> int:
+        """The level of the deepest leaf."""
+        return self.leaves.agg(F.max("level")).first()[0] or 0
 
     @functools.cached_property
     def small(self) -> bool:
         return self.leaves.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
+    @functools.cached_property
+    def starts(self) -> DataFrame:
+        """(start, addr): where each leaf's interval of Morton codes begins."""
+        return self.leaves.select(first_code(F.col("addr"), self.dims, self.depth).alias("start"), "addr")
+
+    @functools.cached_property
+    def sent(self):
+        """``starts`` of a small tree in their order, as a broadcast of two arrays."""
+        held = self.starts.toArrow().sort_by("start").combine_chunks()
+        codes, addresses = held.column("start").to_numpy(), pa.concat_arrays(held.column("addr").chunks)
+        return self.leaves.sparkSession.sparkContext.broadcast((codes, addresses))
+
 
 def hinted(df: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
 def assign_leaves(points: DataFrame, tree: Tree, cell: str = "cell") -> DataFrame:
-    """points with the address of their leaf: an equi-join on the address cut to the length of each level that has leaves."""
-    depth = max(tree.levels, default=0)
-    full = tree_address(*(F.col(a) for a in axes(tree.dims)), depth=depth)
-    tries = F.explode(F.transform(F.array(*(F.lit(k) for k in tree.levels)), lambda k: F.substr("_full", F.lit(1), k)))
-    rows = points.withColumn("_full", full).withColumn(cell, tries).drop("_full")
-    return rows.join(hinted(tree.leaves.select(F.col("addr").alias(cell)), tree.small), cell)
+    """points with the address of their leaf, the one whose interval of Morton codes begins last before theirs; one row stays one.
+
+    The starts of a tree of a checked size are sent to the tasks, which search them for batches of codes. Those of a larger
+    one meet the points in ranges of codes. Points without all coordinates have no leaf and are left out.
+    """
+    code = morton_code(*(F.col(a) for a in axes(tree.dims)), depth=tree.depth)
+    points = points.dropna(subset=list(axes(tree.dims)))
+    if not tree.small:
+        starts = tree.starts.select(F.col("start").alias("_code"), F.col("addr").alias(cell))
+        return asof_rows(points.drop(cell).withColumn("_code", code), starts, "_code", cell).drop("_code")
+    sent = tree.sent
+
+    @F.arrow_udf("string")
+    def leaf(codes: pa.Array) -> pa.Array:
+        starts, addresses = sent.value
+        return addresses.take(pa.array(np.searchsorted(starts, codes.to_numpy(zero_copy_only=False), side="right") - 1))
+
+    return points.withColumn(cell, leaf(code))
 
 
 def with_cell(points: DataFrame, partitioning: Grid | Tree, cell: str = "cell") -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import axes
 from ..functions.tree import DEPTH, tree_address
-from .partition import leaf_bounds
+from ..staging import staged
+from .partition import Tree, cell_counts, leaf_bounds, with_cell
 
 METHODS = ("capacity", "siblings", "avg_width")
 
@@ -68,6 +69,27 @@ def build_tree(sample: DataFrame, capacity: int, method: str = "capacity", dims:
     return leaf_bounds(leaves_of(internal_nodes(sample, capacity, method, dims, depth), dims), dims)
 
 
+def split_overfull(points: DataFrame, leaves: DataFrame, limit: int, dims: int = 2, depth: int | None = None) -> DataFrame:
+    """The leaf table with every leaf of more than ``limit`` of all points split until none has more, or to the depth cap.
+
+    A tree from a sample is not bound by what it didn't see. Points are counted by leaf, and only those of over-full
+    leaves by prefixes of their addresses, all levels in one pass. Equal points stay together in a leaf at the cap.
+    """
+    depth = DEPTH[dims] if depth is None else depth
+    held = with_cell(points.select(*axes(dims)), Tree(leaves, dims))
+    over = staged(cell_counts(held).where((F.col("n") > limit) & (F.length("cell") < depth)).select("cell"), "overfull-leaves")
+    if over.isEmpty():
+        return leaves
+    full = held.join(over, "cell").select("cell", tree_address(*(F.col(a) for a in axes(dims)), depth=depth).alias("full"))
+    counted = full.groupBy("cell", "full").agg(F.count(F.lit(1)).alias("n"))
+    below = F.transform(F.sequence(F.length("cell"), F.lit(depth)), lambda k: F.substr("full", F.lit(1), k))
+    prefixes = counted.select("n", F.explode(below).alias("addr")).groupBy("addr").agg(F.sum("n").alias("n"))
+    internal = staged(prefixes.where((F.col("n") > limit) & (F.length("addr") < depth)).select("addr"), "split-leaves")
+    new = _children(internal, dims).join(internal, "addr", "left_anti").withColumn("level", F.length("addr"))
+    stay = leaves.join(over.withColumnRenamed("cell", "addr"), "addr", "left_anti")
+    return stay.unionByName(leaf_bounds(new, dims).select(*stay.columns))
+
+
 def tree_width_stats(leaves: DataFrame) -> DataFrame:
     """(widths, mean_width): number and mean of the distinct leaf widths."""
     widths = leaves.select(F.pow(F.lit(2.0), -F.col("level")).alias("w")).distinct()

@@ -6,20 +6,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import axes, distance
-from ..operators.knn import local_knn, merge_neighbors, top_k, whole_knn
+from ..operators.knn import dealt, known_hot, local_knn, merge_neighbors, top_k, whole_knn
 from ..operators.overlap import cells_in_reach, overlap_cells, padded, seed_cells, tightened
 from ..operators.partition import Grid, Tree, cell_counts, with_cell
 from ..staging import staged
+from .grids import choose_grid
 
 
-def knn_join(queries: DataFrame, training: DataFrame, k: int, partitioning: Grid | Tree, method: str = "bf", unique_ids: bool = True, exclude_self: bool = False, salts: int = 1) -> DataFrame:
+def knn_join(queries: DataFrame, training: DataFrame, k: int, partitioning: Grid | Tree | None = None, method: str = "bf", unique_ids: bool = True, exclude_self: bool = False, salts: int = 1, dims: int = 2) -> DataFrame:
     """(qid, tid, dist, rank): for every query its min(k, |T|) nearest training points, exactly; ties go to the smaller tid.
 
     Points must lie in [0, 1) (see ``split_domain`` and ``normalise_points``). unique_ids=False: tids may repeat, and each
     counts once; exclude_self: a point is not its own neighbour. Steps: local lists by cell, a proven radius for each
     query, cells within it, lists from those, merge. Only queries whose ball leaves their cell go on after the first. A
     query without a full local list takes one from the cells near it first, and its ball shrinks to that.
+
+    Without a partitioning a grid of ``dims`` axes is chosen by its cost (see ``choose_grid``). Cells with too many pairs of
+    points for one task are dealt to parts, by counts of both sides (see ``hot_cells``); only their rows are copied.
     """
+    partitioning = partitioning or choose_grid(queries, training, k, dims)
     names = axes(partitioning.dims)
     q = with_cell(queries.select("qid", *names), partitioning)
     t = with_cell(training.select("tid", *names), partitioning)
@@ -29,16 +34,19 @@ def knn_join(queries: DataFrame, training: DataFrame, k: int, partitioning: Grid
     need = k + exclude_self
     if (weights.agg(F.sum("n")).first()[0] or 0) < need:
         few_rows = unique_ids or (cells.agg(F.sum("n")).first()[0] or 0) < need
-        return whole_knn(q, F.broadcast(t), k, partitioning.dims, exclude_self) if few_rows else _few_ids(q, t, k, partitioning, exclude_self)
+        return whole_knn(q, F.broadcast(t), k, partitioning.dims, exclude_self) if few_rows else _few_ids(q, t, k, partitioning, method, exclude_self)
     # Both are read more than once, and the overlaps need all of the lists: stored, they are worked out once.
-    local = staged(local_knn(q, t, k, partitioning.dims, method, unique_ids=unique_ids, exclude_self=exclude_self, salts=salts).select("qid", "tid", "dist"), "local-lists")
+    hot = None if salts > 1 else known_hot(q, t)
+    local = staged(local_knn(q, t, k, partitioning.dims, method, unique_ids=unique_ids, exclude_self=exclude_self, salts=salts, hot=hot).select("qid", "tid", "dist"), "local-lists")
     overlaps = staged(overlap_cells(q, cells, local, k, partitioning, weights, need), "overlaps")
+    hot_balls = known_hot(overlaps, t)
 
     def nearest(balls: DataFrame) -> DataFrame:
-        near = _in_balls(balls, t, partitioning.dims).select("cell", "qid", "tid", "dist")
+        q_side, t_side, keys = (balls, t, ["cell"]) if hot_balls is None else dealt(balls, t, hot_balls, dims=partitioning.dims)
+        near = _in_balls(q_side, t_side, partitioning.dims, keys)
         if exclude_self:
             near = near.where("qid <> tid")
-        return top_k(near, k, ["cell", "qid"], unique_ids).select("qid", "tid", "dist")
+        return top_k(near.select(*keys, "qid", "tid", "dist"), k, [*keys, "qid"], unique_ids).select("qid", "tid", "dist")
 
     if overlaps.where("starved").isEmpty():
         return merge_neighbors(local, nearest(overlaps), k=k)
@@ -48,20 +56,20 @@ def knn_join(queries: DataFrame, training: DataFrame, k: int, partitioning: Grid
     return merge_neighbors(first, nearest(rest), k=k)
 
 
-def _few_ids(q: DataFrame, t: DataFrame, k: int, partitioning: Grid | Tree, exclude_self: bool) -> DataFrame:
+def _few_ids(q: DataFrame, t: DataFrame, k: int, partitioning: Grid | Tree, method: str, exclude_self: bool) -> DataFrame:
     """Training rows of at most k ids, any number each: the nearest row of every id, by a join of its own, then ranked."""
     lists, names = [], axes(partitioning.dims)
     for (tid,) in t.select("tid").distinct().collect():
         rows = staged(t.where(F.col("tid") == tid).select(F.monotonically_increasing_id().alias("tid"), *names), "rows-of-id")
         own = q.where(F.col("qid") != tid) if exclude_self else q
-        lists.append(knn_join(own, rows, 1, partitioning).select("qid", F.lit(tid).cast(t.schema["tid"].dataType).alias("tid"), "dist"))
+        lists.append(knn_join(own, rows, 1, partitioning, method).select("qid", F.lit(tid).cast(t.schema["tid"].dataType).alias("tid"), "dist"))
     return merge_neighbors(*lists, k=k)
 
 
-def _in_balls(balls: DataFrame, t: DataFrame, dims: int) -> DataFrame:
+def _in_balls(balls: DataFrame, t: DataFrame, dims: int, keys: list[str] | None = None) -> DataFrame:
     """balls(qid, coordinates, radius, cell) x t(cell, tid, coordinates), with dist, within the radius."""
-    names = axes(dims)
-    met = balls.join(t.select("cell", "tid", *(F.col(a).alias(f"_t{a}") for a in names)), "cell")
+    names, keys = axes(dims), keys or ["cell"]
+    met = balls.join(t.select(*keys, "tid", *(F.col(a).alias(f"_t{a}") for a in names)), keys)
     dist = distance([F.col(a) for a in names], [F.col(f"_t{a}") for a in names])
     return met.withColumn("dist", dist).where(F.col("dist") <= padded(F.col("radius")))
 

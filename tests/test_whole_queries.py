@@ -5,7 +5,7 @@ import random
 import pytest
 
 from quadrille import catalog
-from quadrille.operators import partition
+from quadrille.operators import knn, partition
 from quadrille.operators.partition import Tree
 from quadrille.operators.tree_build import build_tree
 from quadrille.plans.fixtures import queries2d, training2d
@@ -70,10 +70,6 @@ def test_starved_queries_in_a_tree(spark):
 @pytest.mark.parametrize("name", ["broadcast_knn", "local_knn_ps", "knn_join_sweep"])
 def test_larger_tables(spark, name, monkeypatch):
     monkeypatch.setattr(catalog, "BROADCAST_ROWS", 100)
-    monkeypatch.setattr(catalog, "_salts", lambda n: 3)
+    monkeypatch.setattr(knn.known_hot, "__defaults__", ("cell", 900, 70))
     monkeypatch.setattr(catalog.knn, "broadcast_knn", None)
     same(catalog.queries()[name](spark, DATA).toPandas(), told_by_sql(name))
-
-
-def test_cells_and_parts_grow_with_the_table():
-    assert [catalog._grid_for(n) for n in (0, 15_000, 1_000_000)] == [16, 16, 128] and [catalog._salts(n) for n in (15_000, 1_000_000)] == [1, 11]
