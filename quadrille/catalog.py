@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,8 @@ from .operators import knn, overlap, partition, tree_build
 from .operators.partition import BROADCAST_ROWS, Grid, Tree
 from .plans.fixtures import SQL, as_queries, dup_ids3d, points3d, queries2d, skewed2d, training2d
 from .plans.joins import knn_join, range_join
-from .staging import staged
+from .sources.text import load_tree, read_cell_counts, read_points, save_tree, write_cell_counts, write_neighbors, write_points
+from .staging import staged, staging_root
 
 K, N2, N3, CAPACITY, DEPTH = 10, 16, 8, 50, 10
 #: Points of all rows in a leaf of the tree for skewed points.
@@ -583,6 +586,60 @@ def knn_skewed_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(knn_join(as_queries(p), p, K, Tree(full)))
 
 
+# Written and read back
+
+
+def _new_path(spark: SparkSession, name: str) -> str:
+    return f"{staging_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+_POINTS_TEXT = "select tid, cast(printf('%.8f', x) as double) as x, cast(printf('%.8f', y) as double) as y, cast(printf('%.8f', z) as double) as z from points3d"
+
+
+@_register(_POINTS_TEXT, ("points3d",))
+def points_there_and_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points as lines of text, read again."""
+    path = _new_path(spark, "points")
+    write_points(points3d(spark, sf_dir), path, "tid", 3)
+    return read_points(spark, path, dims=3)
+
+
+@_register(_POINTS_TEXT, ("points3d",))
+def points_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points written in two halves, the second appended, over an older file that the first replaces."""
+    path, points = _new_path(spark, "points"), points3d(spark, sf_dir)
+    half = F.pmod(F.xxhash64("tid"), F.lit(2))
+    write_points(points, path, "tid", 3)
+    for k, mode in ((0, "overwrite"), (1, "append")):
+        write_points(points.where(half == k), path, "tid", 3, mode)
+    return read_points(spark, path, dims=3)
+
+
+@_register(_with_tree(f"select addr as cell, count(*) as n from (select *, {_addr_sql(2, DEPTH)} as a from training2d) join leaves on substr(a, 1, level) = addr group by 1"))
+def cell_counts_there_and_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of tree cells as tab-separated files, read again; addresses keep their zeros."""
+    path = _new_path(spark, "cell-counts")
+    write_cell_counts(partition.cell_counts(partition.with_cell(training2d(spark, sf_dir), _tree(spark, sf_dir))), path)
+    return read_cell_counts(spark, path)
+
+
+@_register(_with_tree(f"select addr, cast(level as bigint) as level, {_bounds_sql(2)} from leaves"))
+def tree_there_and_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaf table, saved over another one and loaded."""
+    path = _new_path(spark, "tree")
+    save_tree(_tree(spark, sf_dir, "siblings").leaves, path)
+    save_tree(_tree(spark, sf_dir).leaves, path, mode="overwrite")
+    return load_tree(spark, path).withColumn("level", F.col("level").cast("long"))
+
+
+@_register(_LOCAL + "select string_agg(printf('%d\t%.8f\t', tid, dist), '' order by dist desc, tid desc) as line from local group by qid", _BOTH)
+def neighbors_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbour lists as lines of text, the farthest first."""
+    path = _new_path(spark, "neighbors")
+    write_neighbors(_local(spark, sf_dir), path, K, "max")
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
 # Text forms
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -81,12 +81,12 @@ def dealt(queries: DataFrame, training: DataFrame, hot: DataFrame, cell: str = "
     return q.drop("q_parts", "t_parts"), t.drop("q_parts", "t_parts"), [cell, "_qp", "_tp"]
 
 
-def local_knn(queries: DataFrame, training: DataFrame, k: int, dims: int = 2, method: str = "bf", cell: str = "cell", unique_ids: bool = True, exclude_self: bool = False, salts: int = 1, hot: DataFrame | None = None) -> DataFrame:
+def local_knn(queries: DataFrame, training: DataFrame, k: int, dims: int = 2, method: str = "bf", cell: str = "cell", unique_ids: bool = True, exclude_self: bool = False, salts: int = 1, hot: DataFrame | None = None, watch: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> DataFrame:
     """(cell, qid, tid, dist, rank): for each query its k nearest training points of the same cell; queries whose cell has none give no rows.
 
     ``bf`` compares all pairs of a cell and ranks by (cell, qid), which reuses the join's partitioning by cell. ``ps``
     sweeps along x in one task a cell. hot: cells that are dealt to parts, as ``hot_cells`` has them, each ranked apart; with
-    salts > 1 instead the training points of every cell are dealt to that many.
+    salts > 1 instead the training points of every cell are dealt to that many. watch is given the pairs that ``bf`` compares.
     """
     if method not in METHODS or k < 1 or salts < 1:
         raise ValueError(f"method is one of {METHODS}, k and salts at least 1")
@@ -100,7 +100,7 @@ def local_knn(queries: DataFrame, training: DataFrame, k: int, dims: int = 2, me
     if method == "ps":
         found = _plane_sweep(queries, training, k, dims, keys, exclude_self)
     else:
-        pairs = _paired(queries, training, dims, keys, [*keys, "qid"])
+        pairs = watch(_paired(queries, training, dims, keys, [*keys, "qid"]))
         if exclude_self:
             pairs = pairs.where("qid <> tid")
         found = top_k(pairs, k, [*keys, "qid"], unique_ids)
@@ -222,10 +222,13 @@ def whole_knn(queries: DataFrame, training: DataFrame, k: int, dims: int = 2, ex
     return top_k(pairs, k, ["qid"], unique=False)
 
 
-def merge_neighbors(*lists: DataFrame, k: int) -> DataFrame:
-    """(qid, tid, dist, rank): the k nearest of all lists, each tid once."""
+def merge_neighbors(*lists: DataFrame, k: int, disjoint: bool = False) -> DataFrame:
+    """(qid, tid, dist, rank): the k nearest of all lists, each tid once; one shuffle, by query.
+
+    disjoint: no tid comes twice for a query, so that each task cuts a query's rows to k before they are sent.
+    """
     every = functools.reduce(DataFrame.unionByName, [x.select("qid", "tid", "dist") for x in lists])
-    return top_k(every, k, ["qid"], unique=False)
+    return top_k(every, k, ["qid"]) if disjoint else top_k(every.repartition("qid"), k, ["qid"], unique=False)
 
 
 def asof_x(queries: DataFrame, training: DataFrame, by: str | None = None) -> DataFrame:

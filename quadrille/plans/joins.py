@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.geometry import axes, distance
@@ -13,7 +16,38 @@ from ..staging import staged
 from .grids import choose_grid
 
 
-def knn_join(queries: DataFrame, training: DataFrame, k: int, partitioning: Grid | Tree | None = None, method: str = "bf", unique_ids: bool = True, exclude_self: bool = False, salts: int = 1, dims: int = 2) -> DataFrame:
+def _observed(seen: Observation) -> int:
+    try:
+        return seen.get["n"]
+    except Py4JJavaError:  # Spark dropped a phase that it found to have no rows, and tells nothing of it
+        return 0
+
+
+class JoinCounters:
+    """Rows counted by ``DataFrame.observe`` while a ``knn_join`` runs; ``read`` them after an action on its result.
+
+    A task that runs again after a loss is counted again, as Spark's accumulators have it.
+    """
+
+    def __init__(self):
+        self._seen: dict[str, Observation] = {}
+
+    def watch(self, name: str, df: DataFrame) -> DataFrame:
+        self._seen[name] = Observation()
+        return df.observe(self._seen[name], F.count(F.lit(1)).alias("n"))
+
+    def read(self) -> dict[str, int]:
+        """local_distances, seed_distances, rest_distances: pairs whose distance was computed in cells of their own, in a starved
+        query's nearest cells, in the rest; distances: all of them; query_copies: queries sent to other cells;
+        pruned_cells: those of a query's overlapped cells that its shrunken ball left out.
+        """
+        n = {name: _observed(seen) for name, seen in self._seen.items()}
+        phases = {f"{p}_distances": n.get(f"{p}_distances", 0) for p in ("local", "seed", "rest")}
+        met, sent = n.get("overlaps", 0), n.get("seed_cells", 0) + n.get("rest_cells", 0)
+        return phases | {"distances": sum(phases.values()), "overlapped_cells": met, "query_copies": sent, "pruned_cells": met - sent}
+
+
+def knn_join(queries: DataFrame, training: DataFrame, k: int, partitioning: Grid | Tree | None = None, method: str = "bf", unique_ids: bool = True, exclude_self: bool = False, salts: int = 1, dims: int = 2, counters: JoinCounters | None = None) -> DataFrame:
     """(qid, tid, dist, rank): for every query its min(k, |T|) nearest training points, exactly; ties go to the smaller tid.
 
     Points must lie in [0, 1) (see ``split_domain`` and ``normalise_points``). unique_ids=False: tids may repeat, and each
@@ -23,7 +57,11 @@ def knn_join(queries: DataFrame, training: DataFrame, k: int, partitioning: Grid
 
     Without a partitioning a grid of ``dims`` axes is chosen by its cost (see ``choose_grid``). Cells with too many pairs of
     points for one task are dealt to parts, by counts of both sides (see ``hot_cells``); only their rows are copied.
+    counters: filled while the join runs, with method ``bf``.
     """
+    if counters is not None and method != "bf":
+        raise ValueError("counters need the method bf, whose pairs Spark sees")
+    watch = counters.watch if counters is not None else lambda name, df: df
     partitioning = partitioning or choose_grid(queries, training, k, dims)
     names = axes(partitioning.dims)
     q = with_cell(queries.select("qid", *names), partitioning)
@@ -37,23 +75,23 @@ def knn_join(queries: DataFrame, training: DataFrame, k: int, partitioning: Grid
         return whole_knn(q, F.broadcast(t), k, partitioning.dims, exclude_self) if few_rows else _few_ids(q, t, k, partitioning, method, exclude_self)
     # Both are read more than once, and the overlaps need all of the lists: stored, they are worked out once.
     hot = None if salts > 1 else known_hot(q, t)
-    local = staged(local_knn(q, t, k, partitioning.dims, method, unique_ids=unique_ids, exclude_self=exclude_self, salts=salts, hot=hot).select("qid", "tid", "dist"), "local-lists")
-    overlaps = staged(overlap_cells(q, cells, local, k, partitioning, weights, need), "overlaps")
+    local = staged(local_knn(q, t, k, partitioning.dims, method, unique_ids=unique_ids, exclude_self=exclude_self, salts=salts, hot=hot, watch=lambda pairs: watch("local_distances", pairs)).select("qid", "tid", "dist"), "local-lists")
+    overlaps = staged(watch("overlaps", overlap_cells(q, cells, local, k, partitioning, weights, need)), "overlaps")
     hot_balls = known_hot(overlaps, t)
 
-    def nearest(balls: DataFrame) -> DataFrame:
+    def nearest(balls: DataFrame, phase: str) -> DataFrame:
         q_side, t_side, keys = (balls, t, ["cell"]) if hot_balls is None else dealt(balls, t, hot_balls, dims=partitioning.dims)
-        near = _in_balls(q_side, t_side, partitioning.dims, keys)
+        near = _in_balls(q_side, t_side, partitioning.dims, keys, lambda pairs: watch(phase, pairs))
         if exclude_self:
             near = near.where("qid <> tid")
         return top_k(near.select(*keys, "qid", "tid", "dist"), k, [*keys, "qid"], unique_ids).select("qid", "tid", "dist")
 
     if overlaps.where("starved").isEmpty():
-        return merge_neighbors(local, nearest(overlaps), k=k)
+        return merge_neighbors(local, nearest(watch("rest_cells", overlaps), "rest_distances"), k=k, disjoint=unique_ids)
     seeds = seed_cells(overlaps, weights, need)
-    first = staged(merge_neighbors(local, nearest(seeds), k=k), "first-lists")
+    first = staged(merge_neighbors(local, nearest(watch("seed_cells", seeds), "seed_distances"), k=k, disjoint=unique_ids), "first-lists")
     rest = tightened(overlaps.join(seeds.select("qid", "cell"), ["qid", "cell"], "left_anti"), first, k)
-    return merge_neighbors(first, nearest(rest), k=k)
+    return merge_neighbors(first, nearest(watch("rest_cells", rest), "rest_distances"), k=k, disjoint=unique_ids)
 
 
 def _few_ids(q: DataFrame, t: DataFrame, k: int, partitioning: Grid | Tree, method: str, exclude_self: bool) -> DataFrame:
@@ -66,12 +104,12 @@ def _few_ids(q: DataFrame, t: DataFrame, k: int, partitioning: Grid | Tree, meth
     return merge_neighbors(*lists, k=k)
 
 
-def _in_balls(balls: DataFrame, t: DataFrame, dims: int, keys: list[str] | None = None) -> DataFrame:
+def _in_balls(balls: DataFrame, t: DataFrame, dims: int, keys: list[str] | None = None, watch: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> DataFrame:
     """balls(qid, coordinates, radius, cell) x t(cell, tid, coordinates), with dist, within the radius."""
     names, keys = axes(dims), keys or ["cell"]
     met = balls.join(t.select(*keys, "tid", *(F.col(a).alias(f"_t{a}") for a in names)), keys)
     dist = distance([F.col(a) for a in names], [F.col(f"_t{a}") for a in names])
-    return met.withColumn("dist", dist).where(F.col("dist") <= padded(F.col("radius")))
+    return watch(met).withColumn("dist", dist).where(F.col("dist") <= padded(F.col("radius")))
 
 
 def range_join(balls: DataFrame, training: DataFrame, partitioning: Grid | Tree) -> DataFrame:

@@ -47,6 +47,10 @@ def read_cell_counts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(COUNTS_SCHEMA).csv(path, sep="\t")
 
 
+def write_cell_counts(counts: DataFrame, path: str, mode: str = "error") -> None:
+    counts.select("cell", "n").write.mode(mode).csv(path, sep="\t")
+
+
 def write_points(points: DataFrame, path: str, id_col: str, dims: int, mode: str = "error") -> None:
     format_points(points, id_col, dims).select("line").write.mode(mode).text(path)
 
