@@ -110,7 +110,7 @@ def sample_points(points: DataFrame, rate: int, id_col: str = "tid", method: str
     if not 0 <= rate <= 100:
         raise ValueError("rate is a percentage")
     if method == "bernoulli":
-        return points.sample(rate / 100, seed=seed)
+        return points.sample(fraction=rate / 100, seed=seed)
     if method == "hash":
         return points.where(F.pmod(F.col(id_col) * 7919, F.lit(100)) < rate)
     raise ValueError("method must be hash or bernoulli")
