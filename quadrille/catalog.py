@@ -19,8 +19,8 @@ from .sources.text import load_tree, read_cell_counts, read_points, save_tree, w
 from .staging import staged, staging_root
 
 K, N2, N3, CAPACITY, DEPTH = 10, 16, 8, 50, 10
-#: Points of all rows in a leaf of the tree for skewed points.
-SKEWED_LIMIT = 100
+#: For skewed points: sampled points in a leaf, and points of all rows, above which it is split.
+SKEWED_CAPACITY, SKEWED_LIMIT = 50, 200
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
 
@@ -510,7 +510,7 @@ _RANGE = f"select qid, tid, round(dist, 8) as dist from (select qid, tid, {_d('q
 @_register(_RANGE, _BOTH)
 def _range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = training2d(spark, sf_dir)
-    return range_join(_balls(spark, sf_dir), t, Grid(max(N2, suggest_n(t.count())))).withColumn("dist", F.round("dist", 8))
+    return range_join(_balls(spark, sf_dir), t, Grid(max(N2, suggest_n(t.count(), 200)))).withColumn("dist", F.round("dist", 8))
 
 
 @_register(_RANGE, _BOTH)
@@ -581,9 +581,9 @@ _SKEWED = f"""select qid, near.t as tid, round(near.d, 8) as dist, cast(rank as
 def knn_skewed_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Skewed points against themselves over a tree from a sample, whose over-full leaves are split by all points."""
     p = skewed2d(spark, sf_dir)
-    leaves = staged(tree_build.build_tree(partition.sample_points(p, 25), CAPACITY, "capacity", 2, 16), "leaves")
+    leaves = staged(tree_build.build_tree(partition.sample_points(p, 25), SKEWED_CAPACITY, "capacity", 2, 16), "leaves")
     full = staged(tree_build.split_overfull(p, leaves, SKEWED_LIMIT, depth=16), "leaves")
-    return _rounded(knn_join(as_queries(p), p, K, Tree(full)))
+    return _rounded(knn_join(as_queries(p), p, K, Tree(full), method="ps"))
 
 
 # Written and read back

@@ -17,9 +17,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import axes, distance
-from ..staging import staged
 from .asof import asof_rows
-from .partition import BROADCAST_ROWS, cell_counts, hinted
+from .partition import BROADCAST_ROWS, cell_counts
 
 METHODS = ("bf", "ps")
 #: Pairs of a query and a training point that are compared as one group, and rows of either side in it, at most.
@@ -62,10 +61,12 @@ def hot_cells(queries: DataFrame, training: DataFrame, cell: str = "cell", pairs
 
 
 def known_hot(queries: DataFrame, training: DataFrame, cell: str = "cell", pairs: int = PAIRS_A_PART, rows: int = ROWS_A_PART) -> DataFrame | None:
-    """``hot_cells`` as a stored table, to be broadcast if its checked size allows it; None if no cell is hot."""
-    hot = staged(hot_cells(queries, training, cell, pairs, rows), "hot-cells")
-    n = hot.limit(BROADCAST_ROWS + 1).count()
-    return hinted(hot, n <= BROADCAST_ROWS) if n else None
+    """``hot_cells``, as a broadcast of a checked number of rows or, where there are more, as they are; None if no cell is hot."""
+    hot = hot_cells(queries, training, cell, pairs, rows)
+    held = hot.limit(BROADCAST_ROWS + 1).toArrow()
+    if not held.num_rows:
+        return None
+    return F.broadcast(hot.sparkSession.createDataFrame(held, hot.schema)) if held.num_rows <= BROADCAST_ROWS else hot
 
 
 def dealt(queries: DataFrame, training: DataFrame, hot: DataFrame, cell: str = "cell", dims: int = 2) -> tuple[DataFrame, DataFrame, list[str]]:

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import axes, box_max_square, box_min_square
 from ..functions.grid import grid_bounds, grid_ijk
-from ..functions.tree import tree_address, tree_bounds
-from .partition import Grid, Tree
+from ..functions.tree import tree_bounds
+from .partition import Grid, Tree, hinted, with_leaf
 
 #: Slack for cell borders, as a coordinate may lie an ulp outside the computed bounds of its cell.
 SLACK, LEAST = 1e-9, 1e-12
@@ -90,11 +90,15 @@ def cells_in_reach(balls: DataFrame, cells: DataFrame, partitioning: Grid | Tree
         for a in names:
             lo, hi = (F.least(F.greatest(F.floor((F.col(a) + d) / F.col("_side")), F.lit(0)), F.pow(F.lit(2.0), "_level") - 1).cast("long") for d in (-F.col("radius") - LEAST, F.col("radius") + LEAST))
             at = at.withColumn(f"_{a}", F.explode(F.sequence(lo, hi)))
-        inside = [(F.col(f"_{a}") + 0.5) * F.col("_side") for a in names]
-        at = at.withColumn("_block", F.substr(tree_address(*inside, depth=depth) if depth else F.lit(""), F.lit(1), F.col("_level"))).drop("_side", *(f"_{a}" for a in names))
-        below = at.join(tree_blocks(cells), "_block").drop("_block", "_level")
-        above = at.where("_level > 0").withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.col("_level") - 1), lambda k: F.substr("_block", F.lit(1), k)))).drop("_block", "_level")
-        met = below.unionByName(above.distinct().join(cells, "cell"))
+        # One leaf for each block, by its centre: the block lies in it, or is cut into it and others.
+        at = at.withColumns({f"_at{a}": (F.col(f"_{a}") + 0.5) * F.col("_side") for a in names})
+        at = with_leaf(at, partitioning, [f"_at{a}" for a in names], "cell")
+        below = at.where("length(cell) > _level").withColumn("_block", F.substr("cell", F.lit(1), F.col("_level")))
+        gone = ["_level", "_side", *(f"_{a}" for a in names), *(f"_at{a}" for a in names)]
+        below = below.drop("cell", *gone).join(tree_blocks(cells), "_block").drop("_block")
+        # Several blocks may lie in one leaf.
+        above = at.where("length(cell) <= _level").drop(*gone).dropDuplicates(["qid", "cell"]).join(cells, "cell")
+        met = below.unionByName(above)
     met = met.withColumns({"near2": box_min_square(point, bounds), "far2": box_max_square(point, bounds)}).drop(*extra)
     return met.where(F.col("near2") <= padded(F.col("radius")) * padded(F.col("radius")))
 
@@ -143,10 +147,16 @@ def overlap_cells(queries: DataFrame, cells: DataFrame, local: DataFrame, k: int
     queries have their cell; cells: (cell, n) of non-empty cells; local is what ``local_knn`` gave for them.
     """
     known = search_radius(queries, local, cells if weights is None else weights, k, partitioning, need)
-    known = known.where("radius is not null").withColumnRenamed("cell", "_own")
-    point, bounds = [F.col(a) for a in axes(partitioning.dims)], cell_bounds(F.col("_own"), partitioning)
+    known, extra = known.where("radius is not null").withColumnRenamed("cell", "_own"), []
+    point = [F.col(a) for a in axes(partitioning.dims)]
+    if isinstance(partitioning, Grid):
+        bounds = cell_bounds(F.col("_own"), partitioning)
+    else:  # addresses are walked once a leaf
+        leaves, bounds, extra = with_bounds(partitioning.leaves.select(F.col("addr").alias("_own")), "_own", partitioning)
+        known = known.join(hinted(leaves, partitioning.small), "_own")
     room = F.least(*(g for p, (lo, hi) in zip(point, bounds, strict=True) for g in (p - lo, hi - p)))
-    return cells_in_reach(known.where(padded(F.col("radius")) > room), cells, partitioning).where("cell <> _own").drop("_own")
+    reaching = known.where(padded(F.col("radius")) > room).drop(*extra)
+    return cells_in_reach(reaching, cells, partitioning).where("cell <> _own").drop("_own")
 
 
 def seed_cells(overlaps: DataFrame, weights: DataFrame, need: int) -> DataFrame:

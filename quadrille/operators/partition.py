@@ -69,11 +69,15 @@ def assign_leaves(points: DataFrame, tree: Tree, cell: str = "cell") -> DataFram
     The starts of a tree of a checked size are sent to the tasks, which search them for batches of codes. Those of a larger
     one meet the points in ranges of codes. Points without all coordinates have no leaf and are left out.
     """
-    code = morton_code(*(F.col(a) for a in axes(tree.dims)), depth=tree.depth)
-    points = points.dropna(subset=list(axes(tree.dims)))
+    return with_leaf(points, tree, list(axes(tree.dims)), cell)
+
+
+def with_leaf(rows: DataFrame, tree: Tree, coords: list[str], cell: str) -> DataFrame:
+    """``assign_leaves`` by the named coordinates."""
+    code, rows = morton_code(*(F.col(c) for c in coords), depth=tree.depth), rows.dropna(subset=coords)
     if not tree.small:
         starts = tree.starts.select(F.col("start").alias("_code"), F.col("addr").alias(cell))
-        return asof_rows(points.drop(cell).withColumn("_code", code), starts, "_code", cell).drop("_code")
+        return asof_rows(rows.drop(cell).withColumn("_code", code), starts, "_code", cell).drop("_code")
     sent = tree.sent
 
     @F.arrow_udf("string")
@@ -81,7 +85,7 @@ def assign_leaves(points: DataFrame, tree: Tree, cell: str = "cell") -> DataFram
         starts, addresses = sent.value
         return addresses.take(pa.array(np.searchsorted(starts, codes.to_numpy(zero_copy_only=False), side="right") - 1))
 
-    return points.withColumn(cell, leaf(code))
+    return rows.withColumn(cell, leaf(code))
 
 
 def with_cell(points: DataFrame, partitioning: Grid | Tree, cell: str = "cell") -> DataFrame:

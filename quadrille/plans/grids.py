@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from ..functions.geometry import axes
 from ..functions.grid import grid_index
 from ..operators.partition import Grid
-from ..staging import staged
 
 #: Cells along a side of the grid on which both sides are counted.
 COARSE = {2: 256, 3: 32}
 #: What a cell that a query's ball touches costs, in pairs of points.
-CELL_COST = 16.0
+CELL_COST = 64.0
+#: What a cell costs that is swept as a group of its own, likewise.
+GROUP_COST = 2e5
 MAX_N = {2: 1 << 20, 3: 1 << 13}
 
 
@@ -27,15 +28,15 @@ def coarse_counts(queries: DataFrame, training: DataFrame, dims: int = 2, n: int
     return both.groupBy(*names).agg(F.sum("nq").alias("nq"), F.sum("nt").alias("nt"))
 
 
-def candidates(rows: int, k: int, dims: int) -> list[int]:
-    """Cells along a side that are weighed: steps that double the number of cells, around a few times k points a cell."""
-    middle = dims and math.log2(max(1.0, rows / (4 * k)))
-    found = {min(MAX_N[dims], max(1, round(2 ** (c / dims)))) for c in range(max(0, int(middle) - 6), int(middle) + 9)}
-    return sorted(found)
+def candidates(rows: int, k: int, dims: int, group_cost: float = 0.0) -> list[int]:
+    """Cells along a side that are weighed: steps that double the number of cells, around a few times k points a cell, or fewer cells where each costs."""
+    middle = int(math.log2(max(1.0, rows / (4 * k))))
+    lowest = 0 if group_cost else max(0, middle - 6)
+    return sorted({min(MAX_N[dims], max(1, round(2 ** (c / dims)))) for c in range(lowest, middle + 9)})
 
 
 def grid_costs(coarse: DataFrame, sizes: list[int], k: int, dims: int = 2) -> DataFrame:
-    """(n, pairs, cost) for each n of sizes: pairs of a query and a training point in one cell, and the join's expected cost.
+    """(n, cells, pairs, cost) for each n of sizes: cells with queries, pairs of a query and a training point in one cell, and the join's expected cost.
 
     Coarse cells are put together for smaller n and taken as evenly filled for larger ones. With m points a cell a
     query's ball of k points reaches into about (1 + 2 (k / (b m))^(1/d))^d cells, b being the volume of the unit ball;
@@ -50,12 +51,15 @@ def grid_costs(coarse: DataFrame, sizes: list[int], k: int, dims: int = 2) -> Da
     held = F.greatest(m, F.lit(0.25))
     ball = math.pi if dims == 2 else 4 * math.pi / 3
     met = F.pow(1 + 2 * F.pow(F.lit(k / ball) / held, F.lit(1.0 / dims)), F.lit(dims))
-    return cells.groupBy("n").agg(F.sum(F.col("nq") * m).alias("pairs"), F.sum(F.col("nq") * met * (held + CELL_COST)).alias("cost"))
+    return cells.groupBy("n").agg(F.sum(apart).alias("cells"), F.sum(F.col("nq") * m).alias("pairs"), F.sum(F.col("nq") * met * (held + CELL_COST)).alias("cost"))
 
 
-def choose_grid(queries: DataFrame, training: DataFrame, k: int, dims: int = 2) -> Grid:
-    """The grid whose join of the two costs least, from one table of counts; a row for each candidate comes to the driver."""
-    coarse = staged(coarse_counts(queries, training, dims), "coarse-counts")
-    rows = coarse.agg(F.sum("nt")).first()[0] or 0
-    costs = grid_costs(coarse, candidates(rows, k, dims), k, dims).orderBy("cost", "n").limit(1).collect()
-    return Grid(costs[0].n if costs else 1, dims)
+def choose_grid(queries: DataFrame, training: DataFrame, k: int, dims: int = 2, group_cost: float = 0.0) -> Grid:
+    """The grid whose join of the two costs least, from one table of counts; a row for each candidate comes to the driver.
+
+    group_cost: what each cell with queries costs by itself, in pairs of points.
+    """
+    sizes = candidates(training.count(), k, dims, group_cost)
+    costs = grid_costs(coarse_counts(queries, training, dims), sizes, k, dims)
+    best = costs.orderBy(F.col("cost") + F.col("cells") * group_cost, "n").limit(1).collect()
+    return Grid(best[0].n if best else 1, dims)

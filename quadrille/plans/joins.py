@@ -13,7 +13,7 @@ from ..operators.knn import dealt, known_hot, local_knn, merge_neighbors, top_k,
 from ..operators.overlap import cells_in_reach, overlap_cells, padded, seed_cells, tightened
 from ..operators.partition import Grid, Tree, cell_counts, with_cell
 from ..staging import staged
-from .grids import choose_grid
+from .grids import GROUP_COST, choose_grid
 
 
 def _observed(seen: Observation) -> int:
@@ -62,7 +62,7 @@ def knn_join(queries: DataFrame, training: DataFrame, k: int, partitioning: Grid
     if counters is not None and method != "bf":
         raise ValueError("counters need the method bf, whose pairs Spark sees")
     watch = counters.watch if counters is not None else lambda name, df: df
-    partitioning = partitioning or choose_grid(queries, training, k, dims)
+    partitioning = partitioning or choose_grid(queries, training, k, dims, GROUP_COST if method == "ps" else 0.0)
     names = axes(partitioning.dims)
     q = with_cell(queries.select("qid", *names), partitioning)
     t = with_cell(training.select("tid", *names), partitioning)
