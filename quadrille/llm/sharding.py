@@ -5,12 +5,14 @@ Every record is hashed into one of ``n_slots`` slots, for good. Rows and bytes a
 stored as a table; changing the shard count or levelling grown slots edits it, moving as few slots as it can.
 
 Defined results: the record hash covers id, text and a number that tells rows equal in both apart, so one id, or one row
-repeated, with a third of all rows is spread. That number counts such rows within their input partition. Null ids and texts hash like any other value; a null text has no bytes. An empty table gives a map with
+repeated, with a third of all rows is spread. Such rows are numbered from 1 through the whole table, so that how many of them a slot
+gets depends on the rows alone, not on files or tasks, and ``assign`` places them by the same rule as the count. Null ids and texts hash like any other value; a null text has no bytes. An empty table gives a map with
 empty slots and an empty result. Ties go to the lowest shard and slot. Other columns pass through ``assign`` untouched, but for ``shard``.
 """
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -20,6 +22,8 @@ from .common import free_name, staged, staging_root
 
 N_SLOTS = 8192
 ROW_OVERHEAD = 8
+#: Parts that equal rows are dealt to while they are numbered.
+SALTS = 64
 
 
 def size_of(text: Column) -> Column:
@@ -119,13 +123,38 @@ def count_slots(rows: DataFrame, n_slots: int) -> tuple[list[int], list[int]]:
     return n, size
 
 
+def numbered(rows: DataFrame, alike: list[str], out: str) -> DataFrame:
+    """rows with a number from 1 in column out, without gaps among rows that are equal in the columns alike, nulls included.
+
+    Rows that have no equal stay where they are. Of the others each group is dealt to ``SALTS`` parts, numbered there and
+    lifted by the counts of earlier parts, so that a group with most of the rows is many.
+    """
+    part, place = free_name(rows, "part"), free_name(rows, "place")
+    names = {c: f"__as_{k}" for k, c in enumerate(alike)}
+
+    def same(left: DataFrame, right: DataFrame, how: str, also: list[str] | None = None) -> DataFrame:
+        on = [left[c].eqNullSafe(right[n]) for c, n in names.items()] + [left[c] == right[f"__{c}"] for c in also or []]
+        return left.join(right, functools.reduce(lambda x, y: x & y, on), how)
+
+    renamed = [F.col(c).alias(n) for c, n in names.items()]
+    again = staged(rows.groupBy(*renamed).count().where("count > 1").drop("count"), "repeats")
+    alone = same(rows, again, "left_anti").withColumn(out, F.lit(1).cast("long"))
+    many = same(rows, again, "left_semi").withColumn(part, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
+    many = staged(many, "repeated-rows")
+    earlier = Window.partitionBy(*names.values()).orderBy(f"__{part}").rowsBetween(Window.unboundedPreceding, -1)
+    counts = many.groupBy(*renamed, F.col(part).alias(f"__{part}")).count()
+    before = counts.withColumn("__before", F.coalesce(F.sum("count").over(earlier), F.lit(0))).drop("count")
+    within = Window.partitionBy(*alike, part).orderBy(F.lit(0))
+    many = same(many.withColumn(place, F.row_number().over(within)), before, "inner", [part])
+    return alone.unionByName(many.withColumn(out, F.col(place) + F.col("__before")).select(*alone.columns))
+
+
 def records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_slots: int = N_SLOTS) -> DataFrame:
-    """(id, size, text_crc32, vslot) of each record; rows equal in id and text are numbered in each input partition."""
+    """(id, size, text_crc32, vslot) of each record."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias(id_col), size_of(F.col(text_col)).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    alike = Window.partitionBy(id_col, "text_crc32", "size", "__part").orderBy(F.lit(0))
-    rows = rows.withColumn("__part", F.spark_partition_id()).withColumn("__repeat", F.row_number().over(alike))
-    return rows.withColumn("vslot", slot_of(F.col(id_col), F.col("text_crc32"), F.col("__repeat"), n_slots)).drop("__part", "__repeat")
+    rows = numbered(rows, [id_col, "text_crc32", "size"], "__repeat")
+    return rows.withColumn("vslot", slot_of(F.col(id_col), F.col("text_crc32"), F.col("__repeat"), n_slots)).drop("__repeat")
 
 
 def shard_documents(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str = "text", n_slots: int = N_SLOTS, map_path: str | None = None) -> DataFrame:
@@ -143,8 +172,11 @@ def shard_documents(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text
 
 
 def assign(docs: DataFrame, slots: SlotMap, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with a ``shard`` column from a stored map, which replaces one of that name; no shuffle. Repeated rows all go where the first of them belongs."""
-    slot = free_name(docs, "vslot")
-    crc = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    """docs with a ``shard`` column from a stored map, which replaces one of that name; only rows that have equals are shuffled."""
+    docs = docs.drop("shard")
+    slot, crc, size, repeat = (free_name(docs, x) for x in ("vslot", "crc", "size", "repeat"))
+    rows = docs.withColumns({crc: F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")), size: size_of(F.col(text_col))})
+    rows = numbered(rows, [id_col, crc, size], repeat)
     table = slots.table(docs.sparkSession).select(F.col("vslot").alias(slot), "shard")
-    return docs.drop("shard").withColumn(slot, slot_of(F.col(id_col), crc, F.lit(1), len(slots.shard))).join(F.broadcast(table), slot).drop(slot)
+    rows = rows.withColumn(slot, slot_of(F.col(id_col), F.col(crc), F.col(repeat), len(slots.shard)))
+    return rows.join(F.broadcast(table), slot).drop(slot, crc, size, repeat)

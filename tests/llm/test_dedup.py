@@ -2,6 +2,7 @@
 
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -152,9 +153,33 @@ def test_repeated_rows_are_spread_over_shards(spark):
     assert all(sorted(g) == list(range(len(g))) for _, g in out.groupby("shard")["slot"])
     slots = sharding.SlotMap.load_from(spark, path, 1)
     assert slots.n_shards == 6 and sum(slots.rows) == 6000
-    placed = {r.doc_id: r.shard for r in sharding.assign(df.where("doc_id >= 0"), slots).collect()}
-    want = {int(k): v for k, v in zip(out["doc_id"], out["shard"], strict=True) if k >= 0}
-    assert placed == want
+    told = Counter((None if k != k else int(k), v) for k, v in zip(out["doc_id"], out["shard"], strict=True))
+    assert len({shard for k, shard in told if k == -1}) == 6
+    # The same rows in other files, with other columns: as many of each in each shard, by the query's rule and by assign's.
+    odd = df.withColumnRenamed("digest", "shard").withColumn("size", F.lit(1)).repartition(5, "text")
+    for _ in range(2):
+        placed = sharding.assign(odd, slots)
+        assert placed.columns == ["doc_id", "text", "size", "shard"]
+        assert Counter((r.doc_id, r.shard) for r in placed.collect()) == told
+    again = sharding.shard_documents(odd.coalesce(1), 6)
+    assert Counter((r.doc_id, r.shard) for r in again.collect()) == told
+    # Sizes and CRCs against zlib.
+    known = {(k, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for k, t, _ in rows}
+    assert {(None if k != k else int(k), int(n), int(c)) for k, n, c in zip(out["doc_id"], out["size"], out["text_crc32"], strict=True)} == known
+    # A stored map is edited for one more shard with newly counted rows, stored, and applied: rows move into the new one only.
+    grown = odd.unionByName(spark.createDataFrame([(k, f"new {k}", 0, 0) for k in range(7000, 7400)], "doc_id long, text string, shard int, size int"))
+    counted = sharding.count_slots(sharding.records(grown), len(slots.shard))
+    more = slots.edited(7, *counted)
+    more.save(spark, path)
+    stored = sharding.SlotMap.load_from(spark, path, 2)
+    assert (stored.shard, stored.rows, stored.size, stored.n_shards) == (more.shard, *counted, 7) and sum(counted[0]) == 6400
+    before, after = (sharding.assign(grown, m).groupBy("doc_id", "text", "shard").count().collect() for m in (slots, stored))
+    load = Counter()
+    for r in after:
+        load[r.shard] += r["count"] * (len((r.text or "").encode()) + 8)
+    assert max(load.values()) / min(load.values()) < 1.05 and len(load) == 7
+    was = {(r.doc_id, r.text, r.shard): r["count"] for r in before}
+    assert all(r.shard == 6 or r["count"] <= was.get((r.doc_id, r.text, r.shard), 0) for r in after)
     assert sharding.shard_documents(df.limit(0), 6).count() == 0
 
 
