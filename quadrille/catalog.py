@@ -327,6 +327,18 @@ def tree_bitstring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree_build.tree_bitstring(_tree(spark, sf_dir).leaves)
 
 
+@_register(_with_tree("select place // 64 as chunk, string_agg(bit, '' order by addr) as bits from (select *, row_number() over (order by addr) - 1 as place from (select addr, '0' as bit from leaves union all select addr, '1' from internal)) group by 1"))
+def tree_bitstring_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in chunks of 64 bits, whose order a range partitioning makes."""
+    return tree_build.tree_bit_chunks(_tree(spark, sf_dir).leaves, 64)
+
+
+@_register("select tid, x, row_number() over (order by x desc, tid) - 1 as place from training2d", ("training2d",))
+def points_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each point with its place in the order of x, the farthest first."""
+    return partition.with_place(training2d(spark, sf_dir).select("tid", "x"), F.desc("x"), "tid")
+
+
 # Local lists, merging, as-of
 
 _LOCAL = _CELLED + f", pairs as (select q.cell, q.qid, t.tid, {_d('q', 't', 2)} as dist from q join t on q.cell = t.cell), local as (select * from (select *, row_number() over (partition by qid order by dist, tid) as rank from pairs) where rank <= {K}) "

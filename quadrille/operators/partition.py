@@ -7,12 +7,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import axes
 from ..functions.grid import grid_cell
 from ..functions.tree import first_code, morton_code, tree_bounds
+from ..staging import staged
 from .asof import asof_rows
 
 #: Tables of more rows than this are not broadcast by hint; Spark then joins them by size.
@@ -126,6 +127,19 @@ def sort_points(points: DataFrame, axis: str, order: str = "min", id_col: str =
     return points.orderBy(F.col(axis).asc() if order == "min" else F.col(axis).desc(), id_col)
 
 
+def with_place(rows: DataFrame, *order: str | Column, place: str = "place") -> DataFrame:
+    """rows with their place in the whole order, from 0; equal ones in any order.
+
+    Rows are dealt into ranges, numbered there, and lifted by the counts of earlier ranges: no task holds them all.
+    """
+    ranged = staged(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as ranges
+    before = counts.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return ranged.withColumn(place, within).join(F.broadcast(before), "_part").withColumn(place, F.col(place) + F.col("_before")).drop("_part", "_before")
+
+
 def leaf_bounds(leaves: DataFrame, dims: int) -> DataFrame:
     """leaves with xmin, xmax, ymin, ..."""
     bounds = tree_bounds(F.col("addr"), dims)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import axes
 from ..functions.tree import DEPTH, tree_address
 from ..staging import staged
-from .partition import Tree, cell_counts, leaf_bounds, with_cell
+from .partition import Tree, cell_counts, leaf_bounds, with_cell, with_place
 
 METHODS = ("capacity", "siblings", "avg_width")
 
@@ -100,9 +100,18 @@ def tree_stats(leaves: DataFrame) -> DataFrame:
     return leaves.agg(F.count(F.lit(1)).alias("n_leaves"), F.max("level").alias("depth"))
 
 
-def tree_bitstring(leaves: DataFrame) -> DataFrame:
-    """(bits): 1 for a split node and 0 for a leaf, in pre-order, which is the order of addresses."""
-    nodes = leaves.select("addr", F.lit("0").alias("bit"))
+def _nodes(leaves: DataFrame) -> DataFrame:
+    """(addr, bit): every node of the tree, 1 for a split one."""
     above = leaves.where("level > 0").select(F.explode(F.transform(F.sequence(F.lit(0), F.col("level") - 1), lambda k: F.substr("addr", F.lit(1), k))).alias("addr")).distinct()
-    every = nodes.unionByName(above.select("addr", F.lit("1").alias("bit")))
-    return every.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("addr", "bit"))), lambda s: s["bit"]), "").alias("bits"))
+    return leaves.select("addr", F.lit("0").alias("bit")).unionByName(above.select("addr", F.lit("1").alias("bit")))
+
+
+def tree_bitstring(leaves: DataFrame) -> DataFrame:
+    """(bits): 1 for a split node and 0 for a leaf, in pre-order, which is the order of addresses; one value, for trees that fit one."""
+    return _nodes(leaves).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("addr", "bit"))), lambda s: s["bit"]), "").alias("bits"))
+
+
+def tree_bit_chunks(leaves: DataFrame, size: int = 1 << 16) -> DataFrame:
+    """(chunk, bits): ``tree_bitstring`` in chunks of ``size`` bits, from 0; no task holds the whole tree."""
+    placed = with_place(_nodes(leaves), "addr").withColumn("chunk", F.call_function("div", F.col("place"), F.lit(size)))
+    return placed.groupBy("chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "bit"))), lambda s: s["bit"]), "").alias("bits"))

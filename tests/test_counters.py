@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from quadrille.functions.grid import surrounding_cells
 from quadrille.operators.knn import merge_neighbors
-from quadrille.operators.partition import Grid, sample_points
+from quadrille.operators.partition import Grid, sample_points, with_place
+from quadrille.operators.tree_build import build_tree, tree_bit_chunks, tree_bitstring
 from quadrille.plans.joins import JoinCounters, knn_join
 from quadrille.sources.text import read_points, write_points
+from quadrille.streaming.cells import windowed_cell_counts
 from test_joins import frames
 
 
@@ -87,6 +89,36 @@ def test_append_and_overwrite(spark, tmp_path):
     assert ids() == [2]
 
 
+def test_bits_in_chunks_and_places(spark):
+    rng = random.Random(5)
+    points = spark.createDataFrame([(k, rng.random() ** 2, rng.random()) for k in range(900)], "tid long, x double, y double")
+    for leaves in (build_tree(points, 7).cache(), build_tree(points, 1000)):
+        whole = tree_bitstring(leaves).first().bits
+        chunks = tree_bit_chunks(leaves, 37).orderBy("chunk").collect()
+        assert [r.chunk for r in chunks] == list(range(len(chunks))) and "".join(r.bits for r in chunks) == whole
+        assert all(len(r.bits) == 37 for r in chunks[:-1])
+    placed = with_place(points, F.desc("y"), "tid").orderBy("place").collect()
+    assert [r.place for r in placed] == list(range(900)) and [r.tid for r in placed] == [r.tid for r in sorted(placed, key=lambda r: (-r.y, r.tid))]
+
+
+def test_stream_of_points(spark, tmp_path):
+    """Points by window and cell, from files that arrive one after the other."""
+    schema = "tid long, x double, y double, at timestamp"
+    points = spark.sql("select id as tid, (id % 8) / 8d as x, (id % 5) / 5d as y, timestamp'2024-01-01' + make_dt_interval(0, 0, 0, id) as at from range(120)")
+    for k in range(3):
+        points.where(F.col("tid") % 3 == k).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = windowed_cell_counts(stream, Grid(4), "at", "1 minute", "10 minutes")
+    query = out.writeStream.format("memory").queryName("cells").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state")).start()
+    query.awaitTermination(120)
+    got = {(r.start.minute, r.cell): r.n for r in spark.table("cells").selectExpr("window.start as start", "cell", "n").collect()}
+    want = {}
+    for k in range(120):
+        key = (k // 60, int(k % 8 / 8 * 4) + int(k % 5 / 5 * 4) * 4)
+        want[key] = want.get(key, 0) + 1
+    assert got == want
+
+
 def test_rings_and_draws(spark):
     cells = spark.createDataFrame([(k,) for k in (0, 12, 24)], "cell long")
     got = sorted(map(tuple, surrounding_cells(cells, 5, 2, rings=2).collect()))
