@@ -44,8 +44,11 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages seen earlier are cut out; n_chars follows."""
     ship(spark)
-    out = substring_dedup.remove_repeats(docs, whole=True).drop("removed")
-    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    # The stage's own column is called removed: one of that name waits under another.
+    held = {c: free_name(docs, "held") for c in docs.columns if c.lower() == "removed"}
+    out = substring_dedup.remove_repeats(docs.withColumnsRenamed(held), whole=True).drop("removed")
+    out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return out.withColumnsRenamed({new: c for c, new in held.items()}).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
