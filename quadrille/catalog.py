@@ -14,7 +14,9 @@ from .functions.tree import tree_address, tree_bounds
 from .operators import knn, overlap, partition, tree_build
 from .operators.partition import BROADCAST_ROWS, Grid, Tree
 from .plans.fixtures import SQL, as_queries, dup_ids3d, points3d, queries2d, skewed2d, training2d
-from .plans.joins import knn_join, range_join
+from .plans.grids import choose_grid
+from .plans.joins import knn_join, range_join, stored_knn_join
+from .sources.stored import store_training
 from .sources.text import load_tree, read_cell_counts, read_points, save_tree, write_cell_counts, write_neighbors, write_points
 from .staging import staged, staging_root
 
@@ -605,6 +607,29 @@ def _new_path(spark: SparkSession, name: str) -> str:
     return f"{staging_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+@_register(_brute("queries2d", "training2d", 2), _BOTH)
+def knn_join_stored_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Against points that are stored by cell of a grid of chosen cost, which no join shuffles again."""
+    q, t = queries2d(spark, sf_dir), training2d(spark, sf_dir)
+    return _rounded(stored_knn_join(q, store_training(t, _new_path(spark, "stored"), choose_grid(q, t, K)), K))
+
+
+@_register(_SKEWED, ("skewed2d",))
+def knn_join_stored_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Skewed points against themselves, stored by leaf of a tree whose over-full leaves were split."""
+    p = skewed2d(spark, sf_dir)
+    leaves = tree_build.split_overfull(p, tree_build.build_tree(partition.sample_points(p, 25), SKEWED_CAPACITY, "capacity", 2, 16), SKEWED_LIMIT, depth=16)
+    return _rounded(stored_knn_join(as_queries(p), store_training(p, _new_path(spark, "stored"), Tree(staged(leaves, "leaves"))), K, method="ps"))
+
+
+@_register(_Q3 + _brute("q3", "dup_ids3d", 3), ("points3d", "dup_ids3d"))
+def knn_join_stored_dup_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored training ids repeat; each counts once."""
+    q, t = as_queries(points3d(spark, sf_dir)), dup_ids3d(spark, sf_dir)
+    stored = store_training(t, _new_path(spark, "stored"), choose_grid(q, t, K, 3), unique_ids=False)
+    return _rounded(stored_knn_join(q, stored, K))
+
+
 _POINTS_TEXT = "select tid, cast(printf('%.8f', x) as double) as x, cast(printf('%.8f', y) as double) as y, cast(printf('%.8f', z) as double) as z from points3d"
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import functools
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -21,10 +22,13 @@ from .asof import asof_rows
 from .partition import BROADCAST_ROWS, cell_counts
 
 METHODS = ("bf", "ps")
+SENT_METHODS = ("bf", "ps", "cells")
 #: Pairs of a query and a training point that are compared as one group, and rows of either side in it, at most.
 PAIRS_A_PART, ROWS_A_PART = 1 << 24, 1 << 18
 #: Queries that are swept together.
 BLOCK = 32
+#: Pairs of a query and a point that are compared at once in cell arrays, about.
+CANDIDATES = 1 << 20
 
 
 def _t(dims: int) -> list[str]:
@@ -51,6 +55,11 @@ def hot_cells(queries: DataFrame, training: DataFrame, cell: str = "cell", pairs
     Few queries: only the training points are dealt to parts, or the other way round; many of both: both, into near squares.
     """
     nq, nt = (cell_counts(df, cell).withColumnRenamed("n", n) for df, n in ((queries, "nq"), (training, "nt")))
+    return hot_by_counts(nq, nt, cell, pairs, rows)
+
+
+def hot_by_counts(nq: DataFrame, nt: DataFrame, cell: str = "cell", pairs: int = PAIRS_A_PART, rows: int = ROWS_A_PART) -> DataFrame:
+    """``hot_cells`` of nq(cell, nq) and nt(cell, nt)."""
     side, up = math.isqrt(pairs), lambda n, d: F.ceil(n / F.lit(d)).cast("int")
     every = F.col("nq") * F.col("nt")
     few_q, few_t = F.col("nq") <= side, F.col("nt") <= side
@@ -62,11 +71,15 @@ def hot_cells(queries: DataFrame, training: DataFrame, cell: str = "cell", pairs
 
 def known_hot(queries: DataFrame, training: DataFrame, cell: str = "cell", pairs: int = PAIRS_A_PART, rows: int = ROWS_A_PART) -> DataFrame | None:
     """``hot_cells``, as a broadcast of a checked number of rows or, where there are more, as they are; None if no cell is hot."""
-    hot = hot_cells(queries, training, cell, pairs, rows)
-    held = hot.limit(BROADCAST_ROWS + 1).toArrow()
+    return sent_if_few(hot_cells(queries, training, cell, pairs, rows))
+
+
+def sent_if_few(rows: DataFrame) -> DataFrame | None:
+    """rows as a broadcast if they are at most ``BROADCAST_ROWS``, else as they are; None if there are none."""
+    held = rows.limit(BROADCAST_ROWS + 1).toArrow()
     if not held.num_rows:
         return None
-    return F.broadcast(hot.sparkSession.createDataFrame(held, hot.schema)) if held.num_rows <= BROADCAST_ROWS else hot
+    return F.broadcast(rows.sparkSession.createDataFrame(held, rows.schema)) if held.num_rows <= BROADCAST_ROWS else rows
 
 
 def dealt(queries: DataFrame, training: DataFrame, hot: DataFrame, cell: str = "cell", dims: int = 2) -> tuple[DataFrame, DataFrame, list[str]]:
@@ -98,18 +111,22 @@ def local_knn(queries: DataFrame, training: DataFrame, k: int, dims: int = 2, me
         keys = [cell, "_tp"]
     elif hot is not None:
         queries, training, keys = dealt(queries, training, hot, cell, dims)
-    if method == "ps":
-        found = _plane_sweep(queries, training, k, dims, keys, exclude_self)
-    else:
-        pairs = watch(_paired(queries, training, dims, keys, [*keys, "qid"]))
-        if exclude_self:
-            pairs = pairs.where("qid <> tid")
-        found = top_k(pairs, k, [*keys, "qid"], unique_ids)
+    found = lists_by(queries, training, k, dims, method, keys, unique_ids, exclude_self, watch)
     if len(keys) > 1:
         found = top_k(found.drop("rank", *keys[1:]), k, [cell, "qid"], unique_ids)
     return found
 
 
+def lists_by(queries: DataFrame, training: DataFrame, k: int, dims: int, method: str, keys: list[str], unique_ids: bool = True, exclude_self: bool = False, watch: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> DataFrame:
+    """(*keys, qid, tid, dist, rank): ``local_knn`` of rows that are alike in all keys."""
+    if method == "ps":
+        return _plane_sweep(queries, training, k, dims, keys, exclude_self)
+    pairs = watch(_paired(queries, training, dims, keys, [*keys, "qid"]))
+    if exclude_self:
+        pairs = pairs.where("qid <> tid")
+    return top_k(pairs, k, [*keys, "qid"], unique_ids)
+
+
 def _plane_sweep(queries: DataFrame, training: DataFrame, k: int, dims: int, keys: list[str], exclude_self: bool) -> DataFrame:
     names = list(axes(dims))
     # Both may come from one table, so their columns get names of their own.
@@ -119,7 +136,7 @@ def _plane_sweep(queries: DataFrame, training: DataFrame, k: int, dims: int, key
     def sweep(key: tuple, qs: pd.DataFrame, ts: pd.DataFrame) -> pd.DataFrame:
         ts = ts.sort_values(["x", "tid"])
         at, tid, dist, rank = sweep_block(qs[names].to_numpy(dtype=np.float64), qs["qid"].to_numpy(), ts[names].to_numpy(dtype=np.float64), ts["tid"].to_numpy(), k, exclude_self)
-        cols = {c: [v] * len(at) for c, v in zip(keys, key, strict=True)}
+        cols = {c: np.array([v] * len(at), dtype=object) for c, v in zip(keys, key, strict=True)}  # without rows a list would be floats
         return pd.DataFrame(cols | {"qid": qs["qid"].to_numpy()[at].astype("int64"), "tid": tid.astype("int64"), "dist": dist, "rank": rank})
 
     return q.groupBy(*keys).cogroup(t.groupBy(*keys)).applyInPandas(sweep, f"{kinds}, qid long, tid long, dist double, rank int")
@@ -180,14 +197,15 @@ def _least_of_each(dist: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def broadcast_knn(queries: DataFrame, training: DataFrame, k: int, dims: int = 2, exclude_self: bool = False, limit: int = BROADCAST_ROWS, method: str = "ps") -> DataFrame:
+def broadcast_knn(queries: DataFrame, training: DataFrame, k: int, dims: int = 2, exclude_self: bool = False, limit: int = BROADCAST_ROWS, method: str = "cells") -> DataFrame:
     """(qid, tid, dist, rank) against a whole training table of at most ``limit`` rows, which is checked; larger ones need ``knn_join``.
 
-    ``ps`` sends the points, sorted along x, to the tasks, which sweep them for each query: no shuffle. ``bf`` ranks all
-    pairs of a broadcast join.
+    ``cells`` sends the points, in the order of a grid's cells and with the place where each cell begins, to the tasks,
+    which search it for whole batches of queries (see ``CellArrays``); ``ps`` sends them sorted along x, to be swept. Both
+    need no shuffle. ``bf`` ranks all pairs of a broadcast join.
     """
-    if method not in METHODS or k < 1:
-        raise ValueError(f"method is one of {METHODS}, k at least 1")
+    if method not in SENT_METHODS or k < 1:
+        raise ValueError(f"method is one of {SENT_METHODS}, k at least 1")
     names = list(axes(dims))
     small = training.select("tid", *names).limit(limit + 1)
     too_many = f"training has more than {limit} rows; use knn_join"
@@ -200,17 +218,142 @@ def broadcast_knn(queries: DataFrame, training: DataFrame, k: int, dims: int = 2
         raise ValueError(too_many)
     held = held.sort_by([("x", "ascending"), ("tid", "ascending")])
     columns = [held.column(a).to_numpy().astype(np.float64) for a in names]
-    sent = queries.sparkSession.sparkContext.broadcast((np.stack(columns, axis=1), held.column("tid").to_numpy()))
+    points, tids = np.stack(columns, axis=1), held.column("tid").to_numpy()
+    sent = queries.sparkSession.sparkContext.broadcast(CellArrays.made(points, tids, k) if method == "cells" else (points, tids))
 
-    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        points, tids = sent.value
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns[1:]], axis=1)
-            at, tid, dist, rank = sweep_block(rows, batch.column(0).to_numpy(zero_copy_only=False), points, tids, k, exclude_self)
+            qids = batch.column(0).to_numpy(zero_copy_only=False)
+            at, tid, dist, rank = sent.value.nearest(rows, qids, k, exclude_self) if method == "cells" else sweep_block(rows, qids, *sent.value, k, exclude_self)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(tid.astype(np.int64)), pa.array(dist), pa.array(rank)], names=["qid", "tid", "dist", "rank"])
 
     wanted = queries.select("qid", *names)
-    return wanted.mapInArrow(sweep, f"qid {wanted.schema['qid'].dataType.simpleString()}, tid long, dist double, rank int")
+    return wanted.mapInArrow(search, f"qid {wanted.schema['qid'].dataType.simpleString()}, tid long, dist double, rank int")
+
+
+def _split(rows: np.ndarray, cost: np.ndarray) -> list[np.ndarray]:
+    """rows in stretches that cost ``CANDIDATES`` each, or one row more."""
+    total = np.cumsum(cost)
+    cuts = np.unique(np.searchsorted(total, np.arange(CANDIDATES, int(total[-1]) + 1, CANDIDATES), side="right"))
+    return [x for x in np.split(rows, cuts) if len(x)]
+
+
+@dataclass(frozen=True)
+class CellArrays:
+    """Points in the order of a grid's cells, along x fastest; ``begin`` tells where each cell begins.
+
+    Along each axis cells begin at quantiles of the points (``edges``), so that clusters are cut as finely as the rest.
+    """
+
+    points: np.ndarray
+    ids: np.ndarray
+    begin: np.ndarray
+    edges: tuple[np.ndarray, ...]
+    repeated: bool
+
+    @staticmethod
+    def made(points: np.ndarray, ids: np.ndarray, k: int) -> CellArrays:
+        """With about k points in each two cells."""
+        dims = points.shape[1]
+        n = max(1, min(1 << (20 // dims), round((2 * len(points) / k) ** (1 / dims))))
+        edges = tuple(np.sort(points[:, a])[np.arange(1, n) * len(points) // n] for a in range(dims))
+        cell = CellArrays._index(points, edges) @ (n ** np.arange(dims))
+        order = np.argsort(cell, kind="stable")
+        begin = np.concatenate([[0], np.cumsum(np.bincount(cell, minlength=n**dims))])
+        return CellArrays(points[order], ids[order], begin, edges, len(np.unique(ids)) < len(ids))
+
+    @staticmethod
+    def _index(rows: np.ndarray, edges: tuple[np.ndarray, ...]) -> np.ndarray:
+        return np.stack([np.searchsorted(e, rows[:, a], side="right") for a, e in enumerate(edges)], axis=1)
+
+    @property
+    def last(self) -> int:
+        """The last cell along an axis."""
+        return len(self.edges[0])
+
+    def nearest(self, rows: np.ndarray, qids: np.ndarray, k: int, exclude_self: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """As ``sweep_block``: (place of the query, id, distance, rank).
+
+        A query takes the block of cells around its own; its list is final once the k-th distance doesn't reach beyond the
+        block. If it does, the next block is as wide as that distance; without k points, twice as wide, and a cell more.
+        """
+        found: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.int64), self.ids[:0], np.empty(0), np.empty(0, np.int32))]
+        own = self._index(rows, self.edges)
+        lo, hi = np.maximum(own - 1, 0), np.minimum(own + 1, self.last)
+        todo = np.lexsort(own.T) if len(self.ids) else np.empty(0, dtype=np.int64)
+        while len(todo):
+            later = []
+            for some in _split(todo, np.prod(hi[todo, 1:] - lo[todo, 1:] + 1, axis=1)):
+                query, _, length = self._runs(lo[some], hi[some])
+                for part in _split(some, np.bincount(query, weights=length, minlength=len(some))):
+                    lists, kth = self._lists(rows, qids, part, lo[part], hi[part], k, exclude_self)
+                    done = kth < self._reach(rows[part], lo[part], hi[part])
+                    keep = done[lists[0]]
+                    found.append((part[lists[0][keep]], *(x[keep] for x in lists[1:])))
+                    left, far = part[~done], kth[~done, None]
+                    short, wide = np.isinf(far), np.where(np.isinf(far), 0.0, far * (1 + 1e-8))
+                    more = np.where(short, hi[left] - lo[left], 1)
+                    lo[left], hi[left] = (
+                        np.maximum(np.minimum(lo[left] - more, np.where(short, self.last, self._index(rows[left] - wide, self.edges))), 0),
+                        np.minimum(np.maximum(hi[left] + more, np.where(short, 0, self._index(rows[left] + wide, self.edges))), self.last),
+                    )
+                    later.append(left)
+            todo = np.concatenate(later)
+        at, tid, dist, rank = (np.concatenate([f[c] for f in found]) for c in range(4))
+        return at, tid, dist, rank
+
+    def _reach(self, rows: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """How far a block surely reaches around its query, less a little for rounding; no points lie beyond the grid's own sides."""
+        out = np.full(len(rows), np.inf)
+        for a, e in enumerate(self.edges):
+            e = np.concatenate([[-np.inf], e, [np.inf]])
+            out = np.minimum(out, np.minimum(rows[:, a] - e[lo[:, a]], e[hi[:, a] + 1] - rows[:, a]))
+        return out * (1 - 1e-9)
+
+    def _runs(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, where a run of points begins, its length): a run is a row of a block's cells along x."""
+        lines = np.prod(hi[:, 1:] - lo[:, 1:] + 1, axis=1)
+        query = np.repeat(np.arange(len(lo)), lines)
+        nth = np.arange(len(query)) - np.repeat(np.cumsum(lines) - lines, lines)
+        base = np.zeros(len(query), dtype=np.int64)
+        for a in range(1, lo.shape[1]):
+            width = (hi[:, a] - lo[:, a] + 1)[query]
+            base += (lo[query, a] + nth % width) * (self.last + 1) ** a
+            nth = nth // width
+        first = self.begin[base + lo[query, 0]]
+        return query, first, self.begin[base + hi[query, 0] + 1] - first
+
+    def _lists(self, rows: np.ndarray, qids: np.ndarray, part: np.ndarray, lo: np.ndarray, hi: np.ndarray, k: int, exclude_self: bool) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+        """((place in part, id, distance, rank), k-th distance or infinity) among the points of each query's block."""
+        query, first, length = self._runs(lo, hi)
+        i = np.repeat(query, length)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(length) - length - first, length)
+        total = np.zeros(len(i))
+        for a in range(rows.shape[1]):
+            gap = self.points[j, a] - rows[part[i], a]
+            total = total + gap * gap
+        dist, ids = np.sqrt(total), self.ids[j]
+        if exclude_self:
+            other = ids != qids[part[i]]
+            i, dist, ids = i[other], dist[other], ids[other]
+        if self.repeated:  # an id's smallest distance only
+            order = np.lexsort((dist, ids, i))
+            i, dist, ids = i[order], dist[order], ids[order]
+            new = np.ones(len(i), dtype=bool)
+            new[1:] = (i[1:] != i[:-1]) | (ids[1:] != ids[:-1])
+            i, dist, ids = i[new], dist[new], ids[new]
+        order = np.lexsort((ids, dist, i))
+        i, dist, ids = i[order], dist[order], ids[order]
+        rank = np.arange(len(i)) - np.searchsorted(i, i)
+        best = rank < k
+        i, dist, ids, rank = i[best], dist[best], ids[best], rank[best]
+        kth = np.full(len(part), np.inf)
+        kth[i[rank == k - 1]] = dist[rank == k - 1]
+        # Where the block is the whole grid a shorter list is all there is.
+        whole = ((lo == 0) & (hi == self.last)).all(axis=1)
+        kth[whole & np.isinf(kth)] = -1.0
+        return (i, ids, dist, (rank + 1).astype(np.int32)), kth
 
 
 def whole_knn(queries: DataFrame, training: DataFrame, k: int, dims: int = 2, exclude_self: bool = False) -> DataFrame:

@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.geometry import axes, distance
-from ..operators.knn import dealt, known_hot, local_knn, merge_neighbors, top_k, whole_knn
+from ..operators.knn import dealt, known_hot, lists_by, local_knn, merge_neighbors, top_k, whole_knn
 from ..operators.overlap import cells_in_reach, overlap_cells, padded, seed_cells, tightened
 from ..operators.partition import Grid, Tree, cell_counts, with_cell
+from ..sources.stored import StoredTraining
 from ..staging import staged
 from .grids import GROUP_COST, choose_grid
 
@@ -94,6 +95,42 @@ def knn_join(queries: DataFrame, training: DataFrame, k: int, partitioning: Grid
     return merge_neighbors(first, nearest(watch("rest_cells", rest), "rest_distances"), k=k, disjoint=unique_ids)
 
 
+def stored_knn_join(queries: DataFrame, stored: StoredTraining, k: int, method: str = "bf", exclude_self: bool = False) -> DataFrame:
+    """``knn_join`` with training points that are stored by cell: queries move to them, and none of theirs is shuffled.
+
+    But for cells with too many pairs for one task, whose points are dealt to parts. The counts are the store's, so points
+    are read where they are compared only. A store that has a newer version is refused.
+    """
+    stored.check()
+    partitioning, unique_ids, need = stored.partitioning, stored.unique_ids, k + exclude_self
+    names, t = axes(partitioning.dims), stored.points.drop("part")
+    q = with_cell(queries.select("qid", *names), partitioning)
+    cells, weights = stored.counts.select("cell", "n"), stored.counts.where("weight > 0").select("cell", F.col("weight").alias("n"))
+    rows, ids = stored.counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    if ids < need:
+        few_rows = unique_ids or rows < need
+        return whole_knn(q, F.broadcast(t), k, partitioning.dims, exclude_self) if few_rows else _few_ids(q, t, k, partitioning, method, exclude_self)
+    lists = [lists_by(*both, k, partitioning.dims, method, keys, unique_ids, exclude_self) for *both, keys in stored.pairings(q)]
+    local = staged(merge_neighbors(*lists, k=k, disjoint=unique_ids).select("qid", "tid", "dist"), "local-lists")
+    overlaps = staged(overlap_cells(q, cells, local, k, partitioning, weights, need), "overlaps")
+
+    def nearest(balls: DataFrame) -> list[DataFrame]:
+        out = []
+        for b, points, keys in stored.pairings(balls):
+            near = _in_balls(b, points, partitioning.dims, keys)
+            if exclude_self:
+                near = near.where("qid <> tid")
+            out.append(top_k(near.select(*keys, "qid", "tid", "dist"), k, [*keys, "qid"], unique_ids).select("qid", "tid", "dist"))
+        return out
+
+    if overlaps.where("starved").isEmpty():
+        return merge_neighbors(local, *nearest(overlaps), k=k, disjoint=unique_ids)
+    seeds = seed_cells(overlaps, weights, need)
+    first = staged(merge_neighbors(local, *nearest(seeds), k=k, disjoint=unique_ids), "first-lists")
+    rest = tightened(overlaps.join(seeds.select("qid", "cell"), ["qid", "cell"], "left_anti"), first, k)
+    return merge_neighbors(first, *nearest(rest), k=k, disjoint=unique_ids)
+
+
 def _few_ids(q: DataFrame, t: DataFrame, k: int, partitioning: Grid | Tree, method: str, exclude_self: bool) -> DataFrame:
     """Training rows of at most k ids, any number each: the nearest row of every id, by a join of its own, then ranked."""
     lists, names = [], axes(partitioning.dims)
