@@ -85,17 +85,25 @@ class _Model:
         self.seen = np.zeros((blocks, self.wide), dtype=np.int64)
         self.last, self.before = np.zeros(len(block), dtype=np.int64), np.zeros(len(block), dtype=np.int64)
         self.steps, self.due = 0, 1
+        self.new_cases: list[np.ndarray] = []  # counted when the next mix, the next fresh0 needs them
+        self.new_ids: list[np.ndarray] = []
         self.mix()
         self.fresh0()
 
     def mix(self) -> None:
         """The named ids' shares of the whole in each case; order 0 has the rest."""
+        if self.new_cases:
+            self.came += 8 * np.bincount(np.concatenate(self.new_cases), minlength=self.came.size).reshape(self.came.shape)
+            self.new_cases = []
         told = self.came.T
         left = (1 << MIX_BITS) - (1 << self.bits0 + 2) - LEAST * (len(told) - 1)
         self.shares = (told[:-1] * left // told.sum(axis=0) + LEAST).astype(np.int32)
 
     def fresh0(self) -> None:
         """The distribution of order 0, from the ids that no other order named: where each id's share begins."""
+        if self.new_ids:
+            self.seen += np.bincount(np.concatenate(self.new_ids), minlength=self.seen.size).reshape(self.seen.shape)
+            self.new_ids = []
         of_all = np.cumsum(2 * self.seen + 1, axis=1) * ((1 << self.bits0) - self.widths)[:, None]
         begin = np.zeros((len(self.widths), self.wide + 1), dtype=np.int64)
         begin[:, 1:] = of_all // (2 * self.seen.sum(axis=1) + self.widths)[:, None] + np.arange(1, self.wide + 1)
@@ -135,9 +143,9 @@ class _Model:
     def learn(self, now: np.ndarray, kind: np.ndarray) -> None:
         """now: the ids that came; kind: which named id that was, or how many there are if none."""
         kinds = NAMED2 + NAMED1 + 1
-        self.came += 8 * np.bincount(self.case * kinds + kind, minlength=self.came.size).reshape(self.came.shape)
+        self.new_cases.append(self.case * kinds + kind)
         rest = np.flatnonzero(kind == kinds - 1)
-        self.seen += np.bincount(self.base1.take(rest) + now.take(rest), minlength=self.seen.size).reshape(self.seen.shape)
+        self.new_ids.append(self.base1.take(rest) + now.take(rest))
         new = (now | 1 << COUNT).astype(np.int32)
         for tables, at, told, ids in ((self.named2, self.at2, self.told2, self.ids[:NAMED2]), (self.named1, self.at1, self.told1, self.ids[NAMED2:])):
             known = [x == now for x in ids]
@@ -208,9 +216,10 @@ class _Writer:
         after[back[later]] = later
         first[-1 - back[firsts]] = firsts
         second = after[first]
-        order = np.concatenate([first, second, after[second], after[after[after[: self.n - 3 * lanes]]]])
-        block = lane[order] // (lanes // blocks)
-        order = order[np.argsort(block, kind="stable")]
+        third = after.take(after.take(after[: self.n - 3 * lanes]))
+        order = np.concatenate([first, second, after[second], third])
+        block = (np.arange(lanes) // (lanes // blocks)).astype(np.uint16).take(lane.take(order))  # of 16 bits, so that the sort is by radix
+        order = order.take(np.argsort(block, kind="stable"))
         ends = np.cumsum(np.bincount(block, minlength=blocks))[:-1]
         return [x.astype("<u2").tobytes() for x in np.split(self.words[order], ends)]
 
