@@ -22,8 +22,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, FloatType
 
 from .common import staged
 from .components import connected_components, local_forest
@@ -37,9 +38,15 @@ GROUPS_A_TASK = 4
 SLACK = 1e-9
 
 
+def _plain(vectors: DataFrame, vec_col: str) -> Column:
+    """The vectors as they are if their parts are floats, which are half as long on the way as doubles; else as doubles."""
+    kind = vectors.schema[vec_col].dataType
+    return F.col(vec_col) if isinstance(kind, ArrayType) and isinstance(kind.elementType, (FloatType, DoubleType)) else F.transform(vec_col, lambda x: x.cast("double"))
+
+
 def nodes_of(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
     """(label, v, rep, weight): each distinct valid vector of a label."""
-    v = F.transform(vec_col, lambda x: x.cast("double"))
+    v = _plain(vectors, vec_col)
     ok = F.forall("v", lambda x: F.coalesce((x == x) & (F.abs(x) < math.inf), F.lit(False))) & F.exists("v", lambda x: x != 0)  # noqa: PLR0124
     rows = vectors.select(F.col(id_col).alias("id"), v.alias("v"), F.col(label_col).alias("label"))
     rows = rows.where(F.col("label").isNotNull() & F.col("id").isNotNull() & F.coalesce(ok, F.lit(False)))
@@ -66,6 +73,7 @@ def principal_axes(nodes: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict[int
 
 def _unit(x: np.ndarray) -> np.ndarray:
     """Rows scaled to length one; scaled by the largest part first, so that no square overflows or vanishes."""
+    x = np.asarray(x, dtype=np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True, initial=1e-300)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -74,6 +82,12 @@ def _lists(column: pa.Array, d: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
 
 
+def _parts(vectors: DataFrame) -> tuple[str, type]:
+    """The type of the parts of v, in Spark and in numpy."""
+    kind = vectors.schema["v"].dataType.elementType.simpleString()
+    return kind, np.float32 if kind == "float" else np.float64
+
+
 def _tiles(nodes: DataFrame, axes: dict[int, np.ndarray], size: int) -> DataFrame:
     """(tile, grp, lo, hi, ids, weights, vectors): at most ``size`` vectors of one label, sorted by the first axis."""
     label_type = nodes.schema["label"].dataType.simpleString()
@@ -127,7 +141,7 @@ def _tiles(nodes: DataFrame, axes: dict[int, np.ndarray], size: int) -> DataFram
         if held:
             yield out()
 
-    keyed = nodes.select("label", "v", "rep", "weight").mapInArrow(first_axis, f"label {label_type}, v array<double>, rep long, weight long, d int, key double")
+    keyed = nodes.select("label", "v", "rep", "weight").mapInArrow(first_axis, f"label {label_type}, v array<{_parts(nodes)[0]}>, rep long, weight long, d int, key double")
     schema = f"tile long, label {label_type}, d int, lo double, hi double, ids binary, weights binary, vectors binary"
     return keyed.orderBy("label", "d", "key", "rep").mapInArrow(pack, schema)
 
@@ -186,12 +200,12 @@ def links(nodes: DataFrame, threshold: float = THRESHOLD, tile: int = TILE, samp
     reach, bits = _reach(threshold), GROUP.bit_length() - 1
     pairs = tile_pairs(tiles, threshold).withColumns({"bx": F.shiftright("x", bits), "by": F.shiftright("y", bits)})
     ends = staged(pairs.select("bx", "by", F.explode(F.array("x", "y")).alias("tile")).distinct(), "tile-groups")
-    groups = ends.select("bx", "by").distinct().count()
+    groups, part = ends.select("bx", "by").distinct().count(), _parts(nodes)[1]
 
     def pair(a: dict, b: dict) -> pa.Table | None:
         d, same = a["d"], a["tile"] == b["tile"]
         ids, weights = (np.concatenate([np.frombuffer(t[name], dtype=np.int64) for t in ((a,) if same else (a, b))]) for name in ("ids", "weights"))
-        vectors = [np.frombuffer(t["vectors"], dtype=np.float64).reshape(-1, d) for t in (a, b)]
+        vectors = [np.frombuffer(t["vectors"], dtype=part).reshape(-1, d) for t in (a, b)]
         shift, count, label = 0 if same else len(vectors[0]), np.zeros(len(ids), dtype=np.int64), None
         for i, j in compare(vectors[0], vectors[1], axes.get(d), threshold, same):
             j = j + shift
@@ -224,7 +238,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     known = nodes.select("label", "v", "weight", F.col("rep").alias("id")).join(met, "id", "left").select(
         "label", "v", (F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "id").alias("root")
     )
-    rows = vectors.select(F.col(id_col).alias("id"), F.transform(vec_col, lambda x: x.cast("double")).alias("v"), F.col(label_col).alias("label"))
+    rows = vectors.select(F.col(id_col).alias("id"), _plain(vectors, vec_col).alias("v"), F.col(label_col).alias("label"))
     named = rows.join(known, (rows["label"] == known["label"]) & (rows["v"] == known["v"]) & rows["id"].isNotNull(), "left")
     out = named.select(
         F.col("id").cast("long").alias(id_col),

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -86,14 +87,16 @@ def test_long_text_in_pieces(monkeypatch):
     assert simhash.fingerprint(text) == whole
 
 
-def test_embeddings(spark):
+@pytest.mark.parametrize("kind", ["double", "float", "decimal(20,12)"])
+def test_embeddings(spark, kind):
     rng = np.random.default_rng(4)
     v = rng.normal(size=(40, 12))
     v[20:30] = v[:10] + 0.05 * rng.normal(size=(10, 12))
     v[30] = v[0]
+    v = v.astype(np.float32).astype(np.float64) if kind == "float" else np.round(v, 12)
     rows = [(k, x.tolist(), int(k % 2)) for k, x in enumerate(v)]
     rows += [(40, None, 0), (41, [0.0] * 12, 0), (42, [float("nan")] * 12, 0), (43, v[0].tolist(), None), (44, [], 0), (45, [1.0, None], 0)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("embedding", F.expr(f"transform(embedding, x -> try_cast(x as {kind}))"))
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
     linked = lambda i, j: i != j and i < 40 and j < 40 and i % 2 == j % 2 and u[i] @ u[j] >= 0.98
     want = components(46, linked)
