@@ -24,7 +24,6 @@ and Arrow can hold.
 
 from __future__ import annotations
 
-import functools
 import struct
 import uuid
 import zlib
@@ -48,7 +47,8 @@ STEPS = 1 << 12  # a lane has no more ids, so that counts fit
 STRIPE_IDS = 1 << 21
 END_ID = 0
 MOST = 1 << 16  # ids are below this
-NAMED2, NAMED1 = 1, 3  # ids that order 2 and order 1 name
+NAMED = 4  # ids that are named: one by order 2, the others by order 1
+ROW = np.complex128  # a row of four 32-bit numbers, which numpy moves as one
 SLOTS = 16  # bits of a block's table of order 2
 COUNT = 17  # a named id and its count are one number, count << COUNT | id
 MIX_BITS = 26
@@ -62,28 +62,35 @@ FLOOR = 1 << 32
 
 
 class _Model:
-    """What the lanes of each block have learnt together, for blocks side by side; made anew for each block."""
+    """What the lanes of each block have learnt together, for blocks side by side; made anew for each block.
+
+    Of each lane, row 0 of ``told``, ``ids``, ``share`` and ``end`` is what order 2 names, the others what order 1 names.
+    """
 
     def __init__(self, widths: np.ndarray, lanes: int):
         self.widths, self.wide, blocks = widths, int(widths.max()), len(widths)
         block = np.repeat(np.arange(blocks), lanes)
+        n = len(block)
         self.bits0 = 16 if self.wide <= 1 << 13 else 18
         self.at0 = block * (self.wide + 1)
         self.base1, self.base2, self.base_case = block * self.wide, block << SLOTS, block * CASES
-        self.most = (widths - 1).take(block)
-        self.named2 = [np.full(blocks << SLOTS, self.wide, dtype=np.int32) for _ in range(NAMED2)]
-        self.named1 = [np.full(blocks * self.wide, self.wide, dtype=np.int32) for _ in range(NAMED1)]
-        self.classes = np.searchsorted(CLASSES, np.arange(1 << 13), side="right")
-        self.classes2 = 2 * self.classes
+        self.most = (widths - 1).take(block).astype(np.int32)
+        self.named2 = np.full(blocks << SLOTS, self.wide, dtype=np.int32)
+        self.named1 = np.full((blocks * self.wide, NAMED), self.wide, dtype=np.int32).view(ROW).ravel()
+        self.every = np.arange(n)
+        classes = np.searchsorted(CLASSES, np.arange(1 << 13), side="right").astype(np.uint8)
+        self.classes2, self.classes14 = 2 * classes, 14 * classes
         case = np.arange(CASES)
         sure2, sure1 = case // 14 % 7, case % 14 // 2
-        came = np.full((CASES, NAMED2 + NAMED1 + 1), 2, dtype=np.int64)
-        came[:, 0] = np.where(sure2 > 0, 2 + 4 * sure2 * sure2, 0)
-        came[:, NAMED2] = np.where(sure1 > 0, 2 + 2 * sure1 * sure1, 0)
-        came[:, -1] = 16
-        self.came = np.tile(came, (blocks, 1))
+        came = np.full((NAMED + 1, CASES), 2, dtype=np.int64)
+        came[0] = np.where(sure2 > 0, 2 + 4 * sure2 * sure2, 0)
+        came[1] = np.where(sure1 > 0, 2 + 2 * sure1 * sure1, 0)
+        came[-1] = 16
+        self.came = np.tile(came, blocks)
         self.seen = np.zeros((blocks, self.wide), dtype=np.int64)
-        self.last, self.before = np.zeros(len(block), dtype=np.int64), np.zeros(len(block), dtype=np.int64)
+        self.last, self.mark = np.zeros(n, dtype=np.int32), np.zeros(n, dtype=np.uint32)
+        self.told, self.ids, self.share, self.end = (np.empty((NAMED, n), dtype=np.int32) for _ in range(4))
+        self.row = np.zeros((n, NAMED), dtype=np.int32)
         self.steps, self.due = 0, 1
         self.new_cases: list[np.ndarray] = []  # counted when the next mix, the next fresh0 needs them
         self.new_ids: list[np.ndarray] = []
@@ -95,9 +102,11 @@ class _Model:
         if self.new_cases:
             self.came += 8 * np.bincount(np.concatenate(self.new_cases), minlength=self.came.size).reshape(self.came.shape)
             self.new_cases = []
-        told = self.came.T
-        left = (1 << MIX_BITS) - (1 << self.bits0 + 2) - LEAST * (len(told) - 1)
-        self.shares = (told[:-1] * left // told.sum(axis=0) + LEAST).astype(np.int32)
+        left = (1 << MIX_BITS) - (1 << self.bits0 + 2) - LEAST * NAMED
+        shares, total = np.empty((self.came.shape[1], NAMED), dtype=np.int32), self.came.sum(axis=0)
+        for k in range(NAMED):
+            shares[:, k] = _over(self.came[k] * left, total) + LEAST
+        self.shares = shares.view(ROW).ravel()
 
     def fresh0(self) -> None:
         """The distribution of order 0, from the ids that no other order named: where each id's share begins."""
@@ -106,7 +115,7 @@ class _Model:
             self.new_ids = []
         of_all = np.cumsum(2 * self.seen + 1, axis=1) * ((1 << self.bits0) - self.widths)[:, None]
         begin = np.zeros((len(self.widths), self.wide + 1), dtype=np.int64)
-        begin[:, 1:] = of_all // (2 * self.seen.sum(axis=1) + self.widths)[:, None] + np.arange(1, self.wide + 1)
+        begin[:, 1:] = _over(of_all, (2 * self.seen.sum(axis=1) + self.widths)[:, None]) + np.arange(1, self.wide + 1)
         self.begin0, self.places = begin.ravel(), None
 
     def by_place(self) -> np.ndarray:
@@ -117,47 +126,71 @@ class _Model:
         return self.places
 
     def look(self) -> None:
-        """The ids that order 2 and order 1 name, their shares, where each share ends, and order 0's share, of all lanes."""
-        self.at2 = (((self.last * 40503) ^ (self.before * 30011 >> 2)) & ((1 << SLOTS) - 1)) + self.base2
+        """The ids that order 2 and order 1 name, their shares and where each share ends, of all lanes."""
+        told, ids, share, end = self.told, self.ids, self.share, self.end
+        self.at2 = (((self.last.view(np.uint32) * 40503) ^ self.mark) & ((1 << SLOTS) - 1)) + self.base2
         self.at1 = self.last + self.base1
-        self.told2, self.told1 = [x.take(self.at2) for x in self.named2], [x.take(self.at1) for x in self.named1]
-        self.ids = [x & ((1 << COUNT) - 1) for x in (*self.told2, *self.told1)]
-        most, second = self.told1[0] >> COUNT, self.told1[1] >> COUNT
-        self.case = self.classes.take(self.told2[0] >> COUNT)
-        self.case *= 14
-        self.case += self.classes2.take(most)
-        self.case += (second << 1) > most
-        self.case += np.multiply(self.ids[0] == self.ids[NAMED2], CASES // 2, dtype=np.int64)
-        self.case += self.base_case
-        self.share = [x.take(self.case) for x in self.shares]
-        for j in range(NAMED2):
-            for k in range(NAMED2, NAMED2 + NAMED1):
-                both = np.multiply(self.share[k], self.ids[j] == self.ids[k])
-                self.share[j] += both
-                self.share[k] -= both
-        self.end = [self.share[0]]
-        for x in self.share[1:]:
-            self.end.append(self.end[-1] + x)
-        self.share0 = (1 << MIX_BITS) - self.end[-1].astype(np.int64)
-
-    def learn(self, now: np.ndarray, kind: np.ndarray) -> None:
-        """now: the ids that came; kind: which named id that was, or how many there are if none."""
-        kinds = NAMED2 + NAMED1 + 1
-        self.new_cases.append(self.case * kinds + kind)
-        rest = np.flatnonzero(kind == kinds - 1)
+        self.named2.take(self.at2, out=told[0], mode="clip")
+        told[1:] = self.named1.take(self.at1).view(np.int32).reshape(-1, NAMED)[:, : NAMED - 1].T
+        np.bitwise_and(told, (1 << COUNT) - 1, out=ids)
+        count = told[:3] >> COUNT
+        both = ids[1:] == ids[0]
+        case = self.classes14.take(count[0])
+        case += self.classes2.take(count[1])
+        case += (count[2] << 1) > count[1]
+        case += both[0].view(np.uint8) * np.uint8(CASES // 2)
+        self.case = self.base_case + case
+        share[:] = self.shares.take(self.case).view(np.int32).reshape(-1, NAMED).T
+        moved = share[1:] * both
+        share[1:] -= moved
+        for x in moved:
+            share[0] += x
+        end[0] = share[0]
+        for k in range(1, NAMED):
+            np.add(end[k - 1], share[k], out=end[k])
+
+    def chosen(self, kind: np.ndarray) -> np.ndarray:
+        """Where the named id of each kind stands in ``ids``, ``share`` and ``end``; the last one where none is meant."""
+        at = np.multiply(np.minimum(kind, NAMED - 1), len(kind), dtype=np.int64)
+        at += self.every
+        return at
+
+    def coded(self, at: np.ndarray, rest: np.ndarray, now: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the share of each lane's id starts, and the share; rest: the lanes whose id only order 0 has."""
+        share = self.share.ravel().take(at)
+        start, share = (self.end.ravel().take(at) - share).astype(np.int64), share.astype(np.int64)
+        own, end = self.at0.take(rest) + now.take(rest), self.end[-1].take(rest)
+        share0 = (1 << MIX_BITS) - end.astype(np.int64)
+        first = (share0 * self.begin0.take(own)) >> self.bits0
+        own += 1
+        share[rest] = ((share0 * self.begin0.take(own)) >> self.bits0) - first
+        start[rest] = end + first
+        return start, share
+
+    def learn(self, now: np.ndarray, kind: np.ndarray, rest: np.ndarray, known: np.ndarray) -> None:
+        """now: the ids that came; kind: which named id that was, or how many there are if none; known: which named ids it equals."""
+        told = self.told
+        counted = np.multiply(kind, self.came.shape[1], dtype=np.int64)
+        counted += self.case
+        self.new_cases.append(counted)
         self.new_ids.append(self.base1.take(rest) + now.take(rest))
-        new = (now | 1 << COUNT).astype(np.int32)
-        for tables, at, told, ids in ((self.named2, self.at2, self.told2, self.ids[:NAMED2]), (self.named1, self.at1, self.told1, self.ids[NAMED2:])):
-            known = [x == now for x in ids]
-            counts = [x + np.multiply(k, 1 << COUNT, dtype=np.int32) for x, k in zip(told, known, strict=True)]
-            missed = np.flatnonzero(~functools.reduce(np.logical_or, known))
-            last = told[-1].take(missed)
-            counts[-1][missed] = np.where(last < 2 << COUNT, new.take(missed), last - (1 << COUNT))
-            for k in range(len(counts) - 1, 0, -1):  # the highest count first
-                counts[k - 1], counts[k] = np.maximum(counts[k - 1], counts[k]), np.minimum(counts[k - 1], counts[k])
-            for table, x in zip(tables, counts, strict=True):
-                table[at] = x
-        self.before, self.last = self.last, now
+        told += np.multiply(known, 1 << COUNT, dtype=np.int32)
+        weakest = told[:: NAMED - 1]  # of order 2 and of order 1: one less where none came true, or replaced
+        change = (now + (2 << COUNT)) - weakest
+        change *= weakest < 2 << COUNT
+        change -= 1 << COUNT
+        change[0] *= ~known[0]
+        change[1] *= ~np.logical_or.reduce(known[1:])
+        weakest += change
+        for k in range(NAMED - 1, 1, -1):  # the highest count first
+            high = np.maximum(told[k - 1], told[k])
+            np.minimum(told[k - 1], told[k], out=told[k])
+            told[k - 1] = high
+        self.named2[self.at2] = told[0]
+        for k in range(1, NAMED):
+            self.row[:, k - 1] = told[k]
+        self.named1[self.at1] = self.row.view(ROW).ravel()
+        self.last, self.mark = now, self.last.view(np.uint32) * 30011 >> 2
         self.steps += 1
         if self.steps < 32 or self.steps % 8 == 0:
             self.mix()
@@ -167,25 +200,33 @@ class _Model:
 
 
 class _Writer:
-    """Range coders of all lanes; ``back`` chains each lane's words, along which carries go, and ends with -1 - lane."""
+    """Range coders of all lanes; each lane's words stand in a row of their own, along which carries go."""
 
-    def __init__(self, lanes: int):
+    def __init__(self, lanes: int, room: int):
         self.low, self.range = np.zeros(lanes, dtype=np.int64), np.full(lanes, LOW, dtype=np.int64)
-        self.words, self.back, self.n = np.zeros(lanes * 4, dtype=np.uint16), np.zeros(lanes * 4, dtype=np.int32), 0
-        self.lane = np.zeros(lanes * 4, dtype=np.int32)
-        self.newest = -1 - np.arange(lanes, dtype=np.int32)
+        self.words, self.room, self.free = np.zeros(lanes * room, dtype=np.uint16), room, room
+        self.next = np.arange(lanes) * room
+        self.places: list[np.ndarray] = []  # of words, in the order in which they were made
+
+    def _make_room(self) -> None:
+        """Rows of twice the length, if any is full."""
+        lanes, room = len(self.low), self.room
+        self.free = room - int((self.next - np.arange(lanes) * room).max())
+        if not self.free:
+            self.free, self.room = room, 2 * room
+            self.words = np.pad(self.words.reshape(lanes, room), ((0, 0), (0, room))).ravel()
+            self.next += np.arange(lanes) * room
+            self.places = [x + x // room * room for x in self.places]
 
     def _emit(self, at: np.ndarray) -> None:
-        end = self.n + len(at)
-        if end > len(self.words):
-            self.words = np.concatenate([self.words, np.zeros(end, dtype=np.uint16)])
-            self.back, self.lane = (np.concatenate([x, np.zeros(end, dtype=np.int32)]) for x in (self.back, self.lane))
-        low = self.low.take(at)
-        self.words[self.n : end] = low >> 32
-        self.back[self.n : end], self.lane[self.n : end] = self.newest.take(at), at
-        self.newest[at] = np.arange(self.n, end, dtype=np.int32)
+        if not self.free:
+            self._make_room()
+        low, place = self.low.take(at), self.next.take(at)
+        self.words[place] = low >> 32
+        self.places.append(place)
+        self.next[at] = place + 1
         self.low[at] = (low << WORD) & LOW
-        self.n = end
+        self.free -= 1
 
     def put(self, start: np.ndarray, share: np.ndarray) -> None:
         """Narrow every lane to its share of the whole, from start."""
@@ -195,10 +236,10 @@ class _Writer:
         over, small = np.flatnonzero(self.low > LOW), np.flatnonzero(self.range < FLOOR)
         if len(over):
             self.low[over] &= LOW
-            word = self.newest.take(over)
+            word = self.next.take(over) - 1
             while len(word):
                 self.words[word] += np.uint16(1)
-                word = self.back.take(word[self.words.take(word) == 0])
+                word = word[self.words.take(word) == 0] - 1
         while len(small):
             self._emit(small)
             span = self.range.take(small) << WORD
@@ -210,18 +251,13 @@ class _Writer:
         lanes = len(self.low)
         for _ in range(3):
             self._emit(np.arange(lanes))
-        back = self.back[: self.n]
-        later, firsts = np.flatnonzero(back >= 0), np.flatnonzero(back < 0)
-        after, first, lane = np.zeros(self.n, dtype=np.int32), np.empty(lanes, dtype=np.int32), self.lane[: self.n]
-        after[back[later]] = later
-        first[-1 - back[firsts]] = firsts
-        second = after[first]
-        third = after.take(after.take(after[: self.n - 3 * lanes]))
-        order = np.concatenate([first, second, after[second], third])
-        block = (np.arange(lanes) // (lanes // blocks)).astype(np.uint16).take(lane.take(order))  # of 16 bits, so that the sort is by radix
-        order = order.take(np.argsort(block, kind="stable"))
+        first = np.arange(lanes) * self.room
+        place = np.concatenate([first, first + 1, first + 2, *(x + 3 for x in self.places[:-3])])
+        words = self.words.take(place)
+        block = (place // (lanes // blocks * self.room)).astype(np.uint16 if blocks > 256 else np.uint8)  # so short that the sort is by radix
+        words = words.take(np.argsort(block, kind="stable"))
         ends = np.cumsum(np.bincount(block, minlength=blocks))[:-1]
-        return [x.astype("<u2").tobytes() for x in np.split(self.words[order], ends)]
+        return [x.astype("<u2").tobytes() for x in np.split(words, ends)]
 
 
 class _Reader:
@@ -240,7 +276,7 @@ class _Reader:
 
     def place(self) -> np.ndarray:
         self.unit = self.range >> MIX_BITS
-        return np.clip(_over(self.code, self.unit), 0, (1 << MIX_BITS) - 1)  # beyond that only in spoilt blocks
+        return np.clip(self.code / self.unit, 0, (1 << MIX_BITS) - 1).astype(np.int32)  # beyond that only in spoilt blocks
 
     def take(self, start: np.ndarray, share: np.ndarray) -> None:
         """As ``_Writer.put``."""
@@ -260,7 +296,7 @@ class _Reader:
 
 
 def _over(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """floor(x / y); exact, as x and each multiple of y stay below 2^48."""
+    """floor(x / y); exact, as x and each multiple of y stay below 2^53."""
     return (x / y).astype(np.int64)
 
 
@@ -268,24 +304,21 @@ def encode_blocks(blocks: list[np.ndarray], widths: list[int]) -> tuple[int, lis
     """The lanes and each block's words, for blocks with ids below their widths, none longer than the first; lanes are filled up with zeros."""
     n = len(blocks[0])
     lanes = max(min(LANES, max(1, n // LANE_IDS)), n // STEPS)
-    padded = np.zeros((len(blocks), lanes, -(-n // lanes)), dtype=np.int64)
+    steps = -(-n // lanes)
+    padded = np.zeros((len(blocks), lanes, steps), dtype=np.int32)
     for k, x in enumerate(blocks):
         own = -(-len(x) // lanes)  # a shorter block's zeros come after all its ids, in every lane
         padded[k, :, :own] = np.pad(x, (0, lanes * own - len(x))).reshape(lanes, own)
-    model, out = _Model(np.array(widths, dtype=np.int64), lanes), _Writer(len(blocks) * lanes)
+    model, out = _Model(np.array(widths, dtype=np.int64), lanes), _Writer(len(blocks) * lanes, steps + 4)
     for now in np.ascontiguousarray(padded.reshape(len(blocks) * lanes, -1).T):
         model.look()
-        at = model.at0 + now
-        start = (model.share0 * model.begin0.take(at)) >> model.bits0
-        share = ((model.share0 * model.begin0.take(at + 1)) >> model.bits0) - start
-        start += model.end[-1]
-        kind = np.full(len(now), len(model.ids), dtype=np.int64)
-        for k in range(len(model.ids) - 1, -1, -1):
-            hit = np.flatnonzero(model.ids[k] == now)
-            own = model.share[k].take(hit)
-            kind[hit], share[hit], start[hit] = k, own, model.end[k].take(hit) - own
-        out.put(start, share)
-        model.learn(now, kind)
+        known = model.ids == now
+        hit = known.view(np.uint8)
+        kind = hit[0] ^ 1
+        kind *= NAMED - sum(hit[k] * (NAMED - k) for k in range(1, NAMED))
+        rest = np.flatnonzero(kind == NAMED)
+        out.put(*model.coded(model.chosen(kind), rest, now))
+        model.learn(now, kind, rest, known)
     return lanes, out.finish(len(blocks))
 
 
@@ -294,29 +327,21 @@ def decode_blocks(data: list[bytes], lanes: int, longest: int, counts: list[int]
     blocks, steps = len(data), -(-longest // lanes)
     model, source = _Model(np.array(widths, dtype=np.int64), lanes), _Reader(data, lanes)
     out = np.empty((steps, blocks * lanes), dtype=np.int32)
-    every, base0 = np.arange(blocks * lanes), np.repeat(np.arange(blocks) << model.bits0, lanes)
+    base0 = np.repeat(np.arange(blocks) << model.bits0, lanes)
     for step in range(steps):
         model.look()
         place = source.place()
-        kind = np.zeros(len(every), dtype=np.int64)
-        for x in model.end:
-            kind += place >= x
-        at = np.flatnonzero(kind == len(model.ids))
-        named = np.minimum(kind, len(model.ids) - 1) * len(every) + every
-        now = np.concatenate(model.ids).take(named).astype(np.int64)
-        share = np.concatenate(model.share).take(named).astype(np.int64)
-        start = np.concatenate(model.end).take(named) - share
-        end, share0 = model.end[-1].take(at), model.share0.take(at)
-        place0 = (((place.take(at) - end + 1) << model.bits0) - 1) // share0
-        now[at] = model.by_place().take(place0 + base0.take(at))
+        kind = np.add.reduce((place >= model.end).view(np.uint8), axis=0, dtype=np.uint8)
+        rest = np.flatnonzero(kind == NAMED)
+        at = model.chosen(kind)
+        now = model.ids.ravel().take(at)
+        end = model.end[-1].take(rest)
+        place0 = _over(((place.take(rest) - end + 1).astype(np.int64) << model.bits0) - 1, (1 << MIX_BITS) - end)
+        now[rest] = model.by_place().take(place0 + base0.take(rest))
         np.minimum(now, model.most, out=now)  # a spoilt block keeps to its own tables
-        own = model.at0.take(at) + now.take(at)
-        first = (share0 * model.begin0.take(own)) >> model.bits0
-        share[at] = ((share0 * model.begin0.take(own + 1)) >> model.bits0) - first
-        start[at] = end + first
-        source.take(start, share)
+        source.take(*model.coded(at, rest, now))
         out[step] = now
-        model.learn(now, kind)
+        model.learn(now, kind, rest, model.ids == now)
     every = out.T.reshape(blocks, lanes, steps)
     return [x[:, : -(-n // lanes)].ravel()[:n] for x, n in zip(every, counts, strict=True)]
 
