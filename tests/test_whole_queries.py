@@ -73,3 +73,16 @@ def test_larger_tables(spark, name, monkeypatch):
     monkeypatch.setattr(knn.known_hot, "__defaults__", ("cell", 900, 70))
     monkeypatch.setattr(catalog.knn, "broadcast_knn", None)
     same(catalog.queries()[name](spark, DATA).toPandas(), told_by_sql(name))
+
+
+@pytest.mark.parametrize("name", ["tree_avg_width", "tree_avg_width_every"])
+def test_leaves_narrower_than_the_sql_splits_for_width(spark, name, tmp_path):
+    orders = spark.range(160_000).selectExpr("id as o_orderkey", "pmod(xxhash64(id, 1), 65536) as o_custkey", "cast(pmod(xxhash64(id, 2), 524288) as double) as o_totalprice")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    con = pytest.importorskip("duckdb").connect()
+    con.execute(f"create view orders as select * from read_parquet('{tmp_path}/orders.parquet/*.parquet')")
+    told = con.execute(catalog.oracle_sql()[name]).df()
+    found = catalog.queries()[name](spark, str(tmp_path)).toPandas()
+    same(found, told)
+    whole = catalog.queries()["tree_avg_width_every"](spark, str(tmp_path)).count()
+    assert (len(found) < whole) == (name == "tree_avg_width")
