@@ -51,13 +51,13 @@ class StoredTraining:
         copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1))
         return queries.join(split, "cell", "left").withColumn("part", copies).drop("_parts"), self.points, self.keys
 
-    def pairings(self, queries: DataFrame) -> list[tuple[DataFrame, DataFrame, list[str]]]:
+    def pairings(self, queries: DataFrame, **limits: int) -> list[tuple[DataFrame, DataFrame, list[str]]]:
         """(queries, points, keys) whose joins together pair each query once with each point of its cell.
 
-        Cells with more pairs than one task should have are dealt to parts of queries and points, which moves their points
+        Cells with more pairs than one task should have (limits: as for ``hot_by_counts``) are dealt to parts of queries and points, which moves their points
         only; all others are joined where they lie.
         """
-        hot = sent_if_few(hot_by_counts(cell_counts(queries).withColumnRenamed("n", "nq"), self.counts.select("cell", F.col("n").alias("nt"))))
+        hot = sent_if_few(hot_by_counts(cell_counts(queries).withColumnRenamed("n", "nq"), self.counts.select("cell", F.col("n").alias("nt")), **limits))
         if hot is None:
             return [self.deal(queries)]
         keys, points = hot.select("cell"), self.points.drop("part")
