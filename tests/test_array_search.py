@@ -4,14 +4,14 @@ import numpy as np
 import pytest
 
 from quadrille import catalog
-from quadrille.operators import knn
+from quadrille.operators import knn, overlap, partition
 from quadrille.operators.knn import CellArrays, farthest_block, range_block
 from quadrille.plans import joins
 from test_catalog import DATA
 from test_whole_queries import same, told_by_sql
 
 #: Queries whose SQL pairs rows of a cell or of a ball; none of them may do so by a Spark join.
-NAMES = ["local_radius", "format_neighbors", "knn_metrics", "neighbors_written", "local_knn_bf", "local_knn_salted", "merge_two", "overlap_grid", "overlap_point_counts", "overlap_grid_every", "overlap_point_counts_every", "merge_many", "knn_join_dup_ids"]
+NAMES = ["local_radius", "format_neighbors", "knn_metrics", "neighbors_written", "local_knn_bf", "local_knn_salted", "merge_two", "overlap_grid", "overlap_point_counts", "overlap_grid_every", "overlap_point_counts_every", "merge_many", "knn_join_dup_ids", "knn_join_stored_dup_ids", "merge_every", "range_join", "range_join_tree"]
 
 
 @pytest.mark.parametrize("parts", [False, True])
@@ -64,3 +64,16 @@ def test_blocks_against_all_pairs(seed):
     assert set(zip(at, tid, far, strict=True)) == want and len(at) == len(want)
     at, tid, near = range_block(rows, np.arange(90), points, ids, radius)
     assert sorted(zip(at, tid, near, strict=True)) == sorted((q, ids[j], dist[q, j]) for q, j in zip(*np.nonzero(dist <= radius[:, None]), strict=True))
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_balls_are_not_broadcast(spark, few, monkeypatch):
+    monkeypatch.setattr(partition, "BROADCAST_ROWS", 200_000 if few else 3)
+    monkeypatch.setattr(overlap, "BROADCAST_ROWS", 200_000 if few else 3)
+    balls = catalog._balls(spark, DATA)
+    for partitioning in (catalog._tree(spark, DATA), partition.Grid(16)):
+        cells = overlap.cells_in_reach(balls, spark.createDataFrame([], f"cell {'string' if isinstance(partitioning, partition.Tree) else 'long'}"), partitioning)
+        plan = cells._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan or "BuildRight" in plan
+        assert "BuildLeft" not in plan and (few or "SortMergeJoin" in plan)
+    same(catalog.queries()["range_query_tree"](spark, DATA).toPandas(), told_by_sql("range_query_tree"))
