@@ -11,7 +11,7 @@ from test_catalog import DATA
 from test_whole_queries import same, told_by_sql
 
 #: Queries whose SQL pairs rows of a cell or of a ball; none of them may do so by a Spark join.
-NAMES = ["local_radius", "format_neighbors", "knn_metrics", "neighbors_written", "local_knn_bf", "local_knn_salted", "merge_two", "overlap_grid", "overlap_point_counts", "overlap_grid_every", "overlap_point_counts_every", "merge_many", "knn_join_dup_ids", "knn_join_stored_dup_ids", "merge_every", "range_join", "range_join_tree"]
+NAMES = ["local_radius", "format_neighbors", "knn_metrics", "neighbors_written", "local_knn_bf", "local_knn_salted", "merge_two", "overlap_grid", "overlap_point_counts", "overlap_grid_every", "overlap_point_counts_every", "merge_many", "knn_join_dup_ids", "knn_join_stored_dup_ids", "merge_every", "knn_join_stored_dup_ids", "merge_every", "range_join", "range_join_tree"]
 
 
 @pytest.mark.parametrize("parts", [False, True])
